@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.nearest import nearest_in_time
 from touchline.llm.runs import repeated_runs
+from touchline.llm.turns import speaker_turns
 from touchline.sources.tables import HALF, table
 
 QUERIES: dict = {}
@@ -31,6 +32,14 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 2: turns of one known speaker each."""
+    return speaker_turns(
+        table(spark, sf_dir, "raw_segments"), table(spark, sf_dir, "speakers"), HALF, "segment_id", "start_time", "text"
+    ).select(*HALF, "speaker_id", F.col("first_id").alias("first_segment_id"), F.col("last_id").alias("last_segment_id"))
+
+
 @query(
     "p3_found",
     """
