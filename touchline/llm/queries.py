@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.llm.canonical import map_to_list
 from touchline.llm.nearest import nearest_in_time
 from touchline.llm.runs import repeated_runs
 from touchline.llm.turns import speaker_turns
@@ -32,6 +33,18 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 1: names freely written in three columns to rows of the gazetteer."""
+    corrections, entities = table(spark, sf_dir, "corrections"), table(spark, sf_dir, "entities")
+    fields = [(corrections, "corrections", "correction_id", "original"), (corrections, "corrections", "correction_id", "corrected"), (entities, "entities", "entity_id", "text")]
+    values = None
+    for df, name, row_id, column in fields:
+        part = df.select(F.lit(f"{name}.{column}").alias("field_name"), F.col(row_id).alias("row_id"), F.col(column).alias("value"))
+        values = part if values is None else values.unionByName(part)
+    return map_to_list(values, table(spark, sf_dir, "gazetteer"), ["field_name", "row_id"], "value").select("field_name", "row_id", "ref_id")
+
+
 @query("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 2: turns of one known speaker each."""
