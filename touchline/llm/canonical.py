@@ -14,6 +14,7 @@ def value_key(c: Column) -> Column:
     """Letters and digits of the folded value, without possessive and 'and co'."""
     c = F.regexp_replace(folded(c), r"['’`´]s(?![\p{L}\p{N}])", "")
     c = F.regexp_replace(c, r"(?U)\band co\b\.?", " ")
+    c = F.regexp_replace(c, r"^\s*#?\p{Nd}{1,2}[.)]?\s+(?=\S*\p{L})|(?<=[\p{L}\p{N}.])\s*[(\[][^()\[\]]*[)\]]\s*$", " ")
     return F.regexp_replace(c, r"(?U)[^\p{L}\p{N}]+", "")
 
 
@@ -40,7 +41,7 @@ def grams(key: Column, n: int = 3) -> Column:
 
 def map_to_list(
     values: DataFrame, reference: DataFrame, by: Sequence[str], value: str, ref_id: str = "ref_id", canonical: str = "canonical", kind: str = "entity_type",
-    threshold: float = 0.2, margin: float = 0.02, slips: int = 4, longest: int = 200, salts: int = 16,
+    threshold: float = 0.08, margin: float = 0.02, slips: int = 4, candidates: int = 8, longest: int = 200, salts: int = 16,
 ) -> DataFrame:
     """Maps each value to the reference row it means; returns by, ref_id, score.
 
@@ -48,9 +49,11 @@ def map_to_list(
     inverted index from character trigrams to the writings of the reference
     rows yields candidates, scored by the cosine of their trigrams under the
     weights ``ln((1 + N) / (1 + df)) + 1`` (unseen trigrams weigh like df = 0).
-    The best row is accepted at ``threshold`` or more, ``margin`` ahead of the
-    second row, if an exact check agrees: at most ``slips`` letters, and one
-    letter in three, between the key and that writing.
+    An exact check of the ``candidates`` rows of highest cosine follows: the
+    key and a writing of the row may differ in at most ``slips`` letters, and
+    in one letter of three.  The row that differs least is accepted if its
+    cosine is at least ``threshold`` and it leads the next row by a letter, or
+    by ``margin`` in cosine.
 
     Defined results: null and blank values give no row; a value without letters
     and digits, one accepted nowhere, and any value if the list is empty, gives
@@ -58,7 +61,7 @@ def map_to_list(
     cannot be within ``slips`` of a writing and are scored no further unless
     the list itself has such writings; rows with equal ``by`` count once, with
     the smallest value; reference rows with a null id or name are left out; of
-    equal scores the smaller ref_id is the best, and fails the margin.
+    of rows equal in both the smaller ref_id is first, and fails the margin.
     """
     rows = (
         values.select(*[F.col(b) for b in by], F.col(value).alias("__v"))
@@ -80,6 +83,10 @@ def map_to_list(
     index = weighted.join(norms, ["__ref", "__w"]).select("__g", "__ref", "__w", "__idf", "__norm")
     top = n.select((F.log(F.col("__n") + 1) + 1).alias("__max"))
 
+    def exact(w: Column) -> Column:
+        gap = F.levenshtein(F.col("__key"), w, slips)
+        return F.when((gap >= 0) & (gap * 3 <= F.length(w)), gap)
+
     keys = rows.select("__key").where(F.col("__key") != "").distinct()
     probes = keys.where(F.length("__key") <= longest).select("__key", F.explode(grams(F.col("__key"))).alias("__g"))
     # the norm of a value: seen trigrams by their weight, others by the largest
@@ -90,23 +97,27 @@ def map_to_list(
     scored = (
         probes.join(index, "__g")
         .groupBy("__key", "__ref", "__w").agg((F.sum(F.col("__idf") * F.col("__idf")) / F.first("__norm")).alias("__dot"))
-        .groupBy("__key", "__ref").agg(F.max(F.struct("__dot", "__w")).alias("__m"))
+        .groupBy("__key", "__ref").agg(F.max("__dot").alias("__dot"))
     )
-    # two best rows of a key, without sorting its candidates
-    best = F.max(F.struct(F.col("__m.__dot").alias("dot"), (-F.col("__ref")).alias("neg"), F.col("__m.__w").alias("w")))
-    first = scored.groupBy("__key").agg(best.alias("__1"), F.slice(F.sort_array(F.collect_list("__m.__dot"), asc=False), 2, 1).alias("__2"))
-    decided = first.join(size, "__key").select(
-        "__key",
-        (F.col("__1.dot") / F.col("__size")).alias("score"),
-        (F.coalesce(F.get("__2", F.lit(0)), F.lit(0.0)) / F.col("__size")).alias("__second"),
-        (-F.col("__1.neg")).alias("__ref"), F.col("__1.w").alias("__w"),
+    # a key's best rows by cosine; its candidates are rows of the list, at most one each
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct(F.col("__dot"), (-F.col("__ref")).alias("__neg"))), asc=False), 1, candidates)
+    names = entries.groupBy("__ref").agg(F.collect_set("__w").alias("__ws"))
+    near = (
+        scored.groupBy("__key").agg(ranked.alias("__top")).join(size, "__key")
+        .select("__key", "__size", F.explode("__top").alias("__c"))
+        .select("__key", (-F.col("__c.__neg")).alias("__ref"), (F.col("__c.__dot") / F.col("__size")).alias("__cos"))
+        .join(names, "__ref")
+        .select("__key", "__ref", "__cos", F.array_min(F.transform("__ws", exact)).alias("__gap"))
     )
-    gap = F.levenshtein("__key", "__w", slips)
-    accepted = (
-        (F.col("score") >= threshold) & (F.col("score") - F.col("__second") >= margin)
-        & (gap >= 0) & (gap * 3 <= F.length("__w"))
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("__gap", F.lit(slips + 1)).alias("gap"), (-F.col("__cos")).alias("neg"), F.col("__ref").alias("ref"))))
+    both = near.groupBy("__key").agg(order.alias("__o"), F.max("__cos").alias("__best"))
+    one, two = F.get("__o", F.lit(0)), F.get("__o", F.lit(1))
+    apart = F.coalesce((two["gap"] > one["gap"]) | (two["neg"] - one["neg"] >= margin), F.lit(True))
+    accepted = (one["gap"] <= slips) & (-one["neg"] >= threshold) & apart
+    mapping = both.select(
+        "__key", F.when(accepted, one["ref"]).otherwise(F.lit(-1)).cast("long").alias("__to"),
+        F.when(accepted, -one["neg"]).otherwise(F.col("__best")).alias("score"),
     )
-    mapping = decided.select("__key", F.when(accepted, F.col("__ref")).otherwise(F.lit(-1)).cast("long").alias("__to"), "score")
     spread = mapping.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
