@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from touchline.llm.canonical import map_to_list
 from touchline.llm.nearest import nearest_in_time
+from touchline.llm.repetition import repetition
 from touchline.llm.runs import repeated_runs
+from touchline.llm.textquality import text_types
 from touchline.llm.turns import speaker_turns
+from touchline.llm.vocabulary import learn_vocabulary
 from touchline.sources.tables import HALF, table
 
 QUERIES: dict = {}
@@ -76,3 +79,35 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_runs(table(spark, sf_dir, "segments"), HALF, "segment_id", "start_time", "end_time", "ord", "text").select(
         *HALF, F.col("first_id").alias("first_segment_id"), F.col("last_id").alias("last_segment_id")
     )
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 7: prose documents and segments that repeat more than two fifths of their words."""
+    documents, segments = table(spark, sf_dir, "documents"), table(spark, sf_dir, "segments")
+    of_documents = repetition(documents, "doc_id", "text", learn_vocabulary(documents, "text")).where("prose")
+    found = of_documents.select(F.lit("document").alias("grain"), "row_id", "share").unionByName(
+        repetition(segments, "seg_key", "text").select(F.lit("segment").alias("grain"), "row_id", "share")
+    )
+    return found.where("share > 0.4").select("grain", "row_id").distinct()
+
+
+@query("p7_shares")
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 7: the measured share of every document and segment."""
+    documents, segments = table(spark, sf_dir, "documents"), table(spark, sf_dir, "segments")
+    part = lambda df, grain, key: repetition(df, key, "text").select(F.lit(grain).alias("grain"), "row_id", "words", "repeated_words", "share", "char_share")
+    return part(documents, "document", "doc_id").unionByName(part(segments, "segment", "seg_key")).distinct()
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 10: documents that are mostly not prose, with their kind."""
+    kinds = text_types(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return kinds.where("kind <> 'prose'").select(F.col("row_id").alias("doc_id"), "kind")
+
+
+@query("p10_stats")
+def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 10: the statistics themselves with the type and its confidence."""
+    return text_types(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
