@@ -130,6 +130,12 @@ class Words:
         upper[wide] = (second >= 0x80) & (second <= 0x9E)
         self.upper = upper
 
+    def touches_digit(self) -> np.ndarray:
+        """Whether a digit stands right before or after the word."""
+        digit = CLASS[self.raw] == 2
+        n = len(self.raw)
+        return (digit[np.maximum(self.start - 1, 0)] & (self.start > 0)) | (digit[np.minimum(self.end, n - 1)] & (self.end < n))
+
     def __len__(self) -> int:
         return len(self.start)
 

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.canonical import map_to_list
+from touchline.llm.langid import document_languages, fit_languages, score_texts
+from touchline.llm.mixing import mix_sources
 from touchline.llm.nearest import nearest_in_time
 from touchline.llm.repetition import repetition
 from touchline.llm.runs import repeated_runs
 from touchline.llm.textquality import text_types
+from touchline.llm.tokenize import token_ids
 from touchline.llm.turns import speaker_turns
 from touchline.llm.vocabulary import learn_vocabulary
 from touchline.sources.tables import HALF, table
@@ -81,6 +84,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6: languages of documents wrongly labelled, of mixed documents' paragraphs, of segments foreign to their league."""
+    documents, segments, leagues = (table(spark, sf_dir, t) for t in ("documents", "segments", "leagues"))
+    vocabulary = learn_vocabulary(documents, "text")
+    model = fit_languages(documents, "doc_id", "text", "lang", vocabulary=vocabulary)
+    parts = document_languages(documents, "doc_id", "text", "lang", model, vocabulary).where("prose and doc_lang is not null")
+    wrong = parts.where("part_no = 1 and (label_code is null or label_code <> doc_lang)").select(
+        F.lit("document").alias("grain"), "row_id", F.lit(0).alias("part_no"), F.col("doc_lang").alias("lang"))
+    mixed = parts.where("doc_langs > 1").select(F.lit("paragraph").alias("grain"), "row_id", "part_no", "lang")
+    spoken = segments.select("seg_key", "league", "text").where(F.size(F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "")) >= 8)
+    scored = score_texts(spoken, ["seg_key", "league"], "text", model).where("lang is not null")
+    expected = leagues.select("league", F.col("lang").alias("expected"))
+    foreign = scored.join(expected, "league", "left").where("expected is null or expected <> lang").select(
+        F.lit("segment").alias("grain"), F.col("seg_key").alias("row_id"), F.lit(0).alias("part_no"), "lang").distinct()
+    return wrong.unionByName(mixed).unionByName(foreign)
+
+
 @query("p7_found")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 7: prose documents and segments that repeat more than two fifths of their words."""
@@ -100,6 +121,25 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part(documents, "document", "doc_id").unionByName(part(segments, "segment", "seg_key")).distinct()
 
 
+@query("p8_ids")
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 8: token ids of every document."""
+    return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 9: the drawn copies of documents, in shuffled order."""
+    drawn, _ = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text")
+    return drawn.withColumnRenamed("row_id", "doc_id")
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 9: target and actual share of each source."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text")[1]
+
+
 @query("p10_found")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 10: documents that are mostly not prose, with their kind."""

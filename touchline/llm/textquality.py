@@ -110,8 +110,6 @@ def text_stats(raw: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) ->
 
     # one item a line has no columns beside it
     items[cells >= 1.5] = 0
-    digit = CLASS[raw] == 2
-    touching = digit[np.maximum(w.start - 1, 0)] & (w.start > 0) | digit[np.minimum(w.end, len(raw) - 1)] & (w.end < len(raw))
 
     return {
         "words": words.astype(float),
@@ -125,7 +123,7 @@ def text_stats(raw: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) ->
         "cells_per_line": cells,
         "words_per_line": words / np.maximum(rows, 1),
         "items_per_word": items / some,
-        "mixed_share": per_text(w.text, n, touching.astype(float)) / some,
+        "mixed_share": per_text(w.text, n, w.touches_digit().astype(float)) / some,
         "lines": lines.astype(float),
     }
 
