@@ -5,24 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.operators.intervals import periods_and_gaps
+from touchline.plans import q_text  # noqa: F401
+from touchline.plans.registry import ORACLES, QUERIES, query
 from touchline.sources.tables import HALF, table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under ``name``."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict:
     return dict(QUERIES)
 
