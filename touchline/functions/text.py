@@ -240,19 +240,14 @@ def venue_name(c: Column) -> Column:
     return strip(F.regexp_replace(c, rf"{WS}*\([^\n]*?\){WS}*$", ""))
 
 
+ENTITY_PARTS = r"(?s)^([.,!?;:]+(?=[^.,!?;:])|)(.*?)((?:['’]s)?)((?i: and co)?)([.,!?;:]*)$"
+
+
 def entity_parts(c: Column) -> Column:
     """lead, core, possessive, tail, stop: what surrounds a name, taken off in a fixed order."""
     t = strip(c)
-    stop = F.regexp_extract(t, r"([.,!?;:]*)$", 1)
-    t1 = F.substring(t, F.lit(1), F.length(t) - F.length(stop))
-    co = F.lower(t1).endswith(" and co")
-    tail = F.when(co, F.right(t1, F.lit(7))).otherwise(F.lit(""))
-    t2 = F.substring(t1, F.lit(1), F.length(t1) - F.length(tail))
-    own = F.regexp_extract(t2, r"(['’]s)$", 1)
-    t3 = F.substring(t2, F.lit(1), F.length(t2) - F.length(own))
-    lead = F.regexp_extract(t3, r"^([.,!?;:]*)", 1)
-    core = F.substring(t3, F.length(lead) + 1, F.length(t3))
-    return F.struct(lead.alias("lead"), core.alias("core"), own.alias("possessive"), tail.alias("tail"), stop.alias("stop"))
+    part = lambda n: F.regexp_extract(t, ENTITY_PARTS, n)
+    return F.struct(part(1).alias("lead"), part(2).alias("core"), part(3).alias("possessive"), part(4).alias("tail"), part(5).alias("stop"))
 
 
 def entity_core(c: Column) -> Column:

@@ -72,3 +72,28 @@ def with_previous(df: DataFrame, value: Column, out: str, rank: str = "__rank",
         .where(F.col("__c") == F.floor(F.col(rank) / chunk))
         .drop("__v", "__c")
     )
+
+
+def with_running_max(df: DataFrame, value: Column, out: str, before: bool = False, rank: str = "__rank", chunk: int = 1024, by: str = KEY) -> DataFrame:
+    """Adds ``out``: the largest ``value`` of the rows up to this one (``before``: up to the one before), in order of rank.
+
+    Chunks of equally many ranks run by themselves; what a chunk takes over
+    from earlier ones is found on one row per chunk.
+    """
+    spread = df.withColumn("__c", F.floor(F.col(rank) / chunk)).withColumn("__f", value)
+    heads = spread.groupBy(by, "__c").agg(F.max("__f").alias("__m"))
+    earlier = Window.partitionBy(by).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    carried = heads.select(by, "__c", F.max("__m").over(earlier).alias("__p"))
+    inside = Window.partitionBy(by, "__c").orderBy(rank).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    filled = spread.withColumn("__l", F.max("__f").over(inside))
+    return filled.join(carried, [by, "__c"]).withColumn(out, F.greatest("__l", "__p")).drop("__c", "__f", "__l", "__p")
+
+
+def with_last_flag(df: DataFrame, flag: Column, out: str, rank: str = "__rank", chunk: int = 1024, by: str = KEY) -> DataFrame:
+    """Adds ``out``: the rank of the last row at or before this one whose ``flag`` holds."""
+    return with_running_max(df, F.when(flag, F.col(rank)), out, rank=rank, chunk=chunk, by=by)
+
+
+def plain_key(df: DataFrame, keys: Sequence[str], extra: Sequence[Column | str]) -> DataFrame:
+    """Unpacks the entity struct into its columns again."""
+    return df.select(*[F.col(f"{KEY}.{k}").alias(k) for k in keys], *extra)
