@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.operators.intervals import periods_and_gaps
-from touchline.plans import q_entity, q_eval, q_text, q_window  # noqa: F401
+from touchline.plans import q_entity, q_eval, q_report, q_text, q_window  # noqa: F401
 from touchline.plans.registry import ORACLES, QUERIES, query
 from touchline.sources.tables import HALF, table
 
@@ -18,7 +18,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p5_found"](spark, sf_dir)
+    """Clean every transcript and summarise each match."""
+    return QUERIES["ref_a14_summary"](spark, sf_dir)
 
 
 @query(
