@@ -34,7 +34,8 @@ def bm25(index: DataFrame, queries: DataFrame, doc_id: str, fuzzy: bool = True,
     """qid, doc_id, score.  queries: qid, term.
 
     ``fuzzy`` expands a term over the vocabulary: one edit from three letters,
-    two from six; each expansion weighs 1 - edits / shorter length.
+    two from six; each expansion weighs 1 - edits / shorter length and counts
+    as frequent as the most frequent one.
     """
     vocabulary = index.groupBy("term").agg(F.count("*").alias("df"))
     size = index.select(doc_id, "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -47,6 +48,8 @@ def bm25(index: DataFrame, queries: DataFrame, doc_id: str, fuzzy: bool = True,
         terms = vocabulary.join(F.broadcast(q), near & (d >= 0) & (d <= most)).withColumn("boost", 1 - F.levenshtein("asked", "term") / F.least(F.length("asked"), F.length("term")))
     else:
         terms = vocabulary.join(F.broadcast(q), F.col("asked") == F.col("term")).withColumn("boost", F.lit(1.0))
+    # a misspelling in the documents is rare; it must not outweigh the word it stands for
+    terms = terms.withColumn("df", F.max("df").over(Window.partitionBy("qid", "asked")))
     hit = index.join(terms, "term").join(F.broadcast(size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

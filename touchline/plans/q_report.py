@@ -218,7 +218,7 @@ def s_field(f: str, weight: str) -> str:
     return f"""{f}d as (select seg_key, unnest(list_filter(string_split({a.format('text')}, ' '), lambda v: v <> '')) term, len(list_filter(string_split({a.format('text')}, ' '), lambda v: v <> '')) dl from seg where text is not null),
 {f}p as (select term, seg_key, count(*) tf, any_value(dl) dl from {f}d group by all), {f}v as (select term, count(*) df from {f}p group by 1), {f}n as (select count(*) n, avg(dl) avgdl from (select distinct seg_key, dl from {f}p)),
 {f}t as (select distinct qid, unnest(list_filter(string_split({a.format('query')}, ' '), lambda v: v <> '')) asked from q),
-{f}e as (select qid, asked, term, df, 1 - levenshtein(asked, term)::double / least(length(asked), length(term)) boost from {f}t, {f}v where abs(length(asked) - length(term)) <= case when length(asked) >= 6 then 2 when length(asked) >= 3 then 1 else 0 end and levenshtein(asked, term) <= case when length(asked) >= 6 then 2 when length(asked) >= 3 then 1 else 0 end),
+{f}e as (select qid, asked, term, max(df) over (partition by qid, asked) df, 1 - levenshtein(asked, term)::double / least(length(asked), length(term)) boost from {f}t, {f}v where abs(length(asked) - length(term)) <= case when length(asked) >= 6 then 2 when length(asked) >= 3 then 1 else 0 end and levenshtein(asked, term) <= case when length(asked) >= 6 then 2 when length(asked) >= 3 then 1 else 0 end),
 {f}b as (select qid, asked, seg_key, max(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) part from {f}p join {f}e using (term), {f}n group by all), {f}s as (select qid, seg_key, {weight} * sum(part) s from {f}b group by all)"""
 
 
