@@ -175,24 +175,19 @@ def first():
 
 
 def test_cascade_with_a_judge(spark):
-    texts = ["Starridge passes to Hazard", "Sako clears", "On Saturday Kane scored", "Starridge again"]
-    codes, corrections, out = cascade(spark, texts, [(0, "Starridge"), (1, "Sako"), (2, "Saturday"), (2, "Kane"), (3, "Starridge")], first())
+    texts = ["Starridge passes to Hazard", "Sako clears", "On Saturday Kane scored", "Starridge again", "Hazzard is down"]
+    refuse = lambda rows: rows["entity"] == "Hazzard"
+    codes, corrections, out = cascade(spark, texts, [(0, "Starridge"), (1, "Sako"), (2, "Saturday"), (2, "Kane"), (3, "Starridge"), (4, "Hazzard")], first(), refuse)
+    assert codes["hazzard"] == "mlm_vetoed_mcq" and out["4"][0] == texts[4]
     assert codes["starridge"] == codes["sako"] == "mcq_chose_candidate" and codes["saturday"].startswith("auto_reject") and codes["kane"].startswith("auto_reject")
     assert corrections == [("Starridge", "Sturridge", "mcq_judge"), ("Sako", "Sakho", "mcq_judge"), ("Starridge", "Sturridge", "validated_cache")]
     assert out["0"] == ("Sturridge passes to Hazard", [0]) and out["1"][0] == "Sakho clears" and out["2"] == (texts[2], None)
 
 
-def test_cascade_without_a_judge_and_with_a_veto(spark):
-    codes, corrections, _ = cascade(spark, ["Sako clears"], [(0, "Sako")])
-    assert codes["sako"] == "mcq_call_failed" and not corrections
-    codes, corrections, _ = cascade(spark, ["Sako clears"], [(0, "Sako")], first(), lambda rows: rows["entity"].map(lambda _: True))
-    assert codes["sako"] == "mlm_vetoed_mcq" and not corrections
-
-
-def test_cascade_uses_the_cache_first(spark):
+def test_cascade_with_a_cache_and_without_a_judge(spark):
     known = spark.createDataFrame([("starridge", "Sturridge", ["m0"], 90.0)], "mishearing string, correct string, matches_seen array<string>, fuzzy_avg double")
-    codes, corrections, _ = cascade(spark, ["Starridge shoots"], [(0, "Starridge")], cache=known)
-    assert codes["starridge"] == "cache_hit_validated" and corrections == [("Starridge", "Sturridge", "validated_cache")]
+    codes, corrections, _ = cascade(spark, ["Starridge shoots", "Sako clears"], [(0, "Starridge"), (1, "Sako")], cache=known)
+    assert codes == {"starridge": "cache_hit_validated", "sako": "mcq_call_failed"} and corrections == [("Starridge", "Sturridge", "validated_cache")]
 
 
 def test_cache_record(spark):

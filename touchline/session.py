@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,3 +42,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="touchline-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors once per application, so that Python workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="touchline-ship-")  # the driver serves the file from here
+    archive = shutil.make_archive(os.path.join(folder, "touchline"), "zip", root, "touchline")
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
