@@ -42,6 +42,11 @@ ECHO_MARKERS = ("Match:", "Half:", "Teams:", "Players:", "Coaches:", "Referee:",
 WER_PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~—–…“”‘’„‟"
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once: inside lambdas nothing else is shared."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -163,24 +168,27 @@ def normalise(c: Column, language: Column) -> Column:
 
 def collapse_repeats(c: Column) -> Column:
     """[W3] Runs of three or more equal words become the first; texts of three words and more are joined by single spaces."""
-    w = words(c)
-    n = F.size(w)
-    low = lambda i: F.lower(F.get(w, i))
-    index = F.sequence(F.lit(0), n - 1)
 
-    def keep(i):
-        same = lambda k: F.coalesce(low(i) == low(i + k), F.lit(False))
-        second = same(-1) & ~same(-2) & ~same(1)  # the second of exactly two
-        return ~same(-1) | second
 
-    return F.when(n < 3, c).otherwise(F.array_join(F.transform(F.filter(index, keep), lambda i: F.get(w, i)), " "))
+    def of(w: Column, low: Column) -> Column:
+        n = F.size(w)
+
+        def keep(i):
+            same = lambda k: F.coalesce(F.get(low, i) == F.get(low, i + k), F.lit(False))
+            # the first of a run, or the second of exactly two
+            return ~same(-1) | (~same(-2) & ~same(1))
+
+        short = F.when(n < 3, c)
+        return short.otherwise(F.array_join(F.transform(F.filter(F.sequence(F.lit(0), n - 1), keep), lambda i: F.get(w, i)), " "))
+
+    return let(words(c), lambda w: let(F.transform(w, F.lower), lambda low: of(w, low)))
 
 
 def has_loop(c: Column) -> Column:
     """Three equal neighbours."""
-    w = F.transform(words(c), F.lower)
-    at = F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0)))
-    return (F.size(w) >= 3) & F.exists(at, lambda i: (F.get(w, i) == F.get(w, i + 1)) & (F.get(w, i) == F.get(w, i + 2)))
+    equal = lambda w: lambda i: (F.get(w, i) == F.get(w, i + 1)) & (F.get(w, i) == F.get(w, i + 2))
+    at = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0)))
+    return let(F.transform(words(c), F.lower), lambda w: (F.size(w) >= 3) & F.exists(at(w), equal(w)))
 
 
 def has_verb_like(c: Column) -> Column:
@@ -276,11 +284,15 @@ def phonetic_score(a: Column, b: Column, language: Column) -> Column:
 
 def word_count_changed_or_drift(original: Column, corrected: Column, editable: Column) -> Column:
     """Whether a word outside ``editable`` (array<boolean>) changed, stops and case aside."""
-    o, n = words(original), words(corrected)
     bare = lambda x: F.lower(strip_chars(x, " .,!?;:'\"-—–…"))
-    index = F.sequence(F.lit(0), F.greatest(F.size(o) - 1, F.lit(0)))
-    moved = F.exists(index, lambda i: (F.get(o, i) != F.get(n, i)) & (bare(F.get(o, i)) != bare(F.get(n, i))) & ~F.coalesce(F.get(editable, i), F.lit(False)))
-    return (F.size(o) != F.size(n)) | ((F.size(o) > 0) & moved)
+
+
+    def drift(o: Column, n: Column) -> Column:
+        index = F.sequence(F.lit(0), F.greatest(F.size(o) - 1, F.lit(0)))
+        moved = F.exists(index, lambda i: (F.get(o, i) != F.get(n, i)) & (bare(F.get(o, i)) != bare(F.get(n, i))) & ~F.coalesce(F.get(editable, i), F.lit(False)))
+        return (F.size(o) != F.size(n)) | ((F.size(o) > 0) & moved)
+
+    return let(words(original), lambda o: let(words(corrected), lambda n: drift(o, n)))
 
 
 def length_anomaly(original: Column, output: Column) -> Column:
@@ -368,10 +380,9 @@ def restore_punctuation(c: Column, labels: Column) -> Column:
 
     Nothing there is taken away.  ``labels`` has an entry per word.
     """
-    w = words(c)
     stopped = lambda x: x.rlike(r"[.,?!:;\-]$")
 
-    def step(acc, i):
+    def step(w, acc, i):
         word = F.get(w, i)
         piece = F.when(acc["up"], F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.greatest(F.length(word), F.lit(1))))).otherwise(word)
         label = F.coalesce(F.get(labels, i), F.lit(""))
@@ -382,5 +393,5 @@ def restore_punctuation(c: Column, labels: Column) -> Column:
         )
 
     start = F.struct(F.lit("").alias("out"), F.lit(True).alias("up"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), start, step)["out"]
-    return F.when(F.size(w) == 0, strip(c)).otherwise(F.regexp_replace(folded, rf"{WS}+([.,?!:;])", "$1"))
+    folded = lambda w: F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), start, lambda acc, i: step(w, acc, i))["out"]
+    return let(words(c), lambda w: F.when(F.size(w) == 0, strip(c)).otherwise(F.regexp_replace(folded(w), rf"{WS}+([.,?!:;])", "$1")))

@@ -17,9 +17,12 @@ from touchline.session import cut_lineage
 def word_spans(c: Column) -> Column:
     """array<struct<i,word,start>>: whitespace-separated words with their offsets in the text."""
     pieces = F.regexp_extract_all(c, F.lit(f"({T.WS}*[^{T.WS[1:]}+)"), 1)
-    lengths = F.transform(pieces, F.length)
-    start = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) - F.length(T.strip(F.get(pieces, i)))
-    return F.transform(pieces, lambda p, i: F.struct(i.alias("i"), T.strip(p).alias("word"), start(i).alias("start")))
+
+    def of(p: Column, lengths: Column) -> Column:
+        start = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) - F.length(T.strip(F.get(p, i)))
+        return F.transform(p, lambda x, i: F.struct(i.alias("i"), T.strip(x).alias("word"), start(i).alias("start")))
+
+    return T.let(pieces, lambda p: T.let(F.transform(p, F.length), lambda lengths: of(p, lengths)))
 
 
 def capital_spans(df: DataFrame, ids: Sequence[str], text: str, pos: str | None = None, language: Column | None = None) -> DataFrame:

@@ -143,11 +143,13 @@ def merge_hits(df: DataFrame, keys: Sequence[str], start: str, end: str, text: s
 def frozen_positions(words: Column, names: Column) -> Column:
     """[W9] Positions (from 0) of the words that applied names stand on: for each word of each name the first free match."""
     bare = lambda x: F.lower(T.strip_chars(x, T.EDGE_PUNCT))
-    have = F.transform(words, bare)
     want = F.flatten(F.transform(names, lambda n: F.transform(T.words(n), bare)))
 
-    def step(acc, w):
-        free = F.filter(F.sequence(F.lit(0), F.greatest(F.size(have) - 1, F.lit(0))), lambda i: (F.get(have, i) == w) & ~F.array_contains(acc, i))
-        return F.when(F.size(free) > 0, F.concat(acc, F.slice(free, 1, 1))).otherwise(acc)
+    def of(have: Column) -> Column:
+        def step(acc, w):
+            free = F.filter(F.sequence(F.lit(0), F.greatest(F.size(have) - 1, F.lit(0))), lambda i: (F.get(have, i) == w) & ~F.array_contains(acc, i))
+            return T.let(free, lambda f: F.when(F.size(f) > 0, F.concat(acc, F.slice(f, 1, 1))).otherwise(acc))
 
-    return F.aggregate(want, F.expr("cast(array() as array<int>)"), step)
+        return F.aggregate(want, F.expr("cast(array() as array<int>)"), step)
+
+    return T.let(F.transform(words, bare), of)

@@ -38,7 +38,8 @@ def bm25(index: DataFrame, queries: DataFrame, doc_id: str, fuzzy: bool = True,
     as frequent as the most frequent one.
     """
     vocabulary = index.groupBy("term").agg(F.count("*").alias("df"))
-    size = index.select(doc_id, "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # tf / dl of a document's terms adds up to 1, so this needs no distinct
+    size = index.agg(F.sum(F.col("tf") / F.col("dl")).alias("n"), F.sum("tf").alias("all")).select(F.round("n").alias("n"), (F.col("all") / F.round("n")).alias("avgdl"))
     q = queries.select("qid", F.col("term").alias("asked"))
     if fuzzy:
         most = F.when(F.length("asked") >= 6, 2).when(F.length("asked") >= 3, 1).otherwise(0)
