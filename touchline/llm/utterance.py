@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Hesitation sounds of the six languages, folded to plain letters.
-FILLERS = ("uh", "um", "uhm", "erm", "er", "eh", "ehm", "em", "ah", "hm", "hmm", "mm", "mmm", "mhm", "oh", "ohm", "ahm", "aeh", "aehm", "oeh", "oehm", "eu", "euh", "beu", "beuh", "ben", "este", "eee")
+FILLERS = ("uh", "um", "uhm", "erm", "er", "eh", "ehm", "em", "ah", "hm", "hmm", "mm", "mmm", "mhm", "oh", "ohm", "ahm", "aeh", "aehm", "oeh", "oehm", "eu", "euh", "heu", "hum", "beu", "beuh", "ben", "este", "eee")
 
 # Letters that do not decompose, and what they fold to.
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžčćđłńśźżğőűāēīōū"
