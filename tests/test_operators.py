@@ -211,7 +211,7 @@ def test_wrapping():
 
 
 def test_guarded_edits(spark):
-    df = spark.createDataFrame([("x", i, t, None, None) for i, t in enumerate(["Sako to Hasard", "Kane to Mane", "plain words", "Anna to Berta", "Ole to Dole"])], "m string, i int, text string, words array<struct<word:string,prob:double>>, frozen array<int>")
+    df = spark.createDataFrame([("x", i, t, None, None) for i, t in enumerate(["Sako to Hasard", "Kane to Mane", "plain words", "Anna to Berta", "Ole to Dole"])], "m string, i long, text string, words array<struct<word:string,prob:double>>, frozen array<int>")
     answers = {"<Sako> to <Hasard>": "Sakho to Hazard", "<Kane> to <Mane>": "Output: Players: x", "<Anna> to <Berta>": "Anna not Berta", "<Ole> to <Dole>": None}
     propose = lambda rows: rows["wrapped"].map(answers.get)
     got = {r.i: (r.text, r.outcome) for r in guards.guarded_edits(df, ["i"], "m", ["i"], "text", "words", "frozen", propose).collect()}
@@ -233,3 +233,12 @@ def test_vector_search_edges(spark):
     got = search.nearest_vectors(e, e.where("id = 0"), "id", "v", top=2).orderBy("n").collect()
     assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2)]
     assert search.nearest_vectors(e, e.where("id = 99"), "id", "v").count() == 0
+
+
+def test_neighbours_across_chunks(spark):
+    from touchline.operators.ordered import KEY, with_neighbours
+
+    df = spark.createDataFrame([(i,) for i in range(23)], "__rank long").withColumn(KEY, F.struct(F.lit(None).cast("string").alias("m")))
+    got = {r["__rank"]: (r.a, r.b, r.c) for r in with_neighbours(df, F.col("__rank"), {"a": -2, "b": -1, "c": 1}, chunk=5).collect()}
+    near = lambda i: i if 0 <= i < 23 else None
+    assert got == {i: (near(i - 2), near(i - 1), near(i + 1)) for i in range(23)}

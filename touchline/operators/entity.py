@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from touchline.functions import text as T
 from touchline.functions.similarity import indel_ratio
 from touchline.operators import folds
+from touchline.operators.ordered import entity as entity_key
+from touchline.operators.ordered import with_neighbours, with_rank
 from touchline.session import cut_lineage
 
 
@@ -215,8 +217,9 @@ def correct_entities(
     d = cut_lineage(d.withColumn("code", code))
     # 4. the judge sees the uncertain ones only
     unsure = d.where("code = 'uncertain'")
-    w = Window.partitionBy("match_id").orderBy("half", "ord")
-    context = segments.select(*key, F.lag("text").over(w).alias("previous"), F.lead("text").over(w).alias("next"))
+    order = (F.col("half").cast("long") * (1 << 44) + F.col("ord")).alias("__t")
+    ranked = with_rank(segments.select(entity_key(["match_id"]), *key, "text", order), "__t", ["segment_id"])
+    context = with_neighbours(ranked, F.col("text"), {"previous": -1, "next": 1}).select(*key, "previous", "next")
     asked = unsure.join(context, key, "left").select("match_id", "key", "entity", F.transform(F.slice("c", 1, 3), lambda x: x["canonical"]).alias("candidates"), F.coalesce("previous", F.lit("")).alias("previous"), F.col("segment_text").alias("text"), F.coalesce("next", F.lit("")).alias("next"))
     if judge is not None:
         asked = asked.withColumn("choice", F.pandas_udf(lambda e, c, p, t, n: judge(pd.DataFrame({"entity": e, "candidates": c, "previous": p, "text": t, "next": n})), "string")("entity", "candidates", "previous", "text", "next"))
@@ -241,9 +244,10 @@ def correct_entities(
     ratio = F.when(F.col("code") == "auto_accept_shortcut", F.col("word_ratio")).otherwise(F.col("picked_ratio"))
     decisions = cut_lineage(d.select("match_id", "key", "code", applied.alias("applied"), method.alias("method"), F.when(F.col("code") == "cache_hit_validated", 100.0).otherwise(F.col("score") * 100).alias("score"), "choice", ratio.alias("ratio")))
     # back to the spans, from the right of each segment
-    nth = Window.partitionBy("match_id", "key").orderBy("half", "ord", F.desc("start_char"))
-    hit = placed.join(decisions.where("applied is not null"), ["match_id", "key"]).withColumn("nth", F.row_number().over(nth))
-    again = (F.col("nth") > 1) & (F.col("method") != "validated_cache")
+    place = F.struct("half", "ord", -F.col("start_char"))
+    earliest = placed.groupBy("match_id", "key").agg(F.min(place).alias("earliest"))
+    hit = placed.join(decisions.where("applied is not null").join(earliest, ["match_id", "key"]), ["match_id", "key"])
+    again = (place != F.col("earliest")) & (F.col("method") != "validated_cache")
     corrections = hit.select(
         *key, F.col("entity").alias("original"), F.col("applied").alias("corrected"),
         F.when(again, 100.0).otherwise(F.bround("score", 1)).alias("score"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text as T
+from touchline.operators.ordered import KEY, with_neighbours, with_rank
 
 
 def wrap_by_confidence(words: Sequence[str], heard: Sequence[dict] | None, frozen: Sequence[int] | None, gate: float = -0.3) -> tuple[str, int, list[bool]]:
@@ -82,9 +83,10 @@ def guarded_edits(df: DataFrame, ids: Sequence[str], match: str, order: Sequence
     Without a model all rows pass unchanged.  Returns ids, original, new text,
     n_wrapped and outcome, the telemetry's counter.
     """
-    base = with_wrapped(df, text, words, frozen).withColumn("__o", F.col(text))
-    w = Window.partitionBy(match).orderBy(*order)
-    base = base.withColumns({"__p2": F.lag(text, 2).over(w), "__p1": F.lag(text).over(w), "__n1": F.lead(text).over(w)})
+    base = with_wrapped(df, text, words, frozen).withColumn("__original", F.col(text))
+    # order[0] is a long column, the rest break its ties
+    ranked = with_rank(base.withColumn(KEY, F.struct(F.col(match))), order[0], list(order[1:]))
+    base = with_neighbours(ranked, F.col(text), {"__p2": -2, "__p1": -1, "__n1": 1}).drop(KEY, "__rank")
     eligible = base.where(F.col("n_wrapped") >= least_wrapped)
     if propose is None:
         asked = eligible.withColumn("__raw", F.lit(None).cast("string"))
@@ -92,19 +94,19 @@ def guarded_edits(df: DataFrame, ids: Sequence[str], match: str, order: Sequence
         asked = eligible.withColumn("__raw", F.pandas_udf(lambda t, a, b, c: propose(pd.DataFrame({"wrapped": t, "previous2": a, "previous1": b, "next1": c})), "string")("wrapped", "__p2", "__p1", "__n1"))
     p = asked.withColumn("__p", T.unwrap(T.clean_output(F.col("__raw"))))
     failed = F.col("__raw").isNull() | (F.col("__raw") == "")
-    o, q = F.col("__o"), F.col("__p")
+    o, q = F.col("__original"), F.col("__p")
     outcome = (
         F.when(failed, "llm_call_failed").when((q == "") | (q == o), "no_op").when(T.prompt_echo(q), "rejected_prompt_echo")
         .when(T.length_anomaly(o, q), "rejected_length_anomaly").when(T.word_count_changed_or_drift(o, q, F.col("editable")), "rejected_editable_drift").otherwise("accepted")
     )
     judged = p.withColumn("outcome", outcome)
     if review is not None:
-        kept = judged.where("outcome = 'accepted'").select(*ids, F.pandas_udf(lambda a, b: review(pd.DataFrame({"original": a, "proposal": b})), "string")("__o", "__p").alias("__final"))
+        kept = judged.where("outcome = 'accepted'").select(*ids, F.pandas_udf(lambda a, b: review(pd.DataFrame({"original": a, "proposal": b})), "string")("__original", "__p").alias("__final"))
         judged = judged.join(kept, list(ids), "left")
     else:
         judged = judged.withColumn("__final", q)
     final = judged.select(*ids, F.when((F.col("outcome") == "accepted") & (F.col("__final") == o), "no_op").otherwise(F.col("outcome")).alias("outcome"), "__final")
-    out = base.select(*ids, F.col("__o").alias("original"), "n_wrapped").join(final, list(ids), "left")
+    out = base.select(*ids, F.col("__original").alias("original"), "n_wrapped").join(final, list(ids), "left")
     return out.select(*ids, "original", F.when(F.col("outcome") == "accepted", F.col("__final")).otherwise(F.col("original")).alias("text"), "n_wrapped", F.coalesce("outcome", F.lit("skipped_below_min")).alias("outcome"))
 
 

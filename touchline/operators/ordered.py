@@ -42,16 +42,16 @@ def with_rank(df: DataFrame, t: str, ties: Sequence[str] = (), width: int = 1 <<
     ``t`` is a long column.  Two shuffles of ``df`` at most, neither on ``by``
     alone.  Equal rows get different ranks, in no fixed order among themselves.
     """
-    b = df.withColumn("__b", bucket_of(F.col(t), width))
-    sizes = b.groupBy(by, "__b").agg(F.count("*").alias("__c"))
-    before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(by, "__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
-    inside = Window.partitionBy(by, "__b").orderBy(F.col(t).asc_nulls_first(), *[F.col(x).asc_nulls_first() for x in ties])
+    b = df.withColumn("__rank_b", bucket_of(F.col(t), width))
+    sizes = b.groupBy(by, "__rank_b").agg(F.count("*").alias("__rank_c"))
+    before = Window.partitionBy(by).orderBy("__rank_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(by, "__rank_b", F.coalesce(F.sum("__rank_c").over(before), F.lit(0)).alias("__rank_o"))
+    inside = Window.partitionBy(by, "__rank_b").orderBy(F.col(t).asc_nulls_first(), *[F.col(x).asc_nulls_first() for x in ties])
     return (
-        b.withColumn("__i", F.row_number().over(inside))
-        .join(offsets, [by, "__b"])
-        .withColumn(out, F.col("__o") + F.col("__i") - 1)
-        .drop("__b", "__i", "__o")
+        b.withColumn("__rank_i", F.row_number().over(inside))
+        .join(offsets, [by, "__rank_b"])
+        .withColumn(out, F.col("__rank_o") + F.col("__rank_i") - 1)
+        .drop("__rank_b", "__rank_i", "__rank_o")
     )
 
 
@@ -74,6 +74,26 @@ def with_previous(df: DataFrame, value: Column, out: str, rank: str = "__rank",
     )
 
 
+def with_neighbours(df: DataFrame, value: Column, out: dict[str, int], rank: str = "__rank", chunk: int = 1024, by: str = KEY) -> DataFrame:
+    """Adds columns of ``value`` of the rows at the given distances (-2: two before, 1: the next) in the same ``by``.
+
+    ``rank`` must be dense.  Rows near a chunk's borders are also sent to the
+    chunks beyond them, so every group holds little more than ``chunk`` rows.
+    """
+    c, at = F.floor(F.col(rank) / chunk), F.col(rank) % chunk
+    back, ahead = max([0, *(-d for d in out.values())]), max([0, *out.values()])
+    places = F.concat(F.array(c), F.when(at >= chunk - back, F.array(c + 1)).otherwise(F.slice(F.array(c), 1, 0)), F.when((at < ahead) & (c > 0), F.array(c - 1)).otherwise(F.slice(F.array(c), 1, 0)))
+    spread = df.withColumn("__v", value).withColumn("__c", F.explode(places))
+    w = Window.partitionBy(by, "__c").orderBy(rank)
+    near = {name: F.lag("__v", -d).over(w) if d < 0 else F.lead("__v", d).over(w) for name, d in out.items()}
+    return spread.withColumns(near).where(F.col("__c") == F.floor(F.col(rank) / chunk)).drop("__v", "__c")
+
+
+def whole_order(half: Column, start: Column) -> Column:
+    """One number that orders by half, then by start in milliseconds; nulls first in each."""
+    return F.coalesce(half, F.lit(-1)).cast("long") * (1 << 44) + F.coalesce(start, F.lit(-(1 << 42)))
+
+
 def with_running_max(df: DataFrame, value: Column, out: str, before: bool = False, rank: str = "__rank", chunk: int = 1024, by: str = KEY) -> DataFrame:
     """Adds ``out``: the largest ``value`` of the rows up to this one (``before``: up to the one before), in order of rank.
 

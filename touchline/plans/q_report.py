@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import text as T
 from touchline.operators import guards, report, search
+from touchline.operators.ordered import millis, whole_order
 from touchline.plans import clean as C
 from touchline.plans.q_text import S_NONLATIN, S_RATIO
 from touchline.plans.q_window import S_W2, SEG, segments
@@ -283,7 +284,8 @@ def m9(spark, sf_dir):
     import re
 
     lower = lambda df: df["wrapped"].map(lambda t: re.sub(r"<([^<>]+)>", lambda m: m[1].lower(), t))
-    return guards.guarded_edits(segments(spark, sf_dir).where("text is not null"), ["seg_key"], "match_id", ["feed", "half", "start_time", "ord", "segment_id"], "text", "words", "frozen_word_indices", lower)
+    s = segments(spark, sf_dir).where("text is not null").withColumn("at", whole_order(F.col("half"), millis("start_time"))).withColumn("whole", F.concat_ws("/", "match_id", "feed"))
+    return guards.guarded_edits(s, ["seg_key"], "whole", ["at", "ord", "segment_id"], "text", "words", "frozen_word_indices", lower)
 
 
 @query("ref_m10_restored")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import text as T
 from touchline.operators import folds
+from touchline.operators.ordered import entity, millis, whole_order, with_neighbours, with_rank
 from touchline.plans.registry import W, query, s_indel, s_strip, s_words
 from touchline.sources.tables import HALF, table
 
@@ -146,6 +147,12 @@ def w11(spark, sf_dir):
     return c.groupBy("match_id", F.lower("original").alias("key")).agg(F.count("*").alias("n"), F.min_by("corrected", "correction_id").alias("decision"), F.min_by("method", "correction_id").alias("method"))
 
 
+def in_match_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments numbered within their match by half, start, ord, id."""
+    s = segments(spark, sf_dir).select(entity(MATCH), "seg_key", whole_order(F.col("half"), millis("start_time")).alias("__t"), "ord", "segment_id")
+    return with_rank(s, "__t", ["ord", "segment_id"])
+
+
 @query(
     "ref_j13_neighbours",
     f"""with {SEG} select seg_key, lag(seg_key, 2) over w as before2, lag(seg_key) over w as before1, lead(seg_key) over w as after1 from seg
@@ -153,13 +160,13 @@ window w as (partition by match_id, feed order by half, start_time, ord, segment
 )
 def j13(spark, sf_dir):
     """Context rows cross halves, as rows of a match are one list."""
-    w = Window.partitionBy(*MATCH).orderBy("half", "start_time", "ord", "segment_id")
-    return segments(spark, sf_dir).select("seg_key", F.lag("seg_key", 2).over(w).alias("before2"), F.lag("seg_key").over(w).alias("before1"), F.lead("seg_key").over(w).alias("after1"))
+    near = with_neighbours(in_match_order(spark, sf_dir), F.col("seg_key"), {"before2": -2, "before1": -1, "after1": 1})
+    return near.select("seg_key", "before2", "before1", "after1")
 
 
 @query("ref_t1_stable_sort", f"with {SEG} select seg_key, row_number() over (partition by match_id, feed order by half, start_time, ord, segment_id) as n from seg")
 def t1(spark, sf_dir):
-    return segments(spark, sf_dir).select("seg_key", F.row_number().over(Window.partitionBy(*MATCH).orderBy("half", "start_time", "ord", "segment_id")).alias("n"))
+    return in_match_order(spark, sf_dir).select("seg_key", (F.col("__rank") + 1).alias("n"))
 
 
 @query(
