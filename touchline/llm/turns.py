@@ -203,6 +203,7 @@ def _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name,
         )).alias("__pos", "__p"),
     ).select(KEY, "__id", "__t", "__pos", F.col("__p.label").alias("__label"), F.col("__p.said").alias("__said"))
     pieces = pieces.withColumn("__key", label_key(F.col("__label"))).withColumn("__kid", F.to_json(KEY)).withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int"))
+    pieces = cut_lineage(pieces)  # read twice below; parsing the texts is the dear part
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf["__sid"] = pd.array(resolve_labels(pdf["__key"].tolist(), pdf["n"].tolist(), known, ids), dtype="Int32")
