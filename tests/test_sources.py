@@ -1,10 +1,13 @@
 """Files in and out."""
 
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators.report import report_text, stage_breakdown
+from touchline.plans import q_report
 from touchline.sources import json_files, sinks
 from touchline.streaming import windows
 
@@ -69,6 +72,41 @@ def test_cleaned_documents_split_by_half(spark, tmp_path):
     assert value.startswith('Part 1\n\n{"segments": {"0": [1.25, 2.0, "t1"]}}\n\nPart 2')
 
 
+def test_documents_and_exports_of_every_feed(spark, tmp_path):
+    rows = [("m", f, None, "2020", "A", 1, "0", 0, 1.25, e, f"t{f}") for f, e in (("stock", 2.0), ("kb", None))] + [("m", "kb", None, "2020", "A", 1, "1", 1, 3.0, 4.0, None)]
+    seg = spark.createDataFrame(rows, "match_id string, feed string, league string, season string, match_name string, half int, segment_id string, ord long, start_time double, end_time double, text string")
+    cor = spark.createDataFrame([("m", "kb", 1, "0", "x", "y", 90.0, "m", "entity")], "match_id string, feed string, half int, segment_id string, original string, corrected string, score double, method string, stage string")
+    gone = seg.where("text is null").select("match_id", "feed", "half", "segment_id", "start_time", "text", F.lit("empty_segment").alias("reason"), F.lit(None).cast("string").alias("duplicate_of"), F.lit(None).cast("double").alias("similarity"))
+    docs = sinks.cleaned_documents(seg.where("text is not null"), cor, gone, seg)
+    by = {r.feed: json.loads(r.value) for r in docs.collect()}
+    meta = {f: v["cleaning_metadata"] for f, v in by.items()}
+    assert {f: v["segments"]["0"]["text"] for f, v in by.items()} == {"stock": "tstock", "kb": "tkb"}
+    assert by["kb"]["segments"]["0"]["global_id"] == "m__h1__s0" and meta["kb"]["match_id"] == "m"
+    assert [c["original"] for c in meta["kb"]["corrections"]] == ["x"] and [c["segment_id"] for c in meta["kb"]["removed"]] == ["1"]
+    assert (meta["kb"]["original_segment_count"], meta["kb"]["cleaned_segment_count"]) == (2, 1)
+    assert not meta["stock"].get("corrections") and not meta["stock"].get("removed")
+    sinks.write_documents(docs, str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 2
+    exported = {r.feed: r.value for r in sinks.export_blocks(seg).collect()}
+    assert exported == {"stock": 'Part 1\n\n{"segments": {"0": [1.25, 2.0, "tstock"]}}', "kb": 'Part 1\n\n{"segments": {"0": [1.25, null, "tkb"], "1": [3.0, 4.0, null]}}'}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_sink_queries_leave_no_feed_out(spark):
+    folder = "/root/testdata/sf0.001"
+    seg = spark.read.parquet(f"{folder}/segments.parquet")
+    docs = q_report.k1(spark, folder).collect()
+    kept = q_report.cleaned(spark, folder)[1]
+    halves = lambda rows: {(r.match_id, r.feed, r.half) for r in rows}
+    assert halves(docs) == halves(kept.select("match_id", "feed", "half").distinct().collect())
+    metas = [json.loads(r.value)["cleaning_metadata"] for r in docs]
+    assert any(m.get("corrections") for m in metas) and any(m.get("removed") for m in metas)
+    blocks = {(r.match_id, r.feed): r.value for r in q_report.k4(spark, folder).collect()}
+    assert set(blocks) == {(r.match_id, r.feed) for r in seg.select("match_id", "feed").distinct().collect()}
+    parts = [json.loads(p.split("\n\n")[1]) for v in blocks.values() for p in v.split("\n\nPart ")]
+    assert sum(len(p["segments"]) for p in parts) == seg.select("match_id", "feed", "half", "segment_id").distinct().count()
+
+
 def test_upsert_snapshot_and_tables(spark, tmp_path):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "id string, v int")
