@@ -111,6 +111,18 @@ def test_repetition_operator_edges(spark):
     assert repetition(df.limit(0), "id", "text").count() == 0
 
 
+def test_loops_do_not_decide_what_is_prose(spark):
+    prose = "the ball goes wide and the keeper takes it slowly"
+    rows = [(i, prose, "en") for i in range(20)] + [(i, "Bei Regen", "en") for i in range(20, 60)]
+    rows += [(100, prose + ". " + "Bei Regen " * 40, "en"), (101, prose + "\n\n" + "Bei Regen\n\n" * 40, "en"), (102, "Arvo Regen Bei Torin Ulrik " * 40, "en"), (103, "", "en")]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    vocabulary = learn_vocabulary(df.where("id < 60"), "text")
+    got = {r.row_id: (r.prose, r.share > 0.4) for r in repetition(df.where("id >= 100"), "id", "text", vocabulary).collect()}
+    assert got == {100: (True, True), 101: (True, True), 102: (False, True), 103: (False, False)}
+    model = langid.fit_model({"en": [prose], "de": ["Bei Regen"]})
+    assert {r.row_id: r.prose for r in langid.document_languages(df.where("id >= 100"), "id", "text", "lang", model, vocabulary).collect()} == {100: True, 101: True, 102: False}
+
+
 # --- tokens ---
 
 needs_files = pytest.mark.skipif(not __import__("os").path.exists(TOKENIZER), reason="no vocabulary files")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.bytesview import Words, buffers, per_text, slices
-from touchline.llm.textquality import is_prose, text_stats
+from touchline.llm.repetition import prose_once, repeats, with_prose
 from touchline.llm.vocabulary import Vocabulary, member
 
 ORDER = 3
@@ -226,7 +226,8 @@ def fit_languages(df: DataFrame, row_id: str, text: str, label: str, per_languag
 
 def _prose(texts: list[str], vocabulary: Vocabulary) -> list[str]:
     raw, offsets = buffers(pa.array(texts, type=pa.large_string()))
-    fine = is_prose(text_stats(raw, offsets, vocabulary))
+    w = Words(raw, offsets)
+    fine = prose_once(w, repeats(w), vocabulary)
     return [t for t, f in zip(texts, fine) if f]
 
 
@@ -277,7 +278,7 @@ def document_languages(df: DataFrame, row_id: str, text: str, label: str, model:
     Returns row_id, label_code (null: missing or no language), part_no (from
     1), lang and confidence of the paragraph, doc_lang (the language of most
     words), doc_confidence (the share of words in it), doc_langs (how many
-    languages its paragraphs have), prose.  A paragraph too short to decide
+    languages its paragraphs have), prose (of its words that don't repeat).  A paragraph too short to decide
     takes the document's language.
 
     Defined results: null, blank and wordless documents give no rows; of two
@@ -286,13 +287,15 @@ def document_languages(df: DataFrame, row_id: str, text: str, label: str, model:
     equal id count once; other columns are ignored.
     """
     docs = df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), F.col(label).alias("label")).where(r"text rlike '(?U)\\S'").groupBy("row_id").agg(F.min(F.struct("text", "label")).alias("x"))
-    parts = F.filter(F.split(F.col("x.text"), PARAGRAPH_BREAK), lambda t: t.rlike(r"(?U)\S"))
-    rows = docs.select("row_id", language_code(F.col("x.label")).alias("label_code"), F.posexplode(parts).alias("p", "part"))
-    rows = rows.select("row_id", "label_code", (F.col("p") + 1).alias("part_no"), "part")
-    scored = score_texts(rows, ["row_id", "label_code", "part_no"], "part", model, vocabulary)
+    # a phrase may loop across paragraphs, so the whole text tells whether it is prose
+    whole = with_prose(docs.select("row_id", language_code(F.col("x.label")).alias("label_code"), F.col("x.text").alias("text")), "text", vocabulary, prose_share, mixed_share)
+    parts = F.filter(F.split(F.col("text"), PARAGRAPH_BREAK), lambda t: t.rlike(r"(?U)\S"))
+    rows = whole.select("row_id", "label_code", "prose", F.posexplode(parts).alias("p", "part"))
+    rows = rows.select("row_id", "label_code", "prose", (F.col("p") + 1).alias("part_no"), "part")
+    scored = score_texts(rows, ["row_id", "label_code", "prose", "part_no"], "part", model)
     # a document's paragraphs meet once; they were one row before
-    doc = scored.groupBy("row_id", "label_code").agg(
-        F.sum("words").alias("n"), F.sum("common").alias("common"), F.sum("mixed").alias("mixed"),
+    doc = scored.groupBy("row_id", "label_code", "prose").agg(
+        F.sum("words").alias("n"),
         *[F.sum(F.when(F.col("lang") == c, F.col("words")).otherwise(0)).alias(f"n_{c}") for c in model.languages],
         F.collect_list(F.struct("part_no", "lang", "confidence")).alias("parts"),
     )
@@ -300,8 +303,7 @@ def document_languages(df: DataFrame, row_id: str, text: str, label: str, model:
     top = F.array_min(votes)
     doc = doc.select(
         "row_id", "label_code", "parts", F.when(top["n"] < 0, top["lang"]).alias("doc_lang"), (-top["n"] / F.greatest("n", F.lit(1))).alias("doc_confidence"),
-        F.size(F.filter(votes, lambda v: v["n"] < 0)).alias("doc_langs"),
-        ((F.col("common") >= prose_share * F.col("n")) & (F.col("mixed") < mixed_share * F.col("n"))).alias("prose"),
+        F.size(F.filter(votes, lambda v: v["n"] < 0)).alias("doc_langs"), "prose",
     )
     return doc.select(
         "row_id", "label_code", "doc_lang", "doc_confidence", "doc_langs", "prose", F.explode("parts").alias("p")
