@@ -1,12 +1,16 @@
 """Operators on small fixtures, and against plain Python."""
 
+import os
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import align, entity, evaluate, folds, gazetteer, guards, search
 from touchline.operators.intervals import periods_and_gaps
+from touchline.plans import q_entity
 
 KEYS = ("m", "h")
 
@@ -242,3 +246,14 @@ def test_neighbours_across_chunks(spark):
     got = {r["__rank"]: (r.a, r.b, r.c) for r in with_neighbours(df, F.col("__rank"), {"a": -2, "b": -1, "c": 1}, chunk=5).collect()}
     near = lambda i: i if 0 <= i < 23 else None
     assert got == {i: (near(i - 2), near(i - 1), near(i + 1)) for i in range(23)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_short_segment_names_are_whole(spark):
+    folder = "/root/testdata/sf0.001"
+    name = re.compile(r"\b([A-ZÅÄÖÆØ][a-zà-ÿ]+(?:['-][A-Za-zÅÄÖÆØà-ÿ]+)*)\b")
+    texts = {r.seg_key: r.text for r in spark.read.parquet(f"{folder}/segments.parquet").where("text is not null").select("seg_key", "text").collect()}
+    want = Counter((k, w) for k, t in texts.items() if len(t.split()) <= 3 for w in name.findall(t) if len(w) >= 3)
+    assert Counter((r.seg_key, r.text) for r in q_entity.m2_names(spark, folder).collect()) == want
+    df = spark.createDataFrame([(1, "¡Gol! Ulrik-Ruketdijk"), (2, "one two three Four")], "seg_key long, text string")
+    assert [r.text for r in entity.short_segment_names(df, ["seg_key"], "text").collect()] == ["Gol", "Ulrik-Ruketdijk"]

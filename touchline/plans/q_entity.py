@@ -207,12 +207,18 @@ def p11(spark, sf_dir):
 
 @query("ref_m2_short_segments", f"with {SEG} select seg_key, trim(w, '.,!?') as text from (select seg_key, unnest({s_words('text')}) w from seg where text is not null and len({s_words('text')}) <= 3) where regexp_matches(trim(w, '.,!?'), '^[A-ZÅÄÖÆØ][a-zà-ÿ]{{2,}}$')")
 def m2(spark, sf_dir):
-    """Of the found words those that are a whole plain word, which SQL can check."""
+    """Of the found words those that are a whole plain word, which SQL can check; all of them in ref_m2_short_segment_names."""
     out = N.short_segment_names(segments(spark, sf_dir).where("text is not null"), ["seg_key"], "text")
     whole = segments(spark, sf_dir).select("seg_key", F.transform(T.words(F.col("text")), lambda w: T.strip_chars(w, ".,!?")).alias("ws"))
     return out.where(F.col("text").rlike(r"^[A-ZÅÄÖÆØ][a-zà-ÿ]{2,}$")).join(whole, "seg_key").where(F.array_contains("ws", F.col("text"))).select("seg_key", "text")
 
 
+@query("ref_m2_short_segment_names")
+def m2_names(spark, sf_dir):
+    """No SQL: word bounds it has not (brute force in the tests).  Every word the operator finds."""
+    return N.short_segment_names(segments(spark, sf_dir).where("text is not null"), ["seg_key"], "text")
+
+
 @query(
     "ref_m3_capital_spans",
     f"""with {SEG}, w as (select seg_key, text, unnest({s_words('text')}) w, generate_subscripts({s_words('text')}, 1) i from seg where text is not null), b as (select seg_key, i, trim(w, '.,!?;:''"') t from w)
