@@ -1,10 +1,15 @@
 """Scalar functions on single values."""
 
+import os
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import similarity as S
 from touchline.functions import text as T
+from touchline.plans import q_text
 
 
 def one(spark, f, *values):
@@ -101,3 +106,12 @@ def test_metaphone_and_phonetic(spark):
     assert S.metaphone_of("Thompson") == S.metaphone_of("Thomson") or S.metaphone_of("Thompson")[:1] == "0"
     assert S.metaphone_of("Knight") == S.metaphone_of("Night")
     assert one(spark, lambda a, b: T.phonetic_score(a, b, F.lit("en")), "Müller", "Muller") == 100.0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_capitalised_words_are_counted_with_joins(spark):
+    name = re.compile(r"\b([A-ZÅÄÖÆØ][a-zà-ÿ]+(?:['-][A-Za-zÅÄÖÆØà-ÿ]+)*)\b")
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/segments.parquet").where("text is not null").select("seg_key", "text").collect()
+    assert Counter((r.seg_key, r.found) for r in q_text.p7_all(spark, folder).collect()) == Counter((r.seg_key, len(name.findall(r.text))) for r in rows)
+    assert one(spark, T.capitalised_words, "Ulrik-Ruketdijk and Sijopqvist's x") == ["Ulrik-Ruketdijk", "Sijopqvist's"]

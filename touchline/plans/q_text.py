@@ -54,6 +54,14 @@ seg(
     found=(lambda: F.size(F.regexp_extract_all(t(), F.lit(r"(?<![\p{L}\p{N}_'-])([A-ZÅÄÖÆØ][a-zà-ÿ]+)(?![\p{L}\p{N}_'-])"), 1)),
            r"len(regexp_extract_all(regexp_replace(regexp_replace(' ' || text || ' ', '([^\p{L}\p{N}_''-]+)', ' \1 ', 'g'), ' ', '  ', 'g'), '[^\p{L}\p{N}_''-]([A-ZÅÄÖÆØ][a-zà-ÿ]+)[^\p{L}\p{N}_''-]', 1))"),
 )
+
+
+@query("ref_p7_all_capitalised_words")
+def p7_all(spark, sf_dir):
+    """No SQL: word bounds it has not (brute force in the tests).  The whole operator; ref_p7_capitalised_words counts only words without joins, which SQL can check."""
+    return table(spark, sf_dir, "segments").where(TX).select("seg_key", F.size(T.capitalised_words(t())).alias("found"))
+
+
 on("ref_p10_confidence_band", "corrections", "correction_id", {"band": (lambda: T.confidence_band(F.col("score")), "case when score >= 80 then 'high' when score >= 70 then 'medium' else 'low' end")}, "score is not null and not isnan(score)")
 on(
     "ref_p9_target_in_text", "segments", "seg_key",
