@@ -2,10 +2,12 @@
 
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.functions import text as T
 from touchline.operators.report import report_text, stage_breakdown
 from touchline.plans import q_report
 from touchline.sources import json_files, sinks
@@ -107,6 +109,25 @@ def test_sink_queries_leave_no_feed_out(spark):
     assert sum(len(p["segments"]) for p in parts) == seg.select("match_id", "feed", "half", "segment_id").distinct().count()
 
 
+def test_audit_rows_of_hesitations_and_compounds(spark):
+    def brute(text, language):
+        pause = re.compile(r"\b(?:" + "|".join(T.DISFLUENCIES) + r")\b", re.I)
+        rows = [(m.group(), "", m.start()) for m in pause.finditer(text)]
+        text = pause.sub("", text)
+        for wrong, right in T.COMPOUNDS.get(language, {}).items():
+            found = re.compile(rf"\b{re.escape(wrong)}\b", re.I)
+            rows += [(m.group(), right, m.start()) for m in found.finditer(text)]
+            text = found.sub(right, text)
+        return rows
+
+    texts = [("um, the Off side flag, eh, and off side again after a throw in", "en"), ("åh uh uh mål vakt och Mål Vakt, fri spark", "sv"), ("mål vakt um", "en"), ("", "sv"), ("um", "xx"), ("mid fielder over time mid field", "en")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "id int, t string, l string")
+    got = df.select("id", F.inline(T.normalisation_audit(F.col("t"), F.col("l")))).collect()
+    by = {i: [(r.original, r.corrected, r.position) for r in got if r.id == i] for i in range(len(texts))}
+    assert by == {i: brute(*x) for i, x in enumerate(texts)} and len(by[0]) == 5 and len(by[1]) == 5
+    assert {(r.method, r.stage, r.confidence) for r in got} == {("normalization", "2A", 1.0)}
+
+
 def test_upsert_snapshot_and_tables(spark, tmp_path):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "id string, v int")

@@ -166,6 +166,40 @@ def normalise(c: Column, language: Column) -> Column:
     return squeeze_space(squeeze_punct(merged))
 
 
+def _spans(c: Column, pattern: Column) -> Column:
+    """Matches of a pattern's only group, and their first characters' places, as structs."""
+    hits, gaps = F.regexp_extract_all(c, pattern, F.lit(1)), F.split(c, pattern, -1)
+    chars = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
+    return F.transform(hits, lambda h, i: F.struct(h.alias("w"), (chars(gaps, i + 1) + chars(hits, i)).alias("at")))
+
+
+def normalisation_audit(c: Column, language: Column) -> Column:
+    """original, corrected, method, stage, position, confidence of each removed hesitation and merged compound, in order.
+
+    Positions are of the text as each step finds it: the given one for
+    hesitations, for a compound the one the earlier steps have made.
+    """
+
+    def row(span: Column, corrected: Column) -> Column:
+        return F.struct(span["w"].alias("original"), corrected.alias("corrected"), F.lit("normalization").alias("method"), F.lit("2A").alias("stage"), span["at"].alias("position"), F.lit(1.0).alias("confidence"))
+
+    pairs = F.array().cast("array<struct<wrong:string,right:string>>")
+    for code, table in COMPOUNDS.items():
+        pairs = F.when(language == code, F.array(*[F.struct(F.lit(w).alias("wrong"), F.lit(r).alias("right")) for w, r in table.items()])).otherwise(pairs)
+
+    def step(acc: Column, pair: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?iU)\b("), pair["wrong"], F.lit(r")\b"))
+        merged = F.struct(
+            F.regexp_replace(acc["text"], pattern, pair["right"]).alias("text"),
+            F.concat(acc["rows"], F.transform(_spans(acc["text"], pattern), lambda x: row(x, pair["right"]))).alias("rows"),
+        )
+        return F.when(F.contains(F.lower(acc["text"]), pair["wrong"]), merged).otherwise(acc)
+
+    pauses = _spans(c, F.lit(r"(?iU)\b(" + "|".join(DISFLUENCIES) + r")\b"))
+    start = F.struct(drop_disfluencies(c).alias("text"), F.transform(pauses, lambda x: row(x, F.lit(""))).alias("rows"))
+    return F.aggregate(pairs, start, step, lambda acc: acc["rows"])
+
+
 def collapse_repeats(c: Column) -> Column:
     """[W3] Runs of three or more equal words become the first; texts of three words and more are joined by single spaces."""
 
