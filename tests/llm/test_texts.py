@@ -64,6 +64,13 @@ def test_words_agree_with_a_regular_expression():
     assert [i for i, j in slices(offsets, 10)][0] == 0
 
 
+def test_long_writings_of_the_list_are_found(spark):
+    name = " ".join(f"{a}{b}rin" for a in "bdfgklmnprst" for b in "aeiou")
+    refs = spark.createDataFrame([(1, name, [], "player"), (2, "Torin", [], "player")], "ref_id long, canonical string, aliases array<string>, entity_type string")
+    df = spark.createDataFrame([("f", 1, name), ("f", 2, "Torin")], "f string, r long, v string")
+    assert len(name) > 200 and {r.r: r.ref_id for r in map_to_list(df, refs, ["f", "r"], "v").collect()} == {1: 1, 2: 2}
+
+
 # --- repetition ---
 
 

@@ -88,7 +88,9 @@ def map_to_list(
         return F.when((gap >= 0) & (gap * 3 <= F.length(w)), gap)
 
     keys = rows.select("__key").where(F.col("__key") != "").distinct()
-    probes = keys.where(F.length("__key") <= longest).select("__key", F.explode(grams(F.col("__key"))).alias("__g"))
+    # a list with long writings widens the bound, so that each can still be found
+    bound = entries.agg(F.greatest(F.lit(longest), F.coalesce(F.max(F.length("__w")), F.lit(0)) + slips).alias("__longest"))
+    probes = keys.join(F.broadcast(bound)).where(F.length("__key") <= F.col("__longest")).select("__key", F.explode(grams(F.col("__key"))).alias("__g"))
     # the norm of a value: seen trigrams by their weight, others by the largest
     size = (
         probes.join(weights, "__g", "left").join(F.broadcast(top))
