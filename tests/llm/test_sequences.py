@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from touchline.llm.nearest import nearest_in_time
 from touchline.llm.runs import repeated_runs
-from touchline.llm.turns import resolve_labels, speaker_turns, turn_pieces
+from touchline.llm.turns import resolve_labels, speaker_turns, turn_pieces, turn_texts
+from touchline.operators.ordered import KEY
 
 KEYS = ("m", "h")
 
@@ -140,7 +141,47 @@ def test_too_many_speakers_are_refused(spark):
         speaker_turns(segs(spark, []), sp, KEYS, "id", "s", "t", most_speakers=2)
 
 
-def test_labels_cluster_by_initial_and_surname():
-    known = {"norijulvares": (9, "o"), "ardamordijk": (7, "o")}
+def resolved(spark, labels, known):
+    """Speaker ids of (label, times used) in one transcript, None where none is meant."""
+    rows = spark.createDataFrame([(1, k, n) for k, n in labels], "m int, label string, n long").select(F.struct("m").alias(KEY), "label", "n")
+    got = {r.label: r.sid for r in resolve_labels(rows, spark.createDataFrame(known, "sid int, name string")).collect()}
+    return [got.get(k) for k, _ in labels]
+
+
+def test_labels_cluster_by_initial_and_surname(spark):
+    known = [(9, "oskar norijulvares"), (7, "oskar ardamordijk")]
     keys = ["norijulvares", "o norijulvares", "nolijulvares", "norijulvars", "music", "#9", "#99", "ardamordik", ""]
-    assert resolve_labels(keys, [5, 3, 1, 1, 9, 1, 1, 1, 1], known, {7, 9}) == [9, 9, 9, 9, None, 9, None, 7, None]
+    assert resolved(spark, list(zip(keys, [5, 3, 1, 1, 9, 1, 1, 1, 1])), known) == [9, 9, 9, 9, None, 9, None, 7, None]
+
+
+def test_speakers_of_one_surname_are_told_by_initial(spark):
+    known = [(1, "anna smith"), (2, "bert smith")]
+    assert resolved(spark, [("a smith", 1), ("b smith", 1)], known) == [1, 2]
+    assert resolved(spark, [("a smith", 1), ("b smith", 1), ("c smith", 1)], known) == [1, 2, None]
+    assert resolved(spark, [("smith", 4)], known) == [None]
+
+
+def test_chained_labels_are_one_cluster(spark):
+    # the outer two differ in more letters than may differ, the middle one links them
+    known = [(7, "oskar ardamordijk")]
+    assert resolved(spark, [("ardamordijk", 1), ("ardamorduk", 3), ("ardomarduk", 1)], known) == [7, 7, 7]
+    chain = ["abcdefghijklmnop", "abcdefghijklmxyz", "abcdefghijuvwxyz", "abcdefgrstuvwxyz", "abcdqqqrstuvwxyz"]
+    assert resolved(spark, [(c, 1) for c in chain], [(3, "a " + chain[0])]) == [3] * 5
+
+
+def test_labels_of_other_transcripts_do_not_link(spark):
+    rows = spark.createDataFrame([(1, "ardamordijk", 1), (1, "ardamorduk", 1), (2, "ardomarduk", 1)], "m int, label string, n long").select(F.struct("m").alias(KEY), "label", "n")
+    got = {(r[KEY].m, r.label): r.sid for r in resolve_labels(rows, spark.createDataFrame([(7, "oskar ardamordijk")], "sid int, name string")).collect()}
+    assert got == {(1, "ardamordijk"): 7, (1, "ardamorduk"): 7}
+
+
+def test_turn_texts_are_clean(spark):
+    rows = [("x", 1, f"i{k}", float(k), k + 0.5, k, t) for k, t in enumerate([
+        "nobody yet", "Skandueywicz: uh, so um the ball", "[whistle]", "äh and more uh. Er ist hier, er, ja", "0:05 Norijulvares: now  me ♪ la ♪", "Hmm.", "este partido eh... sigue",
+    ])]
+    sp = spark.createDataFrame(SPEAKERS, "speaker_id int, speaker_name string")
+    got = [(r.turn_no, r.speaker_id, r.part_no, r.text) for r in turn_texts(segs(spark, rows), sp, KEYS, "id", "s", "t").orderBy("turn_no").collect()]
+    assert got == [(0, 1, 0, "so the ball and more. Er ist hier, ja"), (1, 9, 0, "now me este partido sigue")]
+    cut = turn_texts(segs(spark, rows), sp, KEYS, "id", "s", "t", part_pieces=1).orderBy("turn_no", "part_no").collect()
+    assert [(r.turn_no, r.part_no, r.text) for r in cut] == [(0, 0, "so the ball"), (0, 1, "and more. Er ist hier, ja"), (1, 0, "now me"), (1, 1, "este partido sigue")]
+    assert turn_texts(segs(spark, []), sp, KEYS, "id", "s", "t").count() == 0

@@ -13,7 +13,7 @@ from touchline.llm.repetition import repetition
 from touchline.llm.runs import repeated_runs
 from touchline.llm.textquality import text_types
 from touchline.llm.tokenize import token_ids
-from touchline.llm.turns import speaker_turns
+from touchline.llm.turns import speaker_turns, turn_texts
 from touchline.llm.vocabulary import learn_vocabulary
 from touchline.sources.tables import HALF, table
 
@@ -59,6 +59,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*HALF, "speaker_id", F.col("first_id").alias("first_segment_id"), F.col("last_id").alias("last_segment_id"))
 
 
+@query("p2_turns")
+def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 2: the clean text of the turns."""
+    return turn_texts(table(spark, sf_dir, "raw_segments"), table(spark, sf_dir, "speakers"), HALF, "segment_id", "start_time", "text")
+
+
 @query(
     "p3_found",
     """

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.utterance import folded, spoken
-from touchline.operators.ordered import KEY, entity, millis, with_previous, with_rank
+from touchline.llm.utterance import folded, spoken, without_hesitations
+from touchline.operators.closewords import close_pairs
+from touchline.operators.ordered import KEY, entity, millis, with_previous, with_rank, with_running_max
 from touchline.session import cut_lineage
 
 TIME_MARK = r"[<\[(]\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?[>\])]|(?<![\p{L}\p{N}])\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?(?:\s+-(?=\s|$))?"
@@ -19,8 +18,8 @@ NAME = r"(?:\p{L}\.?[  ]+|\p{L}[\p{L}\p{M}'’-]+[  ]+)?\p{L}[\p{L}\p{M}'’-]
 LABEL = (
     r"(?iU)(?:>>\s*)?(?:\[\s*(?:spk|speaker)[_ ]?\d+\s*\]|\b(?:speaker|spk)[_ ]?\d+\s*:"
     r"|<[^<>]{2,80}>|\[[^\[\]]{2,80}\]"
-    rf"|(?<![\p{{L}}\p{{N}}]){NAME}(?:\s*\([^()]{{2,40}}\))?\s*:"
-    r"|(?<![\p{L}\p{N}])\p{L}\.?[  ]+\p{L}[\p{L}\p{M}'’-]+\s+-(?=\s|$))"
+    rf"|(?<![\p{{L}}\p{{N}}'’]){NAME}(?:\s*\([^()]{{2,40}}\))?\s*:"
+    r"|(?<![\p{L}\p{N}'’])\p{L}\.?[  ]+\p{L}[\p{L}\p{M}'’-]+\s+-(?=\s|$))"
 )
 
 
@@ -32,98 +31,81 @@ def label_key(c: Column) -> Column:
     return F.when(number != "", F.concat(F.lit("#"), number)).otherwise(name)
 
 
-@lru_cache(maxsize=1 << 17)
-def _distance(a: str, b: str) -> int:
-    """Edit distance."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, diag = i, row[0]
-        row[0] = i
-        for j, y in enumerate(b, 1):
-            left = min(row[j] + 1, left + 1, diag + (x != y))
-            diag, row[j] = row[j], left
-    return row[-1]
+def slips(a: Column, b: Column) -> Column:
+    """Edits by which surnames of these lengths may differ: a letter in four, three at most."""
+    return F.least(F.floor(F.greatest(a, b) / 4), F.lit(3)).cast("int")
 
 
-def _close(a: str, b: str) -> bool:
-    """Whether two surnames may be writings of one: a letter in four may differ, three at most."""
-    most = min(3, max(len(a), len(b)) // 4)
-    return a == b or abs(len(a) - len(b)) <= most and _distance(a, b) <= most
+def _name(key: Column) -> tuple[Column, Column]:
+    """Initial ('' if none) and surname of folded words."""
+    words = F.split(key, " ")
+    return F.when(F.size(words) > 1, F.substring(key, 1, 1)).otherwise(F.lit("")), F.element_at(words, -1)
 
 
-def _parts(key: str) -> tuple[str, str]:
-    """Initial ('' if none) and surname."""
-    words = key.split(" ")
-    return (words[0][:1] if len(words) > 1 else ""), words[-1]
+def _agree(a: str, b: str) -> Column:
+    """Whether two initials don't contradict each other."""
+    return (F.col(a) == "") | (F.col(b) == "") | (F.col(a) == F.col(b))
 
 
-def resolve_labels(keys: Sequence[str], counts: Sequence[int], known: dict[str, tuple[int, str]], ids: set[int]) -> list[int | None]:
-    """Speaker ids of the label keys of one transcript; None where none is meant.
+def components(nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """(KEY, node, root): the smallest node that each node is linked to over any number of links.
 
-    Named labels are clustered by union-find: two are joined if their initials
-    don't contradict each other and their surnames are close.  Labels are
-    looked at from the most frequent down and compared with the first label of
-    each cluster only.  A cluster takes the known speaker its members are
-    nearest to, weighted by their number; if members are exact writings of
-    different speakers each goes to its own.
+    links: KEY, src, dst, in both directions, both ends in ``nodes``.  This is
+    union-find as joins: each round every node takes the smallest root among
+    its neighbours and itself, then its root's root, until nothing changes; the
+    paths shrink by halves.  Only linked nodes take part in the rounds.
     """
-    parent = list(range(len(keys)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    first: dict[tuple[str, str], int] = {}
-    heads: list[int] = []
-    order = sorted((i for i, k in enumerate(keys) if k and k[0] != "#"), key=lambda i: (-counts[i], keys[i]))
-    for i in order:
-        initial, surname = _parts(keys[i])
-        twin = first.get((initial, surname))
-        if twin is not None:
-            parent[find(i)] = find(twin)
-            continue
-        first[initial, surname] = i
-        for h in heads:
-            other, name = _parts(keys[h])
-            if (not initial or not other or initial == other) and _close(surname, name):
-                parent[find(i)] = find(h)
-                break
-        else:
-            heads.append(i)
-
-    def nearest(key: str) -> tuple[int, int] | None:
-        initial, surname = _parts(key)
-        if surname in known:
-            return 0, known[surname][0]
-        best = sorted((_distance(surname, s), sid) for s, (sid, _) in known.items() if _close(surname, s))
-        if not best or len(best) > 1 and best[0][0] == best[1][0]:
-            return None
-        return best[0]
-
-    near = {i: nearest(keys[i]) for i in order}
-    votes: dict[int, dict[int, float]] = {}
-    exact: dict[int, set[int]] = {}
-    for i in order:
-        if near[i]:
-            d, sid = near[i]
-            v = votes.setdefault(find(i), {})
-            v[sid] = v.get(sid, 0) + counts[i] / (1 + d)
-            if d == 0:
-                exact.setdefault(find(i), set()).add(sid)
-    out: list[int | None] = []
-    for i, k in enumerate(keys):
-        if k and k[0] == "#":
-            out.append(int(k[1:]) if len(k) < 10 and int(k[1:]) in ids else None)
-        elif not k or find(i) not in votes:
-            out.append(None)
-        elif near[i] and len(exact.get(find(i), ())) > 1:
-            out.append(near[i][1])
-        else:
-            v = votes[find(i)]
-            out.append(min(v, key=lambda s: (-v[s], s)))
-    return out
+    links = cut_lineage(links)
+    state = links.select(KEY, F.col("src").alias("v")).distinct().withColumn("root", F.col("v"))
+    while True:
+        near = links.join(state.select(KEY, F.col("v").alias("dst"), F.col("root").alias("near")), [KEY, "dst"]).groupBy(KEY, F.col("src").alias("v")).agg(F.min("near").alias("near"))
+        lower = state.join(near, [KEY, "v"]).select(KEY, "v", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = lower.select(KEY, F.col("v").alias("root"), F.col("root").alias("next"))
+        moved = cut_lineage(lower.join(jump, [KEY, "root"], "left").select(KEY, "v", "old", F.coalesce("next", "root").alias("root")))
+        state = moved.drop("old")
+        if moved.where("old <> root").isEmpty():
+            break
+    return nodes.join(state.select(KEY, F.col("v").alias(node), "root"), [KEY, node], "left").withColumn("root", F.coalesce("root", node))
+
+
+def resolve_labels(labels: DataFrame, known: DataFrame) -> DataFrame:
+    """(KEY, label, sid): the speakers the labels of each transcript mean; labels that mean none give no row.
+
+    labels: KEY, label (see ``label_key``), n (times used), distinct in KEY and
+    label.  known: sid, name (folded words), at most one row a sid.
+
+    Two labels of a transcript are linked if their initials don't contradict
+    each other and their surnames are close (``slips``); all links count, and
+    linked labels are one cluster.  A label is nearest to the speaker whose
+    initial doesn't contradict it and whose surname differs least, if only one
+    differs so little.  A cluster takes the speaker most of its uses are
+    nearest to, each weighing 1 / (1 + edits); ties go to the smaller sid.
+    Labels that are a speaker's exact name, and in clusters with exact names of
+    several all that are nearest to somebody, go to their own.  '#7' is sid 7.
+
+    Close surnames are found once over all transcripts, on distinct words.
+    """
+    numbered = labels.where("label like '#%'").join(F.broadcast(known.select("sid").distinct()), F.col("sid").cast("string") == F.substring("label", 2, 20)).select(KEY, "label", "sid")
+    initial, surname = _name(F.col("label"))
+    named = cut_lineage(labels.where("label <> '' and not label like '#%'").select(KEY, "label", "n", initial.alias("i"), surname.alias("s")))
+    initial, surname = _name(F.col("name"))
+    listed = known.where("name <> ''").select("sid", initial.alias("ki"), surname.alias("b"))
+    words = named.select("s").unionByName(listed.select(F.col("b").alias("s"))).distinct()
+    close = cut_lineage(close_pairs(words.select(F.col("s").alias("a")), words.select(F.col("s").alias("b")), slips, 3))
+
+    other = named.select(KEY, F.col("label").alias("dst"), F.col("i").alias("oi"), F.col("s").alias("b"))
+    links = named.select(KEY, F.col("label").alias("src"), "i", F.col("s").alias("a")).join(close, "a").join(other, [KEY, "b"]).where((F.col("src") != F.col("dst")) & _agree("i", "oi")).select(KEY, "src", "dst")
+    near = (
+        named.select(KEY, "label", "i", F.col("s").alias("a")).join(close.join(F.broadcast(listed), "b"), "a").where(_agree("i", "ki"))
+        .groupBy(KEY, "label", "d").agg(F.min("sid").alias("sid"), F.countDistinct("sid").alias("several"))
+        .groupBy(KEY, "label").agg(F.min(F.struct("d", "several", "sid")).alias("x")).where("x.several = 1").select(KEY, "label", F.col("x.d").alias("d"), F.col("x.sid").alias("near"))
+    )
+    placed = cut_lineage(components(named.select(KEY, "label", "n"), links, "label").join(near, [KEY, "label"], "left"))
+    votes = placed.where("near is not null").groupBy(KEY, "root", "near").agg(F.sum(F.col("n") / (1 + F.col("d"))).alias("w"), F.max((F.col("d") == 0).cast("int")).alias("exact"))
+    chosen = votes.groupBy(KEY, "root").agg(F.max(F.struct("w", (-F.col("near")).alias("neg"))).alias("x"), F.sum("exact").alias("exacts"))
+    own = F.col("near").isNotNull() & ((F.col("d") == 0) | (F.col("exacts") > 1))
+    found = placed.join(chosen, [KEY, "root"]).select(KEY, "label", F.when(own, F.col("near")).otherwise(-F.col("x.neg")).cast("int").alias("sid"))
+    return numbered.unionByName(found)
 
 
 def speaker_turns(
@@ -133,14 +115,14 @@ def speaker_turns(
     """Ordered turns of known speakers in each transcript (an entity of ``keys``).
 
     Time marks are taken off, labels cut each segment into pieces, labels are
-    resolved per transcript (``resolve_labels`` on distinct labels only), and
+    resolved per transcript (``resolve_labels``, on distinct labels only), and
     pieces are numbered in order of start, id, position.  A turn begins at a
     label of another speaker than the label before and lasts to the piece
     before the next turn.  Only labels are compared with their predecessor and
     all joins are on entity and number, so a long transcript is no hot key.
 
     Returns keys, speaker_id, turn_no (from 0), first_id, last_id; the clean
-    words of the turns are those of ``turn_pieces``.
+    words of the turns are given by ``turn_texts``.
 
     Defined results: null or blank texts, and segments with only time marks,
     fillers and annotations, are as if absent; a label with no words after it
@@ -174,19 +156,39 @@ def speaker_turns(
 def turn_pieces(df: DataFrame, speakers: DataFrame, keys: Sequence[str], row_id: str, start: str, text: str, speaker_id: str = "speaker_id", speaker_name: str = "speaker_name", most_speakers: int = 10_000, salts: int = 16) -> DataFrame:
     """The clean pieces in order: keys, piece_no, row_id, label's speaker_id (null where none is named), text.
 
-    ``text`` has no time marks, labels, annotations and doubled spaces; the
-    rest is as for ``speaker_turns``.
+    ``text`` has no time marks, labels, annotations, hesitations and doubled
+    spaces; the rest is as for ``speaker_turns``.
     """
     numbered, _, _ = _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name, most_speakers, salts)
     return numbered.select(*[F.col(f"{KEY}.{k}").alias(k) for k in keys], F.col("__rank").alias("piece_no"), F.col("__id").alias(row_id), F.col("__sid").alias("speaker_id"), F.col("__clean").alias("text"))
 
 
+def turn_texts(
+    df: DataFrame, speakers: DataFrame, keys: Sequence[str], row_id: str, start: str, text: str,
+    speaker_id: str = "speaker_id", speaker_name: str = "speaker_name", most_speakers: int = 10_000, salts: int = 16, part_pieces: int = 4096,
+) -> DataFrame:
+    """The turns of ``speaker_turns`` with what was said: keys, turn_no, speaker_id, part_no, start_ms, n_pieces, text.
+
+    ``text`` joins the clean words of the turn's pieces in order.  A turn of
+    more than ``part_pieces`` pieces comes in parts (part_no from 0), so no
+    turn, however long, is one task's; all others have part 0 only.  start_ms
+    is the first known start of the part.
+    """
+    numbered, starts, _ = _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name, most_speakers, salts)
+    begins = starts.select(KEY, "__rank", F.struct(F.col("__rank").alias("r"), F.col("__j").alias("j"), F.col("__sid").alias("sid")).alias("__begin"))
+    inside = with_running_max(numbered.join(begins, [KEY, "__rank"], "left"), F.col("__begin"), "__turn").where("__turn is not null")
+    parts = inside.groupBy(KEY, F.col("__turn.j").alias("turn_no"), F.col("__turn.sid").alias("speaker_id"), F.floor((F.col("__rank") - F.col("__turn.r")) / part_pieces).alias("part_no")).agg(
+        F.min("__t").alias("start_ms"), F.count("*").alias("n_pieces"), F.sort_array(F.collect_list(F.struct("__rank", "__clean"))).alias("__x")
+    )
+    words = F.array_join(F.filter(F.transform("__x", lambda x: x["__clean"]), lambda x: x != ""), " ")
+    return parts.select(*[F.col(f"{KEY}.{k}").alias(k) for k in keys], "turn_no", "speaker_id", "part_no", "start_ms", "n_pieces", words.alias("text"))
+
+
 def _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name, most_speakers, salts):
-    rows = speakers.select(F.col(speaker_id).cast("int"), folded(F.col(speaker_name))).where(F.col(speaker_id).isNotNull()).limit(most_speakers + 1).collect()
-    if len(rows) > most_speakers:
+    known = speakers.select(F.col(speaker_id).cast("int").alias("sid"), F.trim(F.regexp_replace(folded(F.col(speaker_name)), r"(?U)[^\p{L}]+", " ")).alias("name")).where("sid is not null").groupBy("sid").agg(F.max("name").alias("name"))
+    # sent to every task below
+    if known.limit(most_speakers + 1).count() > most_speakers:
         raise ValueError(f"more than {most_speakers} speakers")
-    ids = {r[0] for r in rows}
-    known = {r[1].split()[-1]: (r[0], r[1].split()[0][:1]) for r in sorted(rows, reverse=True) if r[1] and r[1].split()}
 
     src = (
         df.select(entity(keys), F.col(row_id).alias("__id"), millis(start).alias("__t"), F.col(text).alias("__x"))
@@ -202,21 +204,16 @@ def _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name,
             F.split("__x", LABEL, -1).alias("said"),
         )).alias("__pos", "__p"),
     ).select(KEY, "__id", "__t", "__pos", F.col("__p.label").alias("__label"), F.col("__p.said").alias("__said"))
-    pieces = pieces.withColumn("__key", label_key(F.col("__label"))).withColumn("__kid", F.to_json(KEY)).withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int"))
+    pieces = pieces.withColumn("__key", label_key(F.col("__label"))).withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int"))
     pieces = cut_lineage(pieces)  # read twice below; parsing the texts is the dear part
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["__sid"] = pd.array(resolve_labels(pdf["__key"].tolist(), pdf["n"].tolist(), known, ids), dtype="Int32")
-        return pdf[["__kid", "__key", "__sid"]]
-
-    distinct = pieces.where("__key is not null and __key <> ''").groupBy("__kid", "__key").agg(F.count("*").alias("n"))
-    resolved = distinct.groupBy("__kid").applyInPandas(one, "__kid string, __key string, __sid int").where("__sid is not null").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    distinct = pieces.where("__key is not null and __key <> ''").groupBy(KEY, F.col("__key").alias("label")).agg(F.count("*").alias("n"))
+    resolved = resolve_labels(distinct, known).select(KEY, F.col("label").alias("__key"), F.col("sid").alias("__sid"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
     said = F.regexp_replace("__said", ANNOTATION, " ")
     # a label that names nobody is text again, unless it is an annotation
     unnamed = F.when(F.col("__sid").isNull() & ~F.coalesce(F.col("__label"), F.lit("<")).rlike(r"^[\s>]*[\[<]"), F.col("__label")).otherwise(F.lit(""))
-    clean = F.trim(F.regexp_replace(F.concat_ws(" ", unnamed, said), r"(?U)\s+", " "))
+    clean = without_hesitations(F.concat_ws(" ", unnamed, said))
     rows_ = (
-        pieces.join(resolved, ["__kid", "__key", "__salt"], "left")
+        pieces.join(resolved, [KEY, "__key", "__salt"], "left")
         .select(KEY, "__id", "__t", "__pos", "__sid", clean.alias("__clean"))
         .where(F.col("__sid").isNotNull() | (spoken(F.col("__clean")) != ""))
     )

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 # Hesitation sounds of the six languages, folded to plain letters.
 FILLERS = ("uh", "um", "uhm", "erm", "er", "eh", "ehm", "em", "ah", "hm", "hmm", "mm", "mmm", "mhm", "oh", "ohm", "ahm", "aeh", "aehm", "oeh", "oehm", "eu", "euh", "heu", "hum", "beu", "beuh", "ben", "este", "eee")
 
+# Of these, sounds that are a word in none of the languages.
+SOUNDS = ("uh", "um", "uhm", "erm", "ehm", "hm", "hmm", "mm", "mmm", "mhm", "äh", "ähm", "öh", "öhm", "euh", "heu", "beuh", "eee")
+
+# Sounds that are also words ('er' is, 'este' this, 'eu' had); taken out only where a comma or dots set them off.
+DOUBTFUL = ("er", "eh", "em", "ah", "oh", "eu", "ben", "este", "hum", "beu")
+
 # Letters that do not decompose, and what they fold to.
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžčćđłńśźżğőűāēīōū"
 FOLD_TO = "aaaaaaceeeeiiiinoooooouuuuyyszccdlnszzgouaeiou"
@@ -27,6 +33,19 @@ def spoken(c: Column) -> Column:
     return F.trim(c)
 
 
+def without_hesitations(c: Column) -> Column:
+    """The text as it is written, without hesitations and doubled or outer spaces.
+
+    A hesitation goes with the comma or dots behind it.  Sounds that are words
+    too go only if a comma or dots follow, or nothing else is there.
+    """
+    c = F.concat(F.lit(" "), F.regexp_replace(c, r"(?U)\s+", " "), F.lit(" "))
+    sure, doubtful = "|".join(SOUNDS), "|".join(DOUBTFUL)
+    c = F.regexp_replace(c, rf"(?iU) (?:(?:(?:{sure})(?:,|\.{{2,}}|…)?|(?:{doubtful})(?:,|\.{{2,}}|…)) )+", " ")
+    c = F.regexp_replace(c, rf"(?iU) (?:{sure})(?=[.!?;:]+ )", "")
+    return F.trim(F.regexp_replace(c, rf"(?iU)^[\p{{P}} ]*(?:(?:{sure}|{doubtful})[\p{{P}} ]*)+$", ""))
+
+
 def utterance_key(c: Column) -> Column:
     """What is compared: stretched letters and stammered words count once, no spaces."""
     c = F.regexp_replace(spoken(c), r"(\p{L})\1+", "$1")
