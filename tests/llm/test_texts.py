@@ -48,6 +48,67 @@ def test_mapping_edges(spark):
     assert map_to_list(spark.createDataFrame([(1, "Same Name")], "id long, v string"), twins, ["id"], "v").first().ref_id == -1
 
 
+def brute_map(values, names, threshold=0.25, margin=0.15, lead=0.02):
+    """The operator's rule by comparing each value with every row; names: id to its one-word name."""
+    grams = lambda k: {f"^{k}$"[i : i + 2] for i in range(len(k) + 1)}
+    df = {}
+    for w in names.values():
+        for g in grams(w):
+            df[g] = df.get(g, 0) + 1
+    idf = lambda g: np.log((len(names) + 1) / (df.get(g, 0) + 1)) + 1
+    norm = lambda k: np.sqrt(sum(idf(g) ** 2 for g in grams(k)))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, diag = i, row[0]
+            row[0] = i
+            for j, y in enumerate(b, 1):
+                left = min(row[j] + 1, left + 1, diag + (x != y))
+                diag, row[j] = row[j], left
+        return row[-1]
+
+    out = []
+    for v in values:
+        cos = {r: sum(idf(g) ** 2 for g in grams(v) & grams(w)) / norm(v) / norm(w) for r, w in names.items()}
+        best = max(cos.values())
+        rows = []
+        for r, c in cos.items():
+            if best >= threshold and c >= threshold and c >= best - margin:
+                gap = edits(v, names[r])
+                rows.append((gap if gap <= min(len(names[r]) // 3, 3 + len(names[r]) // 12) else 999, -c, r))
+        rows.sort()
+        sure = rows and rows[0][0] < 999 and not any(x[0] == rows[0][0] and x[1] - rows[0][1] < lead - 1e-12 for x in rows[1:])
+        out.append(rows[0][2] if sure else -1)
+    return out
+
+
+def test_mapping_agrees_with_brute_force(spark):
+    random.seed(5)
+    bits = ["ska", "nd", "rik", "vex", "lo", "pur", "tor", "ein", "gau", "zet"]
+    names = {i: "".join(random.choices(bits, k=3)) for i in range(1, 90)}
+    names = {i: w for i, w in names.items() if list(names.values()).count(w) == 1}
+    letters = "abdeiklnoprstuvxz"
+
+    def misheard(w):
+        for _ in range(random.randrange(0, 4)):
+            at = random.randrange(len(w))
+            w = w[:at] + random.choice(["", random.choice(letters), w[at] + random.choice(letters)]) + w[at + 1 :]
+        return w or "x"
+
+    values = [misheard(random.choice(list(names.values()))) for _ in range(250)] + ["".join(random.choices(bits, k=2)) for _ in range(50)]
+    got = mapped(spark, values, [(i, w, "team") for i, w in names.items()])
+    want = brute_map(values, names)
+    assert [got[i] for i in range(len(values))] == want and 100 < sum(x > 0 for x in want) < 300
+
+
+def test_mapping_is_the_same_with_joins_by_shuffle(spark):
+    values = spark.createDataFrame([(i, v) for i, v in enumerate(["Vexlopzahl", "brumulzeti", "Sijuyuk", "other"])], "id long, v string")
+    ref = spark.createDataFrame(LIST, "ref_id long, canonical string, entity_type string")
+    both = [sorted(map(tuple, map_to_list(values, ref, ["id"], "v", most_broadcast=n).collect())) for n in (0, 500_000)]
+    assert both[0] == both[1] and [r[1] for r in both[0]] == [1, 2, 3, -1]
+
+
 # --- words in buffers ---
 
 
