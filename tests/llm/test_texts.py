@@ -242,11 +242,11 @@ def test_token_operator_edges(spark):
 
 
 def test_poisson_steps():
-    for mean, cap in [(0.3, 1), (0.9, 2), (2.5, 8), (7.9, 8), (0.01, 3)]:
+    for mean, cap in [(0.3, 1), (0.9, 2), (2.5, 8), (7.9, 8), (0.01, 3), (900.0, 1000), (2500.0, 9000)]:
         steps = mixing.poisson_steps(mean, cap)
-        assert len(steps) == cap and all(a <= b for a, b in zip(steps, steps[1:]))
+        assert len(steps) <= cap and all(a <= b for a, b in zip(steps, steps[1:]))
         assert sum(1 - s for s in steps) == pytest.approx(mean, rel=1e-6)
-    assert mixing.poisson_steps(5, 5) == [0.0] * 5 and mixing.poisson_steps(0, 2) == [1.0, 1.0]
+    assert mixing.poisson_steps(5, 5) == [0.0] * 5 and mixing.poisson_steps(0, 2) == [1.0] and mixing.poisson_steps(1, 0) == []
 
 
 @needs_files
@@ -268,10 +268,35 @@ def test_mixing_meets_shares_and_caps(spark):
     assert [r.shuffle_key for r in got] == sorted(r.shuffle_key for r in got)
     again, _ = mixing.mix_sources(df, targets, "id", "source", "text")
     assert again.collect() == got
+    assert all(r.source in ("big", "small_one") for r in got)
     none, empty = mixing.mix_sources(df.limit(0), targets, "id", "source", "text")
     assert none.count() == 0 and {r.copies for r in empty.collect()} == {0}
 
 
+@needs_files
+def test_copies_of_a_row_do_not_depend_on_others(spark):
+    random.seed(7)
+    rows = [(i, "a" if i % 3 else "b", "word " * (1 + i % 20)) for i in range(4000)]
+    targets = spark.createDataFrame([("a", 0.5, 6), ("b", 0.5, 6)], "source string, target_share double, max_repeats int")
+
+    def copies(part):
+        df = spark.createDataFrame(part, "id long, source string, text string")
+        sizes = sum(len(t.split()) for _, _, t in part)
+        drawn, report = mixing.mix_sources(df, targets, "id", "source", "text", total_tokens=sizes, corrections=0)
+        n = {}
+        for r in drawn.collect():
+            n[r.row_id] = n.get(r.row_id, 0) + 1
+        return n, {r.source: r for r in report.collect()}
+
+    (all_rows, report), (half, _) = copies(rows), copies(rows[:2000])
+    # the means of the two draws are nearly the same, and so are the copies of a row
+    assert sum(all_rows.get(i, 0) != half.get(i, 0) for i in range(2000)) < 60
+    # drawn numbers spread as a Poisson variable's: the variance is the mean
+    of_a = np.array([all_rows.get(i, 0) for i in range(4000) if i % 3])
+    assert of_a.var() == pytest.approx(of_a.mean(), rel=0.15) and of_a.max() <= 6
+    assert report["a"].actual_share == pytest.approx(0.5, abs=0.03)
+
+
 # --- text types ---
 
 PROSE = ["The keeper holds the ball and the crowd is not happy with that at all.", "There is a yellow card for the captain after the late challenge in the box.", "We have played ten minutes and it is still wide open on the far side."]
@@ -308,8 +333,9 @@ def test_vocabulary_counts_documents(spark):
     df = spark.createDataFrame([("the Arvo the",), ("the cat",), (None,), ("Arvo",), ("",)], "text string")
     v = learn_vocabulary(df, "text", common_share=0.3, known_share=0.3)
     assert sorted(v.common.tolist()) == sorted(word_hash(["the"]).tolist()) and set(v.known.tolist()) == set(word_hash(["the", "arvo"]).tolist())
-    with pytest.raises(ValueError):
-        learn_vocabulary(df, "text", most=1)
+    # at most one word can be a whole of all (word, text) pairs, at most two can be a half each
+    assert len(learn_vocabulary(df, "text", common_share=0.3, known_share=0.3, most=1).known) == 0
+    assert len(learn_vocabulary(df, "text", common_share=0.3, known_share=0.3, most=2).known) <= 2
 
 
 # --- languages ---
@@ -326,17 +352,78 @@ def texts_of(code, n, k=6):
 
 
 def test_code_lengths_are_a_distribution():
+    random.seed(9)
+    model = langid.fit_model({c: texts_of(c, 20) + ["Vexlop Arvo"] for c in SAID})
+    # all bytes after one context: escapes are not excluded, so their sum may be a little less or more than 1
+    for context in (b"\0\0\0\0", b"\0\0\0s", b"\0sch", b"zzzz", b"n de"[:4]):
+        high = sum(c << 8 * (4 - i) for i, c in enumerate(context))
+        p = np.exp2(-langid.code_lengths(model, np.arange(256, dtype=np.uint64) + np.uint64(high))).sum(axis=0)
+        assert (p < 1.7).all() and (p > 0.3).all()
+
+
+def plain_bits(texts, word, order):
+    """Code length of a word by the definition, with dictionaries."""
+    seen = {}
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", t):
+            line = b"\0" * order + w.lower().encode() + b"\0"
+            for i in range(order, len(line)):
+                for k in range(order + 1):
+                    seen.setdefault(line[i - k : i], {}).setdefault(line[i], 0)
+                    seen[line[i - k : i]][line[i]] += 1
+    line, bits = b"\0" * order + word.encode() + b"\0", 0.0
+    for i in range(order, len(line)):
+        for k in range(order, -1, -1):
+            after = seen.get(line[i - k : i])
+            if not after:
+                continue
+            n, d = sum(after.values()), len(after)
+            if line[i] in after:
+                bits -= np.log2(after[line[i]] / (n + d))
+                break
+            bits -= np.log2(d / (n + d))
+        else:
+            bits += 8.0
+    return bits
+
+
+def test_code_lengths_are_exact():
+    random.seed(9)
+    corpus = {c: texts_of(c, 5) for c in SAID}
+    model = langid.fit_model(corpus)
+    for word in ["anhänger", "keeper", "xylophon", "bollen", "ééé"]:
+        raw, offsets = buffers(pa.array([word]))
+        w = Words(raw, offsets)
+        code, _ = langid._grams(w, np.arange(1), langid.ORDER)
+        got = langid.code_lengths(model, code).sum(axis=0)
+        assert got[:3] == pytest.approx([plain_bits(corpus[c], word, langid.ORDER) for c in SAID], abs=1e-9)
+
+
+def test_one_word_says_no_more_than_its_bound():
     random.seed(9)
     model = langid.fit_model({c: texts_of(c, 20) for c in SAID})
-    p = np.exp2(-langid.code_lengths(model.grams[0]).astype(np.float64)).reshape(-1, langid.SYMBOLS).sum(axis=1)
-    assert p.max() <= 1.0 + 1e-4 + p.max() * 0.6  # escapes are not excluded, so a context may sum to less or a little more
-    raw, offsets = buffers(pa.array(["und das freut die anhänger", "", "KRÖOSMARK"]))
-    bits, symbols = langid.score(Words(raw, offsets), 3, model)
-    table = langid.packed_table(model).view(np.uint8).reshape(-1, 8)
-    s, scored, owner = langid.symbol_stream(Words(raw, offsets), 3)
-    grams = langid._grams(s)
-    assert bits[0].tolist() == [float(table[grams[(owner == 0) & scored], k].astype(int).sum()) / langid.UNIT for k in range(3)]
-    assert symbols[1] == 0 and symbols[2] > 0
+    raw, offsets = buffers(pa.array(["und das freut die anhänger " + "o" * 5000, "", "keeper keeper keeper", "keeper"]))
+    bits, size = langid.score(Words(raw, offsets), 4, model)
+    assert model.languages[int(np.argmin(bits[0]))] == "de" and size[1] == 0
+    assert bits[2].tolist() == bits[3].tolist()
+    raw, offsets = buffers(pa.array(["o" * 5000]))
+    one, _ = langid.score(Words(raw, offsets), 1, model)
+    assert np.ptp(one) <= -np.log2(langid.NOISE) + 1e-9
+
+
+def test_languages_of_other_scripts(spark):
+    random.seed(11)
+    said = {
+        "el": ["ο τερματοφύλακας κρατά την μπάλα", "το πλήθος δεν είναι ευχαριστημένο", "η άμυνα δεν τα κατάφερε"],
+        "ru": ["вратарь держит мяч в руках", "толпа недовольна этим решением", "защита не справилась с ударом"],
+        "uk": ["воротар тримає м'яч у руках", "натовп незадоволений цим рішенням", "захист не впорався з ударом"],
+    }
+    rows = [(i, ". ".join(random.choices(said[c], k=5)), c) for i, c in enumerate([*said] * 20)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    model = langid.fit_languages(df, "id", "text", "lang", spellings={c: (c,) for c in said})
+    held = spark.createDataFrame([(1, "мяч не в руках толпа"), (2, "м'яч у руках натовп захист"), (3, "η μπάλα δεν είναι το πλήθος")], "id long, t string")
+    assert model.languages == ("el", "ru", "uk")
+    assert {r.id: r.lang for r in langid.score_texts(held, ["id"], "t", model).collect()} == {1: "ru", 2: "uk", 3: "el"}
 
 
 def test_languages_of_documents(spark):

@@ -1,17 +1,24 @@
 """Language of documents, paragraphs and segments by prediction by partial matching.
 
-Each language has a context tree over bytes (folded to 64 symbols): for every
-context of up to ORDER symbols how often each symbol followed.  A symbol's
-probability is c / (n + d) in the longest context that has it, times the
-escape d / (n + d) of each longer one (n symbols, d different ones seen there).
-The statistics are frozen after fitting, so the code length of every symbol in
-every context is a constant; they are laid out as one table from which the
-code lengths of all languages, in sixteenths of a bit, are read at once.
+Each language has a context tree over the bytes of its words (lower case, a 0
+before and after): for every context of up to ORDER bytes how often each byte
+followed.  A byte's probability is c / (n + d) in the longest context that has
+it, times the escape d / (n + d) of each longer one (n bytes, d different ones
+seen there).  The statistics are frozen after fitting, so the code length of a
+word is a constant and is computed once for each distinct word of a batch.
+
+Names say little about the language around them.  One more tree, of the
+capitalised words of all languages together, stands for them: a word's code is
+the mixture of its language's tree and that one, the latter with a weight that
+depends on whether the word has a capital, and, with a small weight, of the
+shortest code any tree has for it, so that one word (a shout of a thousand
+letters) says no more than that weight's ten bits.  A text's code is that of its
+distinct words: a loop must not outvote what is said once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +30,9 @@ from touchline.llm.bytesview import Words, buffers, per_text, slices
 from touchline.llm.repetition import prose_once, repeats, with_prose
 from touchline.llm.vocabulary import Vocabulary, member
 
-ORDER = 3
-SYMBOLS = 64
-UNIT = 16  # parts of a bit
+ORDER = 4
+NOISE = 2.0**-10  # weight of a word's shortest code by any tree, under every language
+NAMES_CAPITAL, NAMES_SMALL = 0.5, 0.02  # weight of the tree of names in words with and without a capital
 
 # How the languages are written in labels, lower case, before any '-' or '_'.
 SPELLINGS = {
@@ -36,149 +43,124 @@ SPELLINGS = {
     "es": ("es", "spa", "spanish", "español", "espanol", "castellano", "spansk", "spanska", "spanisch", "espagnol"),
     "fr": ("fr", "fra", "fre", "french", "français", "francais", "fransk", "franska", "französisch", "francés"),
 }
-LANGUAGES = tuple(SPELLINGS)
 
 
-def language_code(label: Column) -> Column:
-    """The code a label spells, null if it names none of LANGUAGES."""
+def language_code(label: Column, spellings: Mapping[str, Sequence[str]] = SPELLINGS) -> Column:
+    """The code a label spells, null if it names none of the languages."""
     head = F.regexp_extract(F.lower(F.trim(label)), r"^([^\-_ (]+)", 1)
     out = F.lit(None).cast("string")
-    for code, names in SPELLINGS.items():
+    for code, names in spellings.items():
         out = F.when(head.isin(*names), F.lit(code)).otherwise(out)
     return out
 
 
-# folded byte to symbol: 0 not a letter, a-z, the lead byte C3, its 32 folded continuations, one for the rest
-_SYMBOL = np.zeros(256, dtype=np.uint8)
-_SYMBOL[97:123] = np.arange(1, 27)
-_SYMBOL[128:] = 60
-_SYMBOL[0xC3] = 27
-_SYMBOL[0xA0:0xC0] = np.arange(28, 60)
+def _grams(w: Words, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the words at these places, each with the ``order`` before it as one number (a 0 ends each word), and the word of each."""
+    size = w.end[at] - w.start[at]
+    wide = size + order + 1
+    stop = np.cumsum(wide)
+    stream = np.zeros(int(stop[-1]) if len(stop) else 0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(at)), wide)
+    place = np.arange(len(stream)) - np.repeat(stop - wide, wide) - order
+    letter = (place >= 0) & (place < size[owner])
+    stream[letter] = w.fold[(w.start[at][owner] + place)[letter]]
+    code = stream.copy()
+    for k in range(1, order + 1):
+        code[k:] |= stream[:-k] << np.uint64(8 * k)
+    scored = place >= 0
+    return code[scored], owner[scored]
 
 
-def symbol_stream(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts, which of them are scored, and the text of each.
+def _low(code: np.ndarray, size: int) -> np.ndarray:
+    return code & np.uint64((1 << 8 * size) - 1)
 
-    Words with a capital are left out, as names say nothing about the language
-    around them, unless fewer than three words of the text are without.  Each
-    word stands behind a 0, each text behind ORDER + 1 of them.
-    """
-    small = per_text(w.text, n, (~w.upper).astype(float))
-    keep = ~w.upper | (small < 3)[w.text]
-    start, end, text = w.start[keep], w.end[keep], w.text[keep]
-    if not len(start):
-        return np.zeros(0, np.uint8), np.zeros(0, bool), np.zeros(0, np.int64)
-    first = np.ones(len(text), dtype=bool)
-    first[1:] = text[1:] != text[:-1]
-    lead = np.where(first, ORDER + 1, 1)
-    size = lead + (end - start)
-    stop = np.cumsum(size)
-    letter = np.zeros(int(stop[-1]) + 1, dtype=np.int8)
-    letter[stop - (end - start)] += 1
-    np.add.at(letter, stop, -1)
-    inside = np.cumsum(letter[:-1]).astype(bool)
-    edge = np.zeros(len(w.raw) + 1, dtype=np.int8)
-    edge[start] += 1
-    np.add.at(edge, end, -1)
-    used = np.cumsum(edge[:-1]).astype(bool)
-    symbols = np.zeros(int(stop[-1]), dtype=np.uint8)
-    symbols[inside] = _SYMBOL[w.fold[used]]
-    scored = inside.copy()
-    scored[stop - (end - start) - 1] = True  # the 0 before a word ends the one before
-    scored[(stop - (end - start) - 1)[first]] = False
-    return symbols, scored, np.repeat(text, size)
-
-
-def _grams(symbols: np.ndarray) -> np.ndarray:
-    """Each symbol with the ORDER before it, as one number."""
-    s = symbols.astype(np.uint32)
-    out = s.copy()
-    for k in range(1, ORDER + 1):
-        out[k:] |= s[:-k] << np.uint32(6 * k)
-    return out
+
+def _find(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the codes, and whether they are there."""
+    if not len(sorted_codes):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
+    return at, sorted_codes[at] == codes
 
 
 @dataclass(frozen=True)
 class Model:
-    """Counts of (context, symbol) by language and order: frozen context trees."""
-
-    languages: tuple[str, ...]
-    grams: tuple[tuple[tuple[np.ndarray, np.ndarray], ...], ...]
+    """Frozen context trees, that of names last.
 
+    orders[k]: the (context of k, byte) numbers any tree has seen and their
+    bits by tree, the contexts of k and the bits of their escapes by tree.
+    """
 
-def fit_model(texts: dict[str, list[str]]) -> Model:
-    """Counts each language's texts."""
-    trees = []
+    languages: tuple[str, ...]
+    orders: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]
+
+
+def code_lengths(model: Model, code: np.ndarray) -> np.ndarray:
+    """Bits of each (context of ORDER, byte) number under each tree, exact but for the rounding of 64-bit floats."""
+    bits = np.zeros((len(code), len(model.languages) + 1))
+    left = np.arange(len(code))
+    for k in range(len(model.orders) - 1, -1, -1):
+        grams, cost, contexts, escape = model.orders[k]
+        at, there = _find(grams, _low(code[left], k + 1))
+        bits[left[there]] += cost[at[there]]
+        left = left[~there]
+        at, there = _find(contexts, _low(code[left], k + 1) >> np.uint64(8))
+        bits[left[there]] += escape[at[there]]
+    bits[left] += 8.0  # seen nowhere: all bytes alike
+    return bits
+
+
+def fit_model(texts: Mapping[str, Sequence[str]], order: int = ORDER) -> Model:
+    """Counts the words of each language's texts; the capitalised ones of all make the tree of names."""
+    streams, names = [], []
     for code in texts:
-        raw, offsets = buffers(pa.array(texts[code], type=pa.large_string()))
+        raw, offsets = buffers(pa.array(list(texts[code]), type=pa.large_string()))
         w = Words(raw, offsets)
-        symbols, scored, _ = symbol_stream(w, len(offsets) - 1)
-        full = _grams(symbols)[scored]
-        trees.append(tuple(np.unique(full & np.uint32(SYMBOLS ** (k + 1) - 1), return_counts=True) for k in range(ORDER + 1)))
-    return Model(tuple(texts), tuple(trees))
-
-
-def code_lengths(tree: tuple[tuple[np.ndarray, np.ndarray], ...]) -> np.ndarray:
-    """Bits of every symbol after every context of ORDER symbols, for one language."""
-    below = np.full(1, 6.0, dtype=np.float32)  # order -1: all symbols alike
-    below = np.repeat(below, SYMBOLS)
-    for k, (gram, count) in enumerate(tree):
-        contexts = SYMBOLS**k
-        context = gram >> np.uint32(6)
-        n = np.bincount(context, weights=count, minlength=contexts)
-        d = np.bincount(context, minlength=contexts)
-        escape = np.zeros(contexts, dtype=np.float32)
-        seen = n > 0
-        escape[seen] = -np.log2(d[seen] / (n[seen] + d[seen]))
-        # a longer context falls back on the same context without its first symbol
-        table = np.tile(below, contexts * SYMBOLS // len(below)).reshape(contexts, SYMBOLS)
-        table += escape[:, None]
-        table = table.ravel()
-        table[gram] = -np.log2(count / (n[context] + d[context]))
-        below = table
-    return below
-
-
-_cache: dict[int, np.ndarray] = {}
-
-
-def packed_table(model: Model) -> np.ndarray:
-    """Code lengths of up to eight languages in one 64-bit number per (context, symbol)."""
-    key = hash((model.languages, *(g.tobytes() for tree in model.grams for pair in tree for g in pair)))
-    if key not in _cache:
-        _cache.clear()
-        table = np.zeros(SYMBOLS ** (ORDER + 1), dtype=np.uint64)
-        lanes = table.view(np.uint8).reshape(-1, 8)
-        for k, tree in enumerate(model.grams):
-            lanes[:, k] = np.minimum(np.round(code_lengths(tree) * UNIT), 255).astype(np.uint8)
-        _cache[key] = table
-    return _cache[key]
-
-
-_EVEN = np.uint64(0x00FF00FF00FF00FF)
+        streams.append(_grams(w, np.arange(len(w)), order)[0])
+        names.append(_grams(w, np.flatnonzero(w.upper), order)[0])
+    streams.append(np.concatenate(names) if names else np.zeros(0, np.uint64))
+    orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    for k in range(order + 1):
+        counted = [np.unique(_low(s, k + 1), return_counts=True) for s in streams]
+        grams = np.unique(np.concatenate([g for g, _ in counted]))
+        contexts = np.unique(grams >> np.uint64(8))
+        cost, escape = np.zeros((len(grams), len(streams))), np.zeros((len(contexts), len(streams)))
+        # a tree that hasn't seen the byte here escapes to the shorter context
+        fallback = code_lengths(Model(tuple(texts), tuple(orders)), grams)
+        owner, _ = _find(contexts, grams >> np.uint64(8))
+        for t, (g, c) in enumerate(counted):
+            mine, _ = _find(contexts, g >> np.uint64(8))
+            n = np.bincount(mine, weights=c, minlength=len(contexts))
+            d = np.bincount(mine, minlength=len(contexts))
+            seen = n > 0
+            escape[seen, t] = -np.log2(d[seen] / (n[seen] + d[seen]))
+            cost[:, t] = fallback[:, t] + escape[owner, t]
+            at, _ = _find(grams, g)
+            cost[at, t] = -np.log2(c / (n + d)[mine])
+        orders.append((grams, cost, contexts, escape))
+    return Model(tuple(texts), tuple(orders))
 
 
 def score(w: Words, n: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Code length in bits by text and language, and the number of symbols."""
+    """Code length in bits by text and language, and the number of bytes coded."""
     k = len(model.languages)
-    symbols, scored, text = symbol_stream(w, n)
-    if not len(symbols):
+    if not len(w):
         return np.zeros((n, k)), np.zeros(n)
-    at = np.flatnonzero(scored)
-    cost = packed_table(model)[_grams(symbols)[at]]
-    owner = text[at]
-    # sums of at most 256 symbols fit into lanes of 16 bits
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = owner[1:] != owner[:-1]
-    begin = np.flatnonzero(new)
-    within = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-    block = np.flatnonzero(within % 256 == 0)
-    even = np.add.reduceat(cost & _EVEN, block).view(np.uint16).reshape(-1, 4)
-    odd = np.add.reduceat((cost >> np.uint64(8)) & _EVEN, block).view(np.uint16).reshape(-1, 4)
-    bits = np.zeros((n, k))
-    for lane in range(k):
-        bits[:, lane] = per_text(owner[block], n, (even if lane % 2 == 0 else odd)[:, lane // 2].astype(float)) / UNIT
-    return bits, per_text(owner, n)
+    with np.errstate(over="ignore"):
+        key = w.hash * np.uint64(2) + w.upper  # a word with a capital is another one
+    _, first, each = np.unique(key, return_index=True, return_inverse=True)
+    code, owner = _grams(w, first, len(model.orders) - 1)
+    trees = np.add.reduceat(code_lengths(model, code), np.searchsorted(owner, np.arange(len(first))), axis=0)
+    weight = np.where(w.upper[first], NAMES_CAPITAL, NAMES_SMALL)[:, None]
+    own, name = trees[:, :k], trees[:, k:]
+    short = trees.min(axis=1, keepdims=True)
+    with np.errstate(under="ignore"):
+        bits = short - np.log2((1 - weight - NOISE) * np.exp2(short - own) + weight * np.exp2(short - name) + NOISE)
+    # a word said again tells nothing new
+    once = np.unique(w.text * np.int64(len(first)) + each)
+    text, word = once // len(first), once % len(first)
+    out = np.stack([per_text(text, n, bits[word, t]) for t in range(k)], axis=1)
+    return out, per_text(text, n, (w.end - w.start + 1)[first][word].astype(float))
 
 
 def decide(bits: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,10 +174,10 @@ def decide(bits: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, lead, posterior
 
 
-def fit_languages(df: DataFrame, row_id: str, text: str, label: str, per_language: int = 400, longest: int = 20_000, rounds: int = 2, vocabulary: Vocabulary | None = None) -> Model:
+def fit_languages(df: DataFrame, row_id: str, text: str, label: str, per_language: int = 400, longest: int = 20_000, rounds: int = 2, vocabulary: Vocabulary | None = None, spellings: Mapping[str, Sequence[str]] = SPELLINGS) -> Model:
     """Fits the trees on a bounded sample of labelled rows.
 
-    For each of LANGUAGES the ``per_language`` rows with the smallest hash of
+    For each language of ``spellings`` the ``per_language`` rows with the smallest hash of
     their id among those whose label spells it, no longer than ``longest``
     characters; so the sample is spread over the table and at most
     ``per_language * longest`` characters a language reach the driver.  Labels
@@ -203,14 +185,14 @@ def fit_languages(df: DataFrame, row_id: str, text: str, label: str, per_languag
     language are left out.  A language without rows is left out of the model.
     """
     rows = (
-        df.select(F.col(row_id).alias("id"), F.col(text).alias("text"), language_code(F.col(label)).alias("code"))
+        df.select(F.col(row_id).alias("id"), F.col(text).alias("text"), language_code(F.col(label), spellings).alias("code"))
         .where((F.length("text") >= 40) & (F.length("text") <= longest) & F.col("code").isNotNull())
     )
     # row_number() <= n is limited before the shuffle, so no language is gathered whole
     nth = F.row_number().over(Window.partitionBy("code").orderBy(F.abs(F.xxhash64("id")), "id", "text"))
     taken = rows.withColumn("n", nth).where(F.col("n") <= per_language).groupBy("code").agg(F.sort_array(F.collect_list("text")).alias("texts"))
     texts = {r["code"]: r["texts"] for r in taken.collect()}
-    texts = {c: texts[c] for c in LANGUAGES if texts.get(c)}
+    texts = {c: texts[c] for c in spellings if texts.get(c)}
     if vocabulary is not None:
         texts = {c: _prose(t, vocabulary) or t for c, t in texts.items()}
     model = fit_model(texts)
@@ -272,7 +254,7 @@ def score_texts(df: DataFrame, ids: list[str], text: str, model: Model, vocabula
     return rows.mapInArrow(run, f"{kept}, lang string, confidence double, lead double, words long, symbols long, common long, mixed long")
 
 
-def document_languages(df: DataFrame, row_id: str, text: str, label: str, model: Model, vocabulary: Vocabulary, prose_share: float = 0.5, mixed_share: float = 0.2) -> DataFrame:
+def document_languages(df: DataFrame, row_id: str, text: str, label: str, model: Model, vocabulary: Vocabulary, prose_share: float = 0.5, mixed_share: float = 0.2, spellings: Mapping[str, Sequence[str]] = SPELLINGS) -> DataFrame:
     """Each paragraph of each document, with the language of the document.
 
     Returns row_id, label_code (null: missing or no language), part_no (from
@@ -288,7 +270,7 @@ def document_languages(df: DataFrame, row_id: str, text: str, label: str, model:
     """
     docs = df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), F.col(label).alias("label")).where(r"text rlike '(?U)\\S'").groupBy("row_id").agg(F.min(F.struct("text", "label")).alias("x"))
     # a phrase may loop across paragraphs, so the whole text tells whether it is prose
-    whole = with_prose(docs.select("row_id", language_code(F.col("x.label")).alias("label_code"), F.col("x.text").alias("text")), "text", vocabulary, prose_share, mixed_share)
+    whole = with_prose(docs.select("row_id", language_code(F.col("x.label"), spellings).alias("label_code"), F.col("x.text").alias("text")), "text", vocabulary, prose_share, mixed_share)
     parts = F.filter(F.split(F.col("text"), PARAGRAPH_BREAK), lambda t: t.rlike(r"(?U)\S"))
     rows = whole.select("row_id", "label_code", "prose", F.posexplode(parts).alias("p", "part"))
     rows = rows.select("row_id", "label_code", "prose", (F.col("p") + 1).alias("part_no"), "part")

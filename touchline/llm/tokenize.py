@@ -78,6 +78,7 @@ class Encoder:
         self.ranks, self.cut, self.remembered = ranks, regex.compile(pattern), remembered
         self.top = max(ranks.values(), default=0) + 1
         self.seen: dict[str, list[int]] = {}
+        self.queue = RankQueue(self.top)  # empty again after every pre-token
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the leftmost pair of the lowest rank is merged."""
@@ -89,7 +90,7 @@ class Encoder:
         after = list(range(1, n + 1))  # end of the token that begins here
         before = list(range(-1, n - 1))  # begin of the token before
         alive = bytearray(b"\x01") * n
-        queue = RankQueue(self.top)
+        queue = self.queue
         get = ranks.get
         for i in range(n - 1):
             r = get(piece[i : i + 2])

@@ -51,14 +51,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([0]), pa.array([full])], names=["h", "docs", "lower", "texts"])
 
 
-def learn_vocabulary(df: DataFrame, text: str, common_share: float = 0.01, known_share: float = 0.0005, most: int = 200_000) -> Vocabulary:
+def learn_vocabulary(df: DataFrame, text: str, common_share: float = 0.01, known_share: float = 0.0005, most: int = 400_000) -> Vocabulary:
     """Counts, over all documents, in how many each word stands, and keeps the frequent.
 
     ``common`` words stand in ``common_share`` of the texts with words and are
     written in lower case in half of them or more; ``known`` words stand in
-    ``known_share``.  Words are counted as 64-bit hashes, per batch before the
-    shuffle; only the kept ones reach the driver.  A share bounds their number
-    by (distinct words of a text) / share; beyond ``most`` this raises.
+    ``known_share`` of them, and make up one in ``most`` of all (word, text)
+    pairs.  So at most ``most`` words are known, whatever the corpus; the second
+    condition is the stricter one only where texts have more than ``most`` *
+    ``known_share`` different words on average.  Words are counted as 64-bit
+    hashes, per batch before the shuffle; only the kept ones reach the driver.
     """
     counted = (
         df.select(F.col(text).alias("text")).where("text is not null")
@@ -66,10 +68,9 @@ def learn_vocabulary(df: DataFrame, text: str, common_share: float = 0.01, known
         .groupBy("h").agg(F.sum("docs").alias("docs"), F.sum("lower").alias("lower"), F.sum("texts").alias("texts"))
     )
     counted = cut_lineage(counted)
-    total = counted.where("h = 0").agg(F.sum("texts")).first()[0] or 0
-    rows = counted.where(F.col("docs") >= max(2.0, known_share * total)).select("h", "docs", "lower").limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} words are that frequent")
+    sums = counted.agg(F.sum("texts"), F.sum("docs")).first()
+    total, pairs = sums[0] or 0, sums[1] or 0
+    rows = counted.where(F.col("docs") >= max(2.0, known_share * total, pairs / most)).select("h", "docs", "lower").toPandas()
     h = rows["h"].to_numpy(np.int64).view(np.uint64)
     is_common = (rows["docs"].to_numpy() >= common_share * total) & (2 * rows["lower"].to_numpy() >= rows["docs"].to_numpy())
     return Vocabulary(np.sort(h[is_common]), np.sort(h))
