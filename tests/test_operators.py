@@ -56,6 +56,36 @@ def test_stuck_names(spark, times, flagged):
     assert folds.stuck_names(df, ("m",), ("h", "id"), "s", "text").count() == flagged
 
 
+def test_stuck_names_brute_force(spark):
+    random.seed(23)
+    rows, t = [], 0.0
+    for _ in range(260):
+        t += random.choice([1, 7, 20, 45, 60, 61, 150])
+        rows.append((t, t + 1, random.choice(["Hansson.", "Hansson", "Berg"])))
+    want = Counter()
+    for name in ("hansson", "berg"):
+        mine = [s for s, _, x in rows if x.lower().strip(".") == name]
+        clusters = []
+        for s in mine:
+            if clusters and s - clusters[-1][0] <= 60:
+                clusters[-1].append(s)
+            else:
+                clusters.append([s])
+        want.update((name, s) for c in clusters if len(c) >= 3 for s in c)
+    df = rows_of(spark, rows)
+    got = folds.stuck_names(df, ("m",), ("h", "id"), "s", "text").join(df.select("id", "s"), "id").collect()
+    assert Counter((r.token, r.s) for r in got) == want and len(want) > 50
+    nulls = folds.stuck_names(df.withColumn("m", F.lit(None).cast("string")), ("m",), ("h", "id"), "s", "text")
+    assert nulls.count() == sum(want.values())
+
+
+def test_a_loop_is_folded_through_its_first_row(spark):
+    rows = [(i, i + 1, "the same words again") for i in range(400)] + [(400, 401, "the same words agaim"), (401, 402, "the same words agaim"), (402, 403, "quite other words here"), (403, 404, ""), (404, 405, "")]
+    got = {int(r.id): (r.kept, r.duplicate_of, r.end_time, r.o) for r in folds.merge_near_duplicates(rows_of(spark, rows), KEYS, "id", "s", "e", "o", "text", carry=["o"]).collect()}
+    assert got[0] == (True, None, 402.0, 0) and all(got[i][:2] == (False, "0") and got[i][3] == i for i in range(1, 402))
+    assert [got[i][0] for i in (402, 403, 404)] == [True] * 3
+
+
 def test_spans_and_splice(spark):
     df = spark.createDataFrame([("Sako clears to Sako", [(0, 4, "Sakho"), (15, 19, "Sakho")])], "t string, e array<struct<start:int,end:int,new:string>>")
     assert df.select(folds.splice(F.col("t"), F.col("e"))).first()[0] == "Sakho clears to Sakho"
@@ -116,6 +146,13 @@ def test_merge_by_time(spark):
     assert sorted(((x.rid, x.hid) for x in apart), key=str) == sorted([(0, None), (None, 0)], key=str)
 
 
+def test_merge_by_time_keeps_ids_that_are_no_numbers(spark):
+    r = timed(spark, [(0, 5, "a"), (5, 10, "b")], "rid").withColumn("rid", F.concat(F.lit("r"), "rid"))
+    h = timed(spark, [(0, 5, "a")], "hid")
+    got = sorted(((x.rid, x.hid) for x in align.merge_by_time(r, h, KEYS, "rid", "hid", "s", "e").collect()), key=str)
+    assert got == [("r0", 0), ("r1", None)] or got == [("r0", "0"), ("r1", None)]
+
+
 def test_take_nearest_brute_force(spark):
     random.seed(11)
     ref = sorted((random.uniform(0, 300), 0.0, "") for _ in range(60))
@@ -157,7 +194,8 @@ def test_corpus_error_and_f1(spark):
 def test_gazetteer_priorities(spark):
     names = spark.createDataFrame([("x", "player", "Mads Döhr Thychosen", 0), ("x", "player", "Anna Berg", 1), ("x", "referee", "Lars Berg", 2), ("x", "team", "Berg United", 3)], "match_id string, entity_type string, canonical string, seq long")
     learned = spark.createDataFrame([("sako", "Sakho", 0.5, 1), ("berk", "Anna Berg", 0.9, 11), ("Berg", "Nobody", 0.9, 11)], "misspelling string, correct string, confidence double, seen_count long")
-    g = {r.variant: r.canonical for r in gazetteer.build_gazetteer(names, learned).collect()}
+    heard = spark.createDataFrame([("x", w) for w in ("sako", "berk", "Berg", "other", "berk")] + [("y", "sako")], "match_id string, variant string")
+    g = {r.variant: r.canonical for r in gazetteer.build_gazetteer(names, learned, heard).collect()}
     assert g["Berg"] == "Lars Berg" and g["berk"] == "Anna Berg" and "sako" not in g
     assert g["M.D. Thychosen"] == g["Döhr Thychosen"] == "Mads Döhr Thychosen"
 
@@ -207,11 +245,40 @@ def test_majority(spark):
     assert {r.k: r.choice for r in guards.majority(v, ["k"], "v", "o").collect()} == {"a": "A", "b": "D", "c": None}
 
 
-def test_wrapping():
-    assert guards.wrap_by_confidence(["Hello", "Sako"], [{"word": "Hello", "prob": 0.99}, {"word": "Sako", "prob": 0.05}], None) == ("Hello <Sako>", 1, [False, True])
-    assert guards.wrap_by_confidence(["Hello", "Sako"], [{"word": "Hello", "prob": 0.99}, {"word": "Sako", "prob": 0.05}], [1])[1] == 0
-    assert guards.wrap_capitals(["Kane", "to", "Mane"], set(), None)[1] == 2
-    assert guards.wrap_capitals(["The", "to", "Mane"], set(), None, ["DET"], ("DET",))[1] == 1
+def test_wrapping(spark):
+    heard = "array<struct<word:string,prob:double>>"
+    rows = [
+        ("Hello Sako", [("Hello", 0.99), ("Sako", 0.05)], None), ("Hello Sako", [("Hello", 0.99), ("Sako", 0.05)], [1]), ("Kane to Mane", None, None),
+        # glued and split words, a word skipped, none left for the last two
+        ("well, played by Kanes now", [(" well", 0.9), ("um", 0.1), ("play", 0.9), ("by.", 0.9), ("xx", 0.9)], None), ("a b", [("b", 0.0), (None, 0.9)], None), ("", [("x", 0.9)], None), (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, text string, words {heard}, frozen array<int>")
+    got = {r.i: (r.wrapped, r.n_wrapped, r.editable) for r in guards.with_wrapped(df, "text", "words", "frozen").collect()}
+    assert got[0] == ("Hello <Sako>", 1, [False, True]) and got[1][1] == 0 and got[2] == ("<Kane> to <Mane>", 2, [True, False, True])
+    assert got[3] == ("well, played by <Kanes> <now>", 2, [False, False, False, True, True])
+    assert got[4] == ("<a> <b>", 2, [True, True]) and got[5] == ("", 0, []) and got[6] == ("", 0, [])
+    tagged = spark.createDataFrame([("The to Mane", None, None, "DET"), ("Kane to Mane", None, None, "DET"), ("Kane to Mane", None, None, None)], f"text string, words {heard}, frozen array<int>, tag string")
+    out = guards.with_wrapped(tagged, "text", "words", "frozen", F.array(F.lit("kane")), F.col("tag"), ("DET",))
+    assert [r.n_wrapped for r in out.collect()] == [1, 2, 2]
+
+
+def brute_places(tokens, heard):
+    """Pairs by trying, for each token, all words behind the last partner."""
+    used, out = 0, []
+    for t in tokens:
+        hits = [j for j in range(used, len(heard)) if heard[j] and (t.startswith(heard[j]) or heard[j].startswith(t))]
+        out.append(hits[0] + 1 if hits else 0)
+        used = hits[0] + 1 if hits else len(heard)
+    return out
+
+
+def test_heard_places_brute_force(spark):
+    random.seed(17)
+    part = lambda: "".join(random.choices("ab", k=random.randint(0, 2)))
+    rows = [([part() or "a" for _ in range(random.randint(0, 8))], [part() for _ in range(random.randint(0, 8))]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "t array<string>, h array<string>")
+    got = [r[0] for r in df.select(guards.heard_places(F.col("t"), F.col("h"))).collect()]
+    assert got == [brute_places(t, h) for t, h in rows]
 
 
 def test_guarded_edits(spark):
@@ -239,6 +306,38 @@ def test_vector_search_edges(spark):
     assert search.nearest_vectors(e, e.where("id = 99"), "id", "v").count() == 0
 
 
+def test_search_terms_within_edits_brute_force(spark):
+    random.seed(29)
+    words = sorted({"".join(random.choices("abc", k=random.randint(1, 9))) for _ in range(120)})
+    asked = words[::7]
+    docs = spark.createDataFrame([(i, "m", w) for i, w in enumerate(words)], "id long, m string, t string")
+    q = spark.createDataFrame([(w, w) for w in asked], "qid string, query string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, diag = i, row[0]
+            row[0] = i
+            for j, y in enumerate(b, 1):
+                left = min(row[j] + 1, left + 1, diag + (x != y))
+                diag, row[j] = row[j], left
+        return row[-1]
+
+    want = {(a, words.index(w)) for a in asked for w in words if edits(a, w) <= (2 if len(a) >= 6 else 1 if len(a) >= 3 else 0)}
+    got = {(r.qid, r.id) for r in search.lexical_search(docs, q, "id", "t", "m", top=1000).collect()}
+    assert got == want
+    assert {(r.qid, r.id) for r in search.lexical_search(docs, q, "id", "t", "m", top=1000, most_broadcast=0).collect()} == want
+
+
+def test_vector_search_in_parts(spark):
+    random.seed(31)
+    e = spark.createDataFrame([(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(300)], "id long, v array<double>")
+    one, many = (sorted(map(tuple, search.nearest_vectors(e, e.where("id % 3 = 0"), "id", "v", top=4, most_queries=n).collect())) for n in (50_000, 7))
+    assert one == many and len(one) == 400
+    both = search.summed([search.nearest_vectors(e, e.where("id = 0"), "id", "v")] * 2, ["query_id", "vec_id"])
+    assert both.count() == 5 and [r.n for r in both.orderBy("n").collect()] == [1, 2, 3, 4, 5]
+
+
 def test_neighbours_across_chunks(spark):
     from touchline.operators.ordered import KEY, with_neighbours
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from touchline.operators.ordered import KEY, entity, plain_key, with_last_flag, with_rank, with_running_max
 
@@ -44,17 +45,27 @@ def uncovered(right: DataFrame, left: DataFrame, keys: Sequence[str], right_id:
 
 
 def _both(reference: DataFrame, hypothesis: DataFrame, keys, ref_id, hyp_id, start, end, tolerance: float) -> DataFrame:
-    """Both sides in order of time, cut where no pair can cross."""
-    side = lambda df, rid, n: df.where(F.col(start).isNotNull() & F.col(rid).isNotNull()).select(entity(keys), F.lit(n).alias("__side"), F.col(rid).cast("long").alias("__id"), F.col(start).alias("__s"), F.coalesce(end, start).alias("__e"))
+    """Both sides in order of time, cut where no pair can cross.  Ids stay numbers if they are on both sides, else they are strings."""
+    kind = "long" if all(isinstance(df.schema[rid].dataType, IntegralType) for df, rid in ((reference, ref_id), (hypothesis, hyp_id))) else "string"
+    side = lambda df, rid, n: df.where(F.col(start).isNotNull() & F.col(rid).isNotNull()).select(entity(keys), F.lit(n).alias("__side"), F.col(rid).cast(kind).alias("__id"), F.col(start).alias("__s"), F.coalesce(end, start).alias("__e"))
     rows = side(reference, ref_id, 0).unionByName(side(hypothesis, hyp_id, 1)).withColumn("__t", F.round(F.col("__s") * 1000).cast("long"))
     ranked = with_running_max(with_rank(rows, "__t", ["__side", "__id"]), F.greatest("__s", "__e"), "__reach", before=True)
     island = with_last_flag(ranked, F.coalesce(F.col("__s") > F.col("__reach") + tolerance, F.lit(True)), "__island")
     return island.withColumn("__kid", F.to_json(KEY))
 
 
+def _frame(pdf: pd.DataFrame, pairs: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(pairs, columns=["ref", "hyp"], dtype=object)
+    if pdf["__id"].dtype.kind == "i":
+        frame = frame.astype("Int64")
+    frame.insert(0, "__kid", pdf["__kid"].iloc[0])
+    return frame
+
+
 def _greedy(rows: DataFrame, keys, ref_id, hyp_id, merge) -> DataFrame:
     schema = rows.select(KEY).schema[KEY].dataType.simpleString()
-    pairs = rows.select("__kid", "__island", "__side", "__id", "__s", "__e").groupBy("__kid", "__island").applyInPandas(merge, "__kid string, ref long, hyp long")
+    kind = rows.schema["__id"].dataType.simpleString()
+    pairs = rows.select("__kid", "__island", "__side", "__id", "__s", "__e", "__rank").groupBy("__kid", "__island").applyInPandas(merge, f"__kid string, ref {kind}, hyp {kind}")
     back = pairs.withColumn(KEY, F.from_json("__kid", schema))
     return plain_key(back, keys, [F.col("ref").alias(ref_id), F.col("hyp").alias(hyp_id)])
 
@@ -70,7 +81,7 @@ def merge_by_time(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[st
     """
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__s", "__id"], kind="stable")
+        pdf = pdf.sort_values("__rank")
         r = list(pdf[pdf["__side"] == 0][["__id", "__s", "__e"]].itertuples(index=False, name=None))
         h = list(pdf[pdf["__side"] == 1][["__id", "__s", "__e"]].itertuples(index=False, name=None))
         i, j, out = 0, 0, []
@@ -92,9 +103,7 @@ def merge_by_time(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[st
                 else:
                     out.append((None, b))
                     j += 1
-        frame = pd.DataFrame(out, columns=["ref", "hyp"]).astype("Int64")
-        frame.insert(0, "__kid", pdf["__kid"].iloc[0])
-        return frame
+        return _frame(pdf, out)
 
     return _greedy(_both(reference, hypothesis, keys, ref_id, hyp_id, start, end, tolerance), keys, ref_id, hyp_id, merge)
 
@@ -106,7 +115,7 @@ def take_nearest(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str
     """
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__s", "__id"], kind="stable")
+        pdf = pdf.sort_values("__rank")
         h = list(pdf[pdf["__side"] == 1][["__id", "__s", "__e"]].itertuples(index=False, name=None))
         free, out = dict(enumerate(h)), []
         low = 0
@@ -123,8 +132,6 @@ def take_nearest(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str
                     if d < dist and d <= tolerance + (h[k][2] - h[k][1]) / 2:
                         best, dist = k, d
             out.append((a, free.pop(best)[0] if best is not None else None))
-        frame = pd.DataFrame(out, columns=["ref", "hyp"]).astype("Int64")
-        frame.insert(0, "__kid", pdf["__kid"].iloc[0])
-        return frame
+        return _frame(pdf, out)
 
     return _greedy(_both(reference, hypothesis, keys, ref_id, hyp_id, start, end, tolerance), keys, ref_id, hyp_id, merge)

@@ -5,34 +5,40 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import text as T
 from touchline.functions.similarity import indel_ratio, indel_ratio_of
-from touchline.operators.ordered import KEY, entity, millis, plain_key, with_last_flag, with_previous, with_rank
+from touchline.operators.ordered import KEY, entity, millis, plain_key, with_last_flag, with_previous, with_rank, with_running_max
 from touchline.session import cut_lineage
 
 
-def merge_near_duplicates(df: DataFrame, keys: Sequence[str], row_id: str, start: str, end: str, tie: str, text: str, threshold: float = 95.0) -> DataFrame:
+def merge_near_duplicates(df: DataFrame, keys: Sequence[str], row_id: str, start: str, end: str, tie: str, text: str, threshold: float = 95.0, carry: Sequence[str] = ()) -> DataFrame:
     """[W1] Successive rows as similar to the kept anchor as ``threshold`` are merged into it.
 
     Returns keys, row_id, kept (boolean), duplicate_of, similarity, end_time
-    (of a kept row: the latest of what it took in).
+    (of a kept row: the latest of what it took in), and the columns in ``carry``.
 
     Each row is compared with the anchor, not with its predecessor, which is a
-    fold.  But two rows both within the threshold of one anchor are within
-    twice that distance of each other (the Indel distance is a metric), so a
-    fold can't cross a pair of neighbours less similar than that.  Only the
-    short stretches between such breaks are folded, each by itself.
+    fold.  But a run of equal texts is decided by its first row, so only first
+    rows are folded, and a loop of any length is one.  And two rows both within
+    the threshold of one anchor are within twice that distance of each other
+    (the Indel distance is a metric), so a fold can't cross a pair of
+    neighbours less similar than that.  Only the short stretches between such
+    breaks are folded, each by itself.
     """
-    src = df.select(entity(keys), F.col(row_id).alias("__id"), millis(start).alias("__t"), F.col(tie).alias("__tie"), F.col(end).alias("__e"), F.coalesce(T.dedup_key(F.lower(F.col(text))), F.lit("")).alias("__x"))
-    ranked = with_previous(with_rank(src, "__t", ["__tie", "__id"]), F.col("__x"), "__before")
+    src = df.select(
+        entity(keys), F.col(row_id).alias("__id"), millis(start).alias("__t"), F.col(tie).alias("__tie"), F.col(end).alias("__e"),
+        F.coalesce(T.dedup_key(F.lower(F.col(text))), F.lit("")).alias("__x"), F.struct(F.lit(0).alias("__"), *carry).alias("__carry"),
+    )
+    first = F.coalesce((F.col("__before") != F.col("__x")) | (F.col("__x") == ""), F.lit(True))
+    ranked = cut_lineage(with_previous(with_rank(src, "__t", ["__tie", "__id"]), F.col("__x"), "__before").withColumn("__first", first))
+    heads = ranked.where("__first").select(KEY, "__rank", "__id", "__x", "__before")
     share = threshold / 100  # neighbours of one anchor: d <= (1 - t) * (l + 2 a + m), and a <= l (2 - t) / t
     bound = 100 * (1 - 2 * (1 - share) / share) - 1e-9
     near = F.when(F.col("__before").isNotNull() & (200 * F.least(F.length("__x"), F.length("__before")) >= bound * (F.length("__x") + F.length("__before"))), indel_ratio(F.col("__before"), F.col("__x")))
-    marked = ranked.withColumn("__near", near)
-    island = cut_lineage(with_last_flag(marked, F.coalesce(F.col("__near") < bound, F.lit(True)), "__island"))
+    island = cut_lineage(with_last_flag(heads.withColumn("__near", near), F.coalesce(F.col("__near") < bound, F.lit(True)), "__island").drop("__near", "__before"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__rank")
@@ -40,20 +46,30 @@ def merge_near_duplicates(df: DataFrame, keys: Sequence[str], row_id: str, start
         for r in pdf.itertuples(index=False):
             same = indel_ratio_of(anchor[1], r[3]) if anchor is not None and anchor[1] and r[3] else 0.0
             if anchor is not None and same >= threshold:
-                rows.append((r[0], r[1], False, anchor[0], same, r[4], anchor[2]))
+                rows.append((r[0], r[1], False, anchor[0], same, anchor[2]))
             else:
                 anchor = (r[2], r[3], r[1])
-                rows.append((r[0], r[1], True, None, None, r[4], r[1]))
-        return pd.DataFrame(rows, columns=["__kid", "__rank", "kept", "duplicate_of", "similarity", "__e", "__anchor"])
+                rows.append((r[0], r[1], True, None, None, r[1]))
+        return pd.DataFrame(rows, columns=["__kid", "__rank", "kept", "duplicate_of", "similarity", "__anchor"])
 
     sizes = island.groupBy(KEY, "__island").agg(F.count("*").alias("__n")).where("__n > 1").select(KEY, "__island")
     several = island.join(sizes, [KEY, "__island"], "left_semi").withColumn("__kid", F.to_json(KEY))
-    done = several.select("__kid", "__rank", F.col("__id").cast("string").alias("__id"), "__x", "__e", "__island").groupBy("__kid", "__island").applyInPandas(
-        lambda pdf: fold(pdf), "__kid string, __rank long, kept boolean, duplicate_of string, similarity double, __e double, __anchor long"
+    done = several.select("__kid", "__rank", F.col("__id").cast("string").alias("__id"), "__x", "__island").groupBy("__kid", "__island").applyInPandas(
+        lambda pdf: fold(pdf), "__kid string, __rank long, kept boolean, duplicate_of string, similarity double, __anchor long"
+    )
+    told = island.withColumn("__kid", F.to_json(KEY)).join(done, ["__kid", "__rank"], "left").select(
+        KEY, "__rank", F.struct("__rank", F.col("__id").cast("string").alias("id"), F.coalesce("kept", F.lit(True)).alias("kept"), "duplicate_of", "similarity", F.coalesce("__anchor", "__rank").alias("anchor")).alias("__head")
+    )
+    # rows behind the first of their run take what it was told
+    every = with_running_max(ranked.drop("__before", "__x").join(told, [KEY, "__rank"], "left"), F.col("__head"), "__of")
+    every = cut_lineage(every.drop("__head"))
+    ends = every.groupBy(KEY, F.col("__of.anchor").alias("__rank")).agg(F.max("__e").alias("__end"))
+    head, kept = F.col("__first"), F.col("__of.kept")
+    return every.join(ends, [KEY, "__rank"], "left").select(
+        *[F.col(f"{KEY}.{k}").alias(k) for k in keys], F.col("__id").alias(row_id), (head & kept).alias("kept"),
+        F.when(~kept, F.col("__of.duplicate_of")).when(~head, F.col("__of.id")).alias("duplicate_of"), F.when(~kept, F.col("__of.similarity")).when(~head, F.lit(100.0)).alias("similarity"),
+        F.when(head & kept, F.coalesce("__end", "__e")).otherwise(F.col("__e")).alias("end_time"), *[F.col(f"__carry.{c}").alias(c) for c in carry],
     )
-    ends = done.groupBy("__kid", "__anchor").agg(F.max("__e").alias("__end")).select("__kid", F.col("__anchor").alias("__rank"), "__end")
-    out = island.withColumn("__kid", F.to_json(KEY)).join(done.select("__kid", "__rank", "kept", "duplicate_of", "similarity"), ["__kid", "__rank"], "left").join(ends, ["__kid", "__rank"], "left")
-    return plain_key(out, keys, [F.col("__id").alias(row_id), F.coalesce("kept", F.lit(True)).alias("kept"), "duplicate_of", "similarity", F.coalesce("__end", "__e").alias("end_time")])
 
 
 def merge_equal_neighbours(df: DataFrame, keys: Sequence[str], row_id: str, start: str, end: str, tie: str, text: str) -> DataFrame:
@@ -73,31 +89,54 @@ def lone_name(c: Column) -> Column:
     return F.when(one, F.lower(t))
 
 
+def _anchored(rows: DataFrame, window: int) -> DataFrame:
+    """Adds __start: the rank of the first row of the greedy cluster a row is in.
+
+    rows: KEY, __rank (dense), __t.  A cluster begins at rank 0 and at the first
+    row more than ``window`` after the beginning before it.  Each row's next
+    beginning, were it one itself, is found by ranking rows and ends of windows
+    together; from rank 0 on, the beginnings are marked by pointer doubling:
+    each round marks what the marked point to, and doubles all pointers.
+    """
+    both = rows.select(KEY, "__rank", F.col("__t").alias("__at"), F.lit(0).alias("__probe")).unionByName(rows.select(KEY, "__rank", (F.col("__t") + window).alias("__at"), F.lit(1).alias("__probe")))
+    placed = with_rank(both, "__at", ["__probe", "__rank"], out="__place")
+    # rows up to the end of the window: all places before less the probes there
+    jump = placed.where("__probe = 1").select(KEY, "__rank", (F.col("__place") - F.col("__rank")).alias("to"))
+    jump = cut_lineage(jump.join(rows.select(KEY, F.col("__rank").alias("to")), [KEY, "to"], "left_semi").select(KEY, "__rank", "to"))
+    marked = rows.where("__rank = 0").select(KEY, "__rank")
+    while not jump.isEmpty():
+        marked = cut_lineage(marked.unionByName(marked.join(jump, [KEY, "__rank"]).select(KEY, F.col("to").alias("__rank"))).distinct())
+        jump = cut_lineage(jump.join(jump.select(KEY, F.col("__rank").alias("to"), F.col("to").alias("next")), [KEY, "to"]).select(KEY, "__rank", F.col("next").alias("to")))
+    flagged = rows.join(marked.withColumn("__mark", F.lit(True)), [KEY, "__rank"], "left")
+    return with_last_flag(flagged, F.coalesce("__mark", F.lit(False)), "__start").drop("__mark")
+
+
 def stuck_names(df: DataFrame, keys: Sequence[str], row_id: Sequence[str], start: str, text: str, least: int = 3, window_s: float = 60.0) -> DataFrame:
     """[W2] Rows of clusters of ``least`` or more equal single names within ``window_s`` of the cluster's first.
 
     Clusters are greedy and anchored at their first row.  A gap wider than the
-    window always starts a new one, so the fold runs on what lies between such
-    gaps.  Returns keys, row_id..., token.
+    window always starts a new one; a stretch between such gaps that is no
+    longer than the window is one cluster, in others the beginnings are found
+    by pointer doubling, so a word stuck for hours is no single task.  Times
+    count in whole milliseconds.  Returns keys, row_id..., token.
     """
-    src = df.select(*keys, *row_id, F.col(start).alias("__t"), lone_name(F.col(text)).alias("token")).where("token is not null and __t is not null")
-    group = [*keys, "token"]
-    order = Window.partitionBy(*group).orderBy("__t", *row_id)
-    cut = src.withColumn("__new", (F.col("__t") - F.lag("__t").over(order) > window_s).cast("int"))
-    island = cut.withColumn("__island", F.sum(F.coalesce("__new", F.lit(0))).over(order))
-    listed = island.groupBy(*group, "__island").agg(F.sort_array(F.collect_list(F.struct(F.col("__t").alias("t"), *row_id))).alias("rows")).where(F.size("rows") >= least)
-    empty = F.expr("cast(array() as array<struct<first:double,n:int>>)")
-
-    def step(acc, r):
-        fits = (F.size(acc) > 0) & (r["t"] - F.try_element_at(acc, F.lit(-1))["first"] <= window_s)
-        again = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["first"].alias("first"), (F.try_element_at(acc, F.lit(-1))["n"] + 1).alias("n"))))
-        return F.when(fits, again).otherwise(F.concat(acc, F.array(F.struct(r["t"].alias("first"), F.lit(1).alias("n")))))
-
-    clusters = listed.withColumn("clusters", F.aggregate("rows", empty, step))
-    flat = clusters.select(*group, "clusters", F.explode("rows").alias("r"))
-    # a row is in the last cluster that begins at or before it
-    size = F.element_at(F.filter("clusters", lambda c: c["first"] <= F.col("r.t")), -1)["n"]
-    return flat.where(size >= least).select(*keys, *[F.col(f"r.{c}").alias(c) for c in row_id], "token")
+    window = round(window_s * 1000)
+    src = df.select(F.struct(*[F.col(k).alias(k) for k in keys], lone_name(F.col(text)).alias("token")).alias(KEY), *row_id, millis(start).alias("__t")).where(F.col(f"{KEY}.token").isNotNull() & F.col("__t").isNotNull())
+    src = cut_lineage(src)  # few rows of many
+    ranked = with_previous(with_rank(src, "__t", list(row_id)), F.col("__t"), "__before")
+    island = cut_lineage(with_last_flag(ranked, F.coalesce(F.col("__t") - F.col("__before") > window, F.lit(True)), "__island").drop("__before"))
+    spans = island.groupBy(KEY, "__island").agg(F.count("*").alias("__n"), (F.max("__t") - F.min("__t")).alias("__span")).where(F.col("__n") >= least)
+    out = [*[F.col(f"{KEY}.{k}").alias(k) for k in keys], *row_id, F.col(f"{KEY}.token").alias("token")]
+    short = island.join(spans.where(F.col("__span") <= window).select(KEY, "__island"), [KEY, "__island"], "left_semi").select(*out)
+    wide = spans.where(F.col("__span") > window).select(KEY, "__island")
+    if wide.isEmpty():
+        return short
+    # stretches as entities of their own, with ranks from 0
+    long = island.join(wide, [KEY, "__island"], "left_semi").select(F.struct(KEY, "__island").alias(KEY), (F.col("__rank") - F.col("__island")).alias("__rank"), "__t", *row_id)
+    placed = _anchored(long, window)
+    full = placed.groupBy(KEY, "__start").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(KEY, "__start")
+    stuck = placed.join(full, [KEY, "__start"], "left_semi").select(F.col(f"{KEY}.{KEY}").alias(KEY), *row_id)
+    return short.unionByName(stuck.select(*out))
 
 
 def select_spans(spans: Column) -> Column:
@@ -131,13 +170,14 @@ def count_windows(df: DataFrame, keys: Sequence[str], start: str, ties: Sequence
 
 def merge_hits(df: DataFrame, keys: Sequence[str], start: str, end: str, text: str, slack_s: float = 2.0) -> DataFrame:
     """[W8] Hits that overlap or lie ``slack_s`` apart become one: keys, start, end, n, texts (distinct, in order)."""
-    order = Window.partitionBy(*keys).orderBy(start, end, text)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = df.withColumn("__new", F.when(F.col(start) > reach + slack_s, 1).otherwise(0)).withColumn("__i", F.sum("__new").over(order))
-    return island.groupBy(*keys, "__i").agg(
-        F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"),
-        F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct(start, end, text))), lambda x: x[text])).alias("texts"),
-    ).drop("__i")
+    src = df.select(entity(keys), F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(text).alias("__x"), millis(start).alias("__t"))
+    reach = with_running_max(with_rank(src, "__t", ["__s", "__e", "__x"]), F.col("__e"), "__reach", before=True)
+    island = with_last_flag(reach, F.coalesce(F.col("__s") > F.col("__reach") + slack_s, F.lit(True)), "__i")
+    merged = island.groupBy(KEY, "__i").agg(
+        F.min("__s").alias(start), F.max("__e").alias(end), F.count("*").alias("n"),
+        F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("__rank", "__x"))), lambda x: x["__x"])).alias("texts"),
+    )
+    return plain_key(merged, keys, [start, end, "n", "texts"])
 
 
 def frozen_positions(words: Column, names: Column) -> Column:

@@ -23,12 +23,15 @@ def match_names(matches: DataFrame) -> DataFrame:
     return rows.where("name is not null").select("match_id", "entity_type", T.strip(F.col("name")).alias("canonical"), (F.col("n") * 100_000 + F.col("pos")).alias("seq")).where("canonical <> ''")
 
 
-def build_gazetteer(names: DataFrame, learned: DataFrame | None = None, least_seen: int = 2, least_confidence: float = 0.6) -> DataFrame:
+def build_gazetteer(names: DataFrame, learned: DataFrame | None = None, heard: DataFrame | None = None, least_seen: int = 2, least_confidence: float = 0.6) -> DataFrame:
     """[U4, F8, F9] match_id, variant, canonical.
 
     A name and its surname overwrite what was entered before (the last one
     counts); pairs and initials of long player names, further teams and
-    learned spellings are taken only where nothing else is.
+    learned spellings are taken only where nothing else is.  Learned spellings
+    hold for every match; ``heard`` (match_id, variant) names those that occur
+    in each, and only these are entered, so the list is never multiplied by the
+    matches.
     """
     own = F.array(F.struct(F.col("canonical").alias("v"), F.lit(0).alias("k")))
     sur = F.when(F.col("entity_type").isin("player", "coach", "referee"), F.array(F.struct(T.surname(F.col("canonical")).alias("v"), F.lit(0).alias("k")))).otherwise(F.array().cast("array<struct<v:string,k:int>>"))
@@ -40,10 +43,10 @@ def build_gazetteer(names: DataFrame, learned: DataFrame | None = None, least_se
     if learned is None:
         return gaz
     extra = learned.where((F.col("seen_count") >= least_seen) & (F.col("confidence") >= least_confidence) & (F.coalesce("correct", F.lit("")) != "")).select(F.col("misspelling").alias("variant"), F.col("correct").alias("canonical"))
-    # the learned list is one array carried to every match, not a cross join
-    listed = extra.agg(F.collect_list(F.struct("variant", "canonical")).alias("__l"))
-    every = names.select("match_id").distinct().join(F.broadcast(listed)).select("match_id", F.explode("__l").alias("x")).select("match_id", "x.*")
-    return gaz.unionByName(every.join(gaz, ["match_id", "variant"], "left_anti").select("match_id", "variant", "canonical"))
+    if heard is None:
+        raise ValueError("learned spellings need the words heard in each match")
+    found = heard.select("match_id", "variant").distinct().join(extra, "variant")
+    return gaz.unionByName(found.join(gaz, ["match_id", "variant"], "left_anti").groupBy("match_id", "variant").agg(F.min("canonical").alias("canonical")))
 
 
 def entity_types(names: DataFrame) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,63 +12,75 @@ from touchline.functions import text as T
 from touchline.operators.ordered import KEY, with_neighbours, with_rank
 
 
-def wrap_by_confidence(words: Sequence[str], heard: Sequence[dict] | None, frozen: Sequence[int] | None, gate: float = -0.3) -> tuple[str, int, list[bool]]:
-    """[W10, F23] The text with uncertain words in <>, how many there are, and which may be edited.
+# Fixed value: what a capitalised word looks like, with the stop behind it.
+CAPITAL = r"^[A-ZÅÄÖÆØ][a-zà-ÿ]+(?:['-][A-Za-zÅÄÖÆØà-ÿ]+)*[.,!?;:]?$"
 
-    Two cursors walk the text's words and the recogniser's; a pair is found
-    when either begins with the other.  A word without a partner, or with
-    probability 0, counts as log probability -10.  Frozen words stay.
+
+def _begins(c: Column, head: Column) -> Column:
+    return F.substring(c, F.lit(1), F.length(head)) == head
+
+
+def heard_places(tokens: Column, heard: Column) -> Column:
+    """[W10] For each token the number (from 1) of the recogniser's word it is paired with, 0 if none.
+
+    heard: the recogniser's words without surrounding stops.  A token's partner
+    is the first word behind all partners so far such that one of the two
+    begins with the other; a token that finds none uses up the rest.
     """
-    held = set(frozen or ())
-    rest = iter(heard or ())
-    current = next(rest, None)
-    out, mask = [], []
-    for i, word in enumerate(words):
-        p = None
-        while current is not None:
-            bare = (current["word"] or "").strip(" .,!?;:")
-            fits = bare and (word.startswith(bare) or bare.startswith(word))
-            value = current["prob"]
-            current = next(rest, None)
-            if fits:
-                p = value or 0.0
-                break
-        logp = math.log(p) if p else -10.0
-        edit = i not in held and logp < gate
-        mask.append(edit)
-        out.append(f"<{word}>" if edit else word)
-    return " ".join(out), sum(mask), mask
-
-
-def wrap_capitals(words: Sequence[str], variants: set[str], frozen: Sequence[int] | None, tags: Sequence[str] | None = None, rejected: Sequence[str] = ()) -> tuple[str, int, list[bool]]:
-    """Without word probabilities: capitalised words; the first word not if its tag is rejected, known names always."""
-    import re
-
-    held = set(frozen or ())
-    capital = re.compile(r"^[A-ZÅÄÖÆØ][a-zà-ÿ]+(?:['-][A-Za-zÅÄÖÆØà-ÿ]+)*[.,!?;:]?$")
-    out, mask = [], []
-    for i, word in enumerate(words):
-        edit = i not in held and bool(capital.match(word))
-        if edit and i == 0 and word.strip(" .,!?;:'\"-—–…").lower() not in variants and tags and tags[0] in rejected:
-            edit = False
-        mask.append(edit)
-        out.append(f"<{word}>" if edit else word)
-    return " ".join(out), sum(mask), mask
-
-
-def with_wrapped(df: DataFrame, text: str, words: str, frozen: str, variants: set[str] = frozenset()) -> DataFrame:
-    """Adds wrapped, n_wrapped, editable.  By probability where ``words`` is known, else by capitals."""
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, heard, held in batches:
-            rows = []
-            for t, w, f in zip(texts, heard, held):
-                tokens = (t or "").split()
-                rows.append(wrap_by_confidence(tokens, list(w), f) if w is not None and len(w) else wrap_capitals(tokens, variants, f))
-            yield pd.DataFrame(rows, columns=["wrapped", "n_wrapped", "editable"])
-
-    udf = F.pandas_udf(run, "wrapped string, n_wrapped int, editable array<boolean>")
-    return df.withColumn("__w", udf(text, words, frozen)).select("*", "__w.*").drop("__w")
+
+    def step(acc: Column, token: Column) -> Column:
+        rest = F.slice(heard, acc["next"], F.greatest(F.size(heard) - acc["next"] + 1, F.lit(0)))
+        fits = F.transform(rest, lambda w: F.coalesce((w != "") & (_begins(token, w) | _begins(w, token)), F.lit(False)))
+        return T.let(
+            F.array_position(fits, True).cast("int"),
+            lambda at: T.let(
+                F.when(at > 0, acc["next"] + at - 1).otherwise(F.lit(0)),
+                lambda place: F.struct(F.when(at > 0, place + 1).otherwise(F.size(heard) + 1).alias("next"), F.concat(acc["places"], F.array(place)).alias("places")),
+            ),
+        )
+
+    return F.aggregate(tokens, F.expr("named_struct('next', 1, 'places', cast(array() as array<int>))"), step, lambda acc: acc["places"])
+
+
+def unsure(tokens: Column, heard: Column, gate: float = -0.3) -> Column:
+    """Whether each token's log probability is below ``gate``; no partner, no probability or 0 counts as -10."""
+    bare = F.transform(heard, lambda w: T.strip_chars(F.coalesce(w["word"], F.lit("")), " .,!?;:"))
+
+    def below(place: Column) -> Column:
+        p = F.when(place > 0, F.get(heard, place - 1)["prob"])
+        return F.coalesce(F.when(p > 0, F.log(p)), F.lit(-10.0)) < gate
+
+    return T.let(bare, lambda b: F.transform(heard_places(tokens, b), below))
+
+
+def capitals(tokens: Column, variants: Column, first_tag: Column | None = None, rejected: Sequence[str] = ()) -> Column:
+    """Whether each token is a capitalised word.
+
+    The first one isn't if its tag is among ``rejected``, unless it is one of
+    ``variants`` (array of lower-case names).
+    """
+    out = F.transform(tokens, lambda w: w.rlike(CAPITAL))
+    if first_tag is None or not rejected:
+        return out
+    known = F.array_contains(variants, F.lower(T.strip_chars(F.get(tokens, F.lit(0)), " .,!?;:'\"-—–…")))
+    opener = F.coalesce(first_tag.isin(*rejected), F.lit(False)) & ~F.coalesce(known, F.lit(False))
+    return F.transform(out, lambda x, i: x & ~((i == 0) & opener))
+
+
+def with_wrapped(df: DataFrame, text: str, words: str, frozen: str, variants: Column | None = None, first_tag: Column | None = None, rejected: Sequence[str] = (), gate: float = -0.3) -> DataFrame:
+    """Adds wrapped (words that may be edited in <>), n_wrapped, editable (of each word).
+
+    Words are chosen by probability where ``words`` (array of word, prob) is
+    known, else by capitals; those at ``frozen`` positions never are.
+    """
+    tokens = T.words(F.coalesce(F.col(text), F.lit("")))
+    chosen = F.when(F.size(words) > 0, unsure(F.col("__tokens"), F.col(words), gate)).otherwise(
+        capitals(F.col("__tokens"), variants if variants is not None else F.expr("cast(array() as array<string>)"), first_tag, rejected)
+    )
+    held = F.coalesce(F.col(frozen), F.expr("cast(array() as array<int>)"))
+    out = df.withColumn("__tokens", tokens).withColumn("editable", F.transform(chosen, lambda x, i: x & ~F.array_contains(held, i.cast("int"))))
+    marked = F.zip_with("__tokens", "editable", lambda w, x: F.when(x, F.concat(F.lit("<"), w, F.lit(">"))).otherwise(w))
+    return out.withColumn("wrapped", F.array_join(marked, " ")).withColumn("n_wrapped", F.size(F.filter("editable", lambda x: x))).drop("__tokens")
 
 
 Propose = Callable[[pd.DataFrame], pd.Series]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text as T
+from touchline.operators.closewords import close_pairs
+from touchline.session import cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -24,103 +26,151 @@ def general(c: Column) -> Column:
     return F.trim(F.regexp_replace(T.unaccented(F.regexp_replace(F.lower(c), "ø", "o")), r"[^a-z0-9]+", " "))
 
 
-def postings(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
-    """Inverted index: term, doc_id, tf, dl (the document's length)."""
-    t = F.filter(F.split(text, " "), lambda x: x != "")
-    return docs.select(doc_id, F.size(t).alias("dl"), F.explode(t).alias("term")).groupBy("term", doc_id).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+FIELDS = (("exact", plain, 2.0), ("loose", general, 1.0))
 
 
-def bm25(index: DataFrame, queries: DataFrame, doc_id: str, fuzzy: bool = True, edits: Column | None = None) -> DataFrame:
-    """qid, doc_id, score.  queries: qid, term.
+def _tokens(c: Column, analyse: Callable[[Column], Column]) -> Column:
+    return F.filter(F.split(analyse(c), " "), lambda x: x != "")
 
-    ``fuzzy`` expands a term over the vocabulary: one edit from three letters,
-    two from six; each expansion weighs 1 - edits / shorter length and counts
-    as frequent as the most frequent one.
+
+def _fielded(terms: Column, field: int, dl: Column | None = None) -> Column:
+    """The terms as structs with the number of their field, and ``dl``."""
+    more = [] if dl is None else [dl.alias("dl")]
+    return F.transform(terms, lambda t: F.struct(F.lit(field).alias("field"), t.alias("term"), *more))
+
+
+def allowed_edits(asked: Column, term: Column) -> Column:
+    """Edits by which a term may differ from the asked one: one from three letters, two from six."""
+    return F.when(asked >= 6, 2).when(asked >= 3, 1).otherwise(0)
+
+
+def expanded(asked: DataFrame, vocabulary: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """field, asked, term, boost, df: the terms of the vocabulary that stand for an asked one.
+
+    asked: field, asked, distinct.  vocabulary: field, term, df.  An expansion
+    weighs 1 - edits / shorter length and counts as frequent as the most
+    frequent one, as a misspelling must not outweigh the word it stands for.
     """
-    vocabulary = index.groupBy("term").agg(F.count("*").alias("df"))
-    # tf / dl of a document's terms adds up to 1, so this needs no distinct
-    size = index.agg(F.sum(F.col("tf") / F.col("dl")).alias("n"), F.sum("tf").alias("all")).select(F.round("n").alias("n"), (F.col("all") / F.round("n")).alias("avgdl"))
-    q = queries.select("qid", F.col("term").alias("asked"))
     if fuzzy:
-        most = F.when(F.length("asked") >= 6, 2).when(F.length("asked") >= 3, 1).otherwise(0)
-        near = F.abs(F.length("asked") - F.length("term")) <= most
-        d = F.levenshtein("asked", "term", 2)
-        # a handful of query terms against the vocabulary, not against documents
-        terms = vocabulary.join(F.broadcast(q), near & (d >= 0) & (d <= most)).withColumn("boost", 1 - F.levenshtein("asked", "term") / F.least(F.length("asked"), F.length("term")))
+        words = vocabulary.select(F.col("term").alias("b")).distinct()
+        pairs = close_pairs(asked.select(F.col("asked").alias("a")).distinct(), words, allowed_edits, 2)
+        near = asked.join(pairs, asked["asked"] == pairs["a"]).join(vocabulary.select("field", F.col("term").alias("b"), "df"), ["field", "b"]).withColumnRenamed("b", "term")
+        terms = near.withColumn("boost", 1 - F.col("d") / F.least(F.length("asked"), F.length("term")))
     else:
-        terms = vocabulary.join(F.broadcast(q), F.col("asked") == F.col("term")).withColumn("boost", F.lit(1.0))
-    # a misspelling in the documents is rare; it must not outweigh the word it stands for
-    terms = terms.withColumn("df", F.max("df").over(Window.partitionBy("qid", "asked")))
-    hit = index.join(terms, "term").join(F.broadcast(size))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    best = hit.select("qid", "asked", doc_id, part.alias("part")).groupBy("qid", "asked", doc_id).agg(F.max("part").alias("part"))
-    return best.groupBy("qid", doc_id).agg(F.sum("part").alias("score"))
+        terms = asked.join(vocabulary.select("field", F.col("term").alias("asked"), F.col("term"), "df"), ["field", "asked"]).withColumn("boost", F.lit(1.0))
+    most = F.max("df").over(Window.partitionBy("field", "asked"))
+    return terms.select("field", "asked", "term", "boost", most.alias("df"))
 
 
-def lexical_search(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, group: str, top: int = 5, fuzzy: bool = True, phrase_boost: float = 5.0, min_score: float | None = None, most_queries: int = 10_000) -> DataFrame:
-    """[M14, P8] The best ``top`` documents of each group for each query: qid, group, doc_id, score, n.
+def lexical_search(
+    docs: DataFrame, queries: DataFrame, doc_id: str, text: str, group: str, top: int = 5, fuzzy: bool = True, phrase_boost: float = 5.0, min_score: float | None = None, most_broadcast: int = 1_000_000,
+) -> DataFrame:
+    """[M14, P8] The best ``top`` documents of each group for each query (qid, query): qid, group, doc_id, score, n.
 
     The better of twice the exact field's and once the loose field's BM25,
     plus ``phrase_boost`` for each field that has the whole query as a phrase.
-    queries (qid, query) are refused above ``most_queries``.
+
+    The documents are read twice: once for the vocabulary with its counts, once
+    for the tokens that an asked term stands for, which meet the terms where
+    they are read (up to ``most_broadcast`` terms, else by a shuffle).  Texts
+    are looked at again only where all terms of a query stand.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    fields = []
-    for name, analyse, weight in (("exact", plain, 2.0), ("loose", general, 1.0)):
-        index = postings(docs, doc_id, analyse(F.col(text)))
-        terms = queries.select("qid", F.explode(F.filter(F.split(analyse(F.col("query")), " "), lambda x: x != "")).alias("term")).distinct()
-        fields.append(bm25(index, terms, doc_id, fuzzy).select("qid", doc_id, (F.col("score") * weight).alias(name)))
-    best = fields[0].join(fields[1], ["qid", doc_id], "full_outer")
-    scored = best.join(docs.select(doc_id, group, text), doc_id).join(F.broadcast(queries), "qid")
+    asked = queries.select("qid", F.explode(F.concat(*[_fielded(F.array_distinct(_tokens(F.col("query"), f)), i) for i, (_, f, _) in enumerate(FIELDS)])).alias("x")).select("qid", F.col("x.field").alias("field"), F.col("x.term").alias("asked"))
+    said = docs.select(F.col(doc_id).alias("__d"), F.col(group).alias("__g"), *[_tokens(F.col(text), f).alias(f"__{name}") for name, f, _ in FIELDS])
+    # one more entry a document and field, of no term, counts documents and tokens
+    words = said.select(F.explode(F.concat(*[
+        F.when(F.size(f"__{name}") > 0, F.concat(_fielded(F.array_distinct(f"__{name}"), i, F.lit(0)), F.array(F.struct(F.lit(i).alias("field"), F.lit("").alias("term"), F.size(f"__{name}").alias("dl"))))).otherwise(F.slice(_fielded(F.col(f"__{name}"), i, F.lit(0)), 1, 0))
+        for i, (name, _, _) in enumerate(FIELDS)
+    ])).alias("x"))
+    vocabulary = cut_lineage(words.groupBy(F.col("x.field").alias("field"), F.col("x.term").alias("term")).agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl")))
+    size = vocabulary.where("term = ''").select("field", F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    terms = cut_lineage(expanded(asked.select("field", "asked").distinct(), vocabulary.where("term <> ''"), fuzzy).join(F.broadcast(size), "field"))
+    near_by = F.broadcast if terms.limit(most_broadcast + 1).count() <= most_broadcast else (lambda df: df)
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = terms.select("field", "asked", "term", "boost", (F.col("boost") * idf).alias("idf"), "avgdl")
+    tokens = said.select("__d", "__g", F.explode(F.concat(*[_fielded(F.col(f"__{name}"), i, F.size(f"__{name}")) for i, (name, _, _) in enumerate(FIELDS)])).alias("x")).select("__d", "__g", "x.*")
+    hit = tokens.join(near_by(weights.select("field", "term").distinct()), ["field", "term"], "left_semi").groupBy("__d", "__g", "field", "term", "dl").agg(F.count("*").alias("tf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    best = hit.join(near_by(weights), ["field", "term"]).groupBy("__d", "__g", "field", "asked").agg(F.max(part).alias("part"), F.max(F.col("boost") == 1).alias("exactly"))
+    wanted = asked.groupBy("qid", "field").agg(F.count("*").alias("terms"))
+    sums = best.join(asked, ["field", "asked"]).groupBy("qid", "__d", "__g", "field").agg(F.sum("part").alias("s"), F.count_if("exactly").alias("found"))
+    scored = sums.join(wanted, ["qid", "field"]).groupBy("qid", "__d", "__g").agg(
+        F.greatest(*[F.coalesce(F.max(F.when(F.col("field") == i, F.col("s") * w)), F.lit(0.0)) for i, (_, _, w) in enumerate(FIELDS)]).alias("score"),
+        F.max(F.col("found") == F.col("terms")).alias("whole"),
+    )
+    # a phrase can only stand where all its terms do
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    bonus = sum(F.when((f(F.col("query")) != "") & F.contains(pad(f(F.col(text))), pad(f(F.col("query")))), phrase_boost).otherwise(0.0) for f in (plain, general))
-    total = F.greatest(F.coalesce("exact", F.lit(0.0)), F.coalesce("loose", F.lit(0.0))) + bonus
-    w = Window.partitionBy("qid", group).orderBy(F.desc(F.round("score", 9)), doc_id)
-    out = scored.withColumn("score", total)
+    bonus = sum(F.when((f(F.col("query")) != "") & F.contains(pad(f(F.col("__x"))), pad(f(F.col("query")))), phrase_boost).otherwise(0.0) for _, f, _ in FIELDS)
+    phrases = scored.where("whole").select("qid", "__d").join(docs.select(F.col(doc_id).alias("__d"), F.col(text).alias("__x")), "__d").join(queries.select("qid", "query"), "qid").select("qid", "__d", bonus.alias("__bonus"))
+    out = scored.join(phrases, ["qid", "__d"], "left").withColumn("score", F.col("score") + F.coalesce("__bonus", F.lit(0.0)))
     if min_score is not None:
         out = out.where(F.col("score") >= min_score)
-    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).select("qid", group, doc_id, "score", "n")
+    w = Window.partitionBy("qid", "__g").orderBy(F.desc(F.round("score", 9)), "__d")
+    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).select("qid", F.col("__g").alias(group), F.col("__d").alias(doc_id), "score", "n")
 
 
-def nearest_vectors(df: DataFrame, queries: DataFrame, vec_id: str, vector: str, top: int = 5, most_queries: int = 100_000, block: int = 2048) -> DataFrame:
+def nearest_vectors(df: DataFrame, queries: DataFrame, vec_id: str, vector: str, top: int = 5, most_queries: int = 50_000, block: int = 2048) -> DataFrame:
     """[M15] query_id, vec_id, score, n: the ``top`` rows of highest cosine for each query, itself left out.
 
-    A stated query set against all rows: queries travel to the tasks in blocks
-    (refused above ``most_queries``), each batch of rows keeps its own best by
-    one matrix product a block, and the batches' bests are merged.  Null and
-    zero vectors, and vectors of another length, match nothing.
+    A stated query set against all rows: the queries travel to the tasks,
+    ``most_queries`` at a time (each such part is one pass over the rows), each
+    batch of rows keeps its own best by one matrix product a block, and the
+    batches' bests are merged.  Null and zero vectors, and vectors of another
+    length than the table's commonest, match nothing.
     """
-    rows = queries.where(f"{vec_id} is not null and {vector} is not null").select(vec_id, vector).limit(most_queries + 1).toPandas()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    width = len(rows[vector].iloc[0]) if len(rows) else 0
-    rows = rows[rows[vector].map(len) == width]
-    ids = rows[vec_id].to_numpy(np.int64)
-    matrix = np.array(rows[vector].tolist(), dtype=np.float64).reshape(len(rows), width)
-    norm = np.linalg.norm(matrix, axis=1)
-    ids, matrix = ids[norm > 0], matrix[norm > 0] / norm[norm > 0][:, None]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[pdf["v"].map(lambda v: v is not None and len(v) == width)]
-            if not len(pdf) or not len(ids):
+    asked = cut_lineage(queries.where(f"{vec_id} is not null and {vector} is not null").select(F.col(vec_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["i"]))
+    shape = asked.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").first()
+    width, parts = (int(shape["w"]), -(-int(shape["n"]) // most_queries)) if shape else (0, 1)
+    sc = df.sparkSession.sparkContext
+    rows = df.select(F.col(vec_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == width) & F.col("i").isNotNull())
+    out = None
+    for p in range(parts):
+        # hashed parts are about equal, so each stays near most_queries
+        own = asked.where((F.size("v") == width) & (F.pmod(F.xxhash64("i"), F.lit(parts)) == p)).toPandas()
+        ids = own["i"].to_numpy(np.int64)
+        matrix = np.array(own["v"].tolist(), dtype=np.float64).reshape(len(own), width)
+        norm = np.linalg.norm(matrix, axis=1)
+        held = sc.broadcast((ids[norm > 0], matrix[norm > 0] / norm[norm > 0][:, None]))
+        found = rows.mapInArrow(_best_of(held, width, top, block), "query_id long, vec_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    return out.where("score > double('-infinity')").withColumn("n", F.row_number().over(w)).where(F.col("n") <= top)
+
+
+def _best_of(held, width: int, top: int, block: int):
+    """For each batch of (id, vector) the best rows of each query held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = held.value
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
                 continue
-            m = np.array(pdf["v"].tolist(), dtype=np.float64)
+            own = batch.column(0).to_numpy()
+            m = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             size = np.linalg.norm(m, axis=1)
-            own = pdf["i"].to_numpy(np.int64)[size > 0]
-            m = m[size > 0] / size[size > 0][:, None]
-            for at in range(0, len(ids), block):
+            fine = np.isfinite(size) & (size > 0)
+            own, m = own[fine], m[fine] / size[fine][:, None]
+            k = min(top, len(own))
+            for at in range(0, len(ids) if k else 0, block):
                 s = matrix[at : at + block] @ m.T
                 s[ids[at : at + block][:, None] == own[None, :]] = -np.inf
-                k = min(top, s.shape[1])
                 order = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 9)), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids[at : at + block], k), "vec_id": own[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-    part = df.select(F.col(vec_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("i is not null").mapInPandas(run, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return part.where("score > double('-infinity')").withColumn("n", F.row_number().over(w)).where(F.col("n") <= top)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids[at : at + block], k)), pa.array(own[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "vec_id", "score"]
+                )
+
+    return run
+
+
+def summed(hits: Sequence[DataFrame], by: Sequence[str], top: int | None = None) -> DataFrame:
+    """[M15] by, score, n: the hits of several searches with their scores added up; n orders each by[0]'s hits."""
+    rows = None
+    for h in hits:
+        part = h.select(*by, "score")
+        rows = part if rows is None else rows.unionByName(part)
+    w = Window.partitionBy(by[0]).orderBy(F.desc(F.round("score", 9)), *by[1:])
+    out = rows.groupBy(*by).agg(F.sum("score").alias("score")).withColumn("n", F.row_number().over(w))
+    return out if top is None else out.where(F.col("n") <= top)
 
 
 def top_hits(hits: DataFrame, docs: DataFrame, doc_id: str, text: str, targets: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from touchline.operators import guards, report, search
 from touchline.operators.ordered import millis, whole_order
 from touchline.plans import clean as C
 from touchline.plans.q_text import S_NONLATIN, S_RATIO
-from touchline.plans.q_window import S_W2, SEG, segments
+from touchline.plans.q_window import FOLD, S_KEY, SEG, STUCK, segments
 from touchline.plans.registry import query, s_strip, s_words
 from touchline.sources import json_files, sinks
 from touchline.sources.tables import HALF, table
@@ -135,7 +135,10 @@ def k5(spark, sf_dir):
 S_REASON = f"case when {s_strip('coalesce(text, chr(32))')} = '' then 'empty_segment' when {S_NONLATIN} then 'non_latin_characters' when {S_RATIO} < 0.5 then 'low_alpha_ratio' end"
 
 
-@query("ref_p5_classified", S_W2.replace("select match_id, feed, half, segment_id, token from", "select seg_key, case when st.segment_id is not null then 'hallucination_repeated_name_segment' else " + S_REASON + " end as reason from seg left join (select match_id, feed, half, segment_id from").replace("where n >= 3", "where n >= 3) st using (match_id, feed, half, segment_id)"))
+CLASSED = f"{SEG}, {STUCK}, cls as (select seg.*, case when st.segment_id is not null then 'hallucination_repeated_name_segment' else {S_REASON} end as reason from seg left join (select distinct match_id, feed, half, segment_id from stuck) st using (match_id, feed, half, segment_id))"
+
+
+@query("ref_p5_classified", f"with recursive {CLASSED} select seg_key, reason from cls")
 def p5(spark, sf_dir):
     s = segments(spark, sf_dir).withColumn("language", F.lit("en"))
     return C.classified(s, "language").select("seg_key", F.regexp_replace("reason", r" \(.*", "").alias("reason"))
@@ -183,9 +186,15 @@ def clean_segments(spark, sf_dir):
     return cleaned(spark, sf_dir)[1].select(*HALF, "segment_id", "start_time", "end_time", "text")
 
 
-@query("ref_a14_summary")
+@query(
+    "ref_a14_summary",
+    f"""with recursive {CLASSED}, o as (select *, {S_KEY} k, row_number() over (partition by match_id, feed, half order by round(start_time * 1000), ord, segment_id) rn from cls where reason is null), {FOLD},
+n as (select match_id, feed, count(*) original, count(reason) hallucinations from cls group by all), d as (select match_id, feed, count(*) filter (not kept) duplicates from f group by all)
+select match_id, feed, original, original - hallucinations - coalesce(duplicates, 0) as kept, hallucinations, coalesce(duplicates, 0) as duplicates, round_even((original - hallucinations - coalesce(duplicates, 0)) / original * 100, 1) as retention
+from n left join d using (match_id, feed)""",
+)
 def a14(spark, sf_dir):
-    return C.summary(*cleaned(spark, sf_dir))
+    return C.summary(C.staged(with_language(spark, sf_dir)))
 
 
 @query("ref_f7_audit", f"with {SEG} select seg_key, count(*) as n from seg, lateral (select unnest(regexp_extract_all(regexp_replace(' ' || text || ' ', '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '(?i)[^\\p{{L}}\\p{{N}}_](uh|um|eh|er|ah|hm|hmm|uhm|erm)[^\\p{{L}}\\p{{N}}_]', 1)) w) where text is not null group by 1")

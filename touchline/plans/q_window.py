@@ -22,19 +22,18 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 S_KEY = "lower(" + s_strip("rtrim(" + s_strip("coalesce(text, '')") + ", '.,!?;:')") + ")"
 ORDERED = f"o as (select *, {S_KEY} k, row_number() over (partition by match_id, feed, half order by round(start_time * 1000), ord, segment_id) rn from seg)"
-
-
-@query(
-    "ref_w1_near_duplicates",
-    f"""with recursive {SEG}, {ORDERED},
-f as (select match_id, feed, half, rn, segment_id, k, k as anchor, segment_id as anchor_id, true as kept from o where rn = 1
+# the fold over the rows of o; a pair of texts is only measured letter by letter if lengths and edits (of bytes, four a letter at most) allow 95
+FOLD = f"""f as (select match_id, feed, half, rn, segment_id, k, k as anchor, segment_id as anchor_id, true as kept from o where rn = 1
   union all select o.match_id, o.feed, o.half, o.rn, o.segment_id, o.k,
     case when same then f.anchor else o.k end, case when same then f.anchor_id else o.segment_id end, not same
   from f join o on o.match_id = f.match_id and o.feed = f.feed and o.half = f.half and o.rn = f.rn + 1,
-  lateral (select (f.anchor <> '' and o.k <> '' and 2.0 * least(length(f.anchor), length(o.k)) >= 0.95 * (length(f.anchor) + length(o.k))
-    and (case when f.anchor = o.k then 100 else {s_indel('f.anchor', 'o.k')} end) >= 95) same) l)
-select match_id, feed, half, segment_id, kept, case when not kept then anchor_id end as duplicate_of from f""",
-)
+  lateral (select case when f.anchor = '' or o.k = '' then false when f.anchor = o.k then true
+    when 2.0 * least(length(f.anchor), length(o.k)) < 0.95 * (length(f.anchor) + length(o.k)) then false
+    when levenshtein(f.anchor, o.k) > 0.2 * (length(f.anchor) + length(o.k)) then false
+    else {s_indel('f.anchor', 'o.k')} >= 95 end same) l)"""
+
+
+@query("ref_w1_near_duplicates", f"with recursive {SEG}, {ORDERED}, {FOLD} select match_id, feed, half, segment_id, kept, case when not kept then anchor_id end as duplicate_of from f")
 def w1(spark, sf_dir):
     out = folds.merge_near_duplicates(segments(spark, sf_dir), HALF, "segment_id", "start_time", "end_time", "ord", "text")
     return out.select(*HALF, "segment_id", "kept", "duplicate_of")
@@ -51,17 +50,16 @@ def w1_equal(spark, sf_dir):
 
 
 S_LONE = s_strip("rtrim(" + s_strip("text") + ", '.,!?;:')")
-S_W2 = f"""with recursive {SEG},
-a as (select match_id, feed, half, segment_id, start_time t, lower(x) token from (select *, {S_LONE} x from seg where text is not null)
+STUCK = f"""a as (select match_id, feed, half, segment_id, round(start_time * 1000)::bigint t, lower(x) token from (select *, {S_LONE} x from seg where text is not null)
   where len({s_words('x')}) = 1 and regexp_matches(x, '^\\p{{Lu}}') and regexp_matches(x, '\\p{{Ll}}') and start_time is not null),
 b as (select *, row_number() over (partition by match_id, feed, token order by t, half, segment_id) rn from a),
 c as (select match_id, feed, token, half, segment_id, t, rn, t as first, rn as cl from b where rn = 1
-  union all select b.match_id, b.feed, b.token, b.half, b.segment_id, b.t, b.rn, case when b.t - c.first <= 60 then c.first else b.t end, case when b.t - c.first <= 60 then c.cl else b.rn end
-  from c join b on b.match_id = c.match_id and b.feed = c.feed and b.token = c.token and b.rn = c.rn + 1)
-select match_id, feed, half, segment_id, token from (select *, count(*) over (partition by match_id, feed, token, cl) n from c) where n >= 3"""
+  union all select b.match_id, b.feed, b.token, b.half, b.segment_id, b.t, b.rn, case when b.t - c.first <= 60000 then c.first else b.t end, case when b.t - c.first <= 60000 then c.cl else b.rn end
+  from c join b on b.match_id = c.match_id and b.feed = c.feed and b.token = c.token and b.rn = c.rn + 1),
+stuck as (select match_id, feed, half, segment_id, token from (select *, count(*) over (partition by match_id, feed, token, cl) n from c) where n >= 3)"""
 
 
-@query("ref_w2_stuck_names", S_W2)
+@query("ref_w2_stuck_names", f"with recursive {SEG}, {STUCK} select * from stuck")
 def w2(spark, sf_dir):
     return folds.stuck_names(segments(spark, sf_dir), MATCH, ("half", "segment_id"), "start_time", "text").select(*HALF, "segment_id", "token")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 
@@ -24,6 +25,8 @@ def build_session(app: str = "touchline", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoints nobody refers to any more are deleted
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (defaults | conf).items():
         b = b.config(k, v)
@@ -33,13 +36,17 @@ def build_session(app: str = "touchline", master: str | None = None, **conf: str
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder the cluster shares, and read it back.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-    unset (tests, a laptop) is a temporary folder made.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset
+    and everything runs in this one process (tests, a laptop) a temporary
+    folder is made; on a cluster a machine's own folder would lose data with
+    the machine, so there an unset folder is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="touchline-checkpoint-"))
     return df.checkpoint(eager=True)
 
