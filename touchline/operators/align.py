@@ -39,6 +39,13 @@ def windows(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str], re
     return reference.select(*keys, ref_id, F.coalesce(text, F.lit("")).alias("ref_text")).join(joined, ref_id, "left").select(*keys, ref_id, "ref_text", F.coalesce("n_hyp", F.lit(0)).alias("n_hyp"), F.coalesce("hyp_text", F.lit("")).alias("hyp_text"))
 
 
+def with_fallback(rows: DataFrame, second: DataFrame, row_id: str, text: str, n: str) -> DataFrame:
+    """[J15] Rows with ``n`` = 0 take the text of ``second`` (by row_id, one row each), else ''; adds ref_only."""
+    other = second.select(row_id, F.col(text).alias("__second"))
+    filled = F.when(F.col(n) > 0, F.col(text)).otherwise(F.coalesce("__second", F.lit("")))
+    return rows.join(other, row_id, "left").withColumn(text, filled).withColumn("ref_only", F.col(n) == 0).drop("__second")
+
+
 def uncovered(right: DataFrame, left: DataFrame, keys: Sequence[str], right_id: str, left_id: str, start: str, end: str, least_s: float | None = None) -> DataFrame:
     """[J9] Rows of ``right`` that overlap no row of ``left``."""
     return right.join(overlap_join(left, right, keys, left_id, right_id, start, end, least_s), right_id, "left_anti")

@@ -121,6 +121,6 @@ def improvement(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """[A28] The best later row against the first: absolute deltas and the relative fall of the word error rate."""
     base = F.min_by(F.struct("wer", "f1"), order)
     listed = rows.groupBy(*by).agg(base.alias("__b"), F.min(order).alias("__o"))
-    rest = rows.join(listed, list(by)).where(F.col(order) > F.col("__o")).groupBy(*by).agg(F.min(F.struct("wer", order, "f1")).alias("m"), F.first("__b").alias("b"))
+    rest = rows.join(listed, list(by)).where(F.col(order) > F.col("__o")).groupBy(*by).agg(F.min(F.struct("wer", F.col(order).alias("o"), "f1")).alias("m"), F.first("__b").alias("b"))
     delta = F.col("b.wer") - F.col("m.wer")
     return rest.select(*by, F.col("b.wer").alias("baseline"), F.col("m.wer").alias("best"), delta.alias("delta"), F.when(F.col("b.wer") == 0, 0.0).otherwise(delta / F.col("b.wer") * 100).alias("relative"), (F.col("m.f1") - F.col("b.f1")).alias("f1_delta"))

@@ -59,31 +59,51 @@ def j9(spark, sf_dir):
     return align.uncovered(h, r, HALF, "hyp_id", "ref_id", *SPAN).select("hyp_id", "text")
 
 
-@query("ref_j7_merge_by_time")
+S_SIDE = """rl as (select match_id, feed, half, list({'id': ref_id, 's': start_sec, 'e': coalesce(end_sec, start_sec)} order by round(start_sec * 1000), ref_id) r from r where start_sec is not null group by all),
+hl as (select match_id, feed, half, list({'id': hyp_id, 's': start_sec, 'e': coalesce(end_sec, start_sec)} order by round(start_sec * 1000), hyp_id) h from h where start_sec is not null group by all),
+b as (select match_id, feed, half, coalesce(r, []) r, coalesce(h, []) h from rl full join hl using (match_id, feed, half))"""
+
+
+@query(
+    "ref_j7_merge_by_time",
+    f"""with recursive {REF}, {HYP}, {S_SIDE},
+f as (select match_id, feed, half, 1 i, 1 j, null::bigint ref_id, null::bigint hyp_id, 0 n from b
+  union all select b.match_id, b.feed, b.half, i + (c in ('both', 'ref'))::int, j + (c in ('both', 'hyp'))::int, case when c in ('both', 'ref') then r[i].id end, case when c in ('both', 'hyp') then h[j].id end, n + 1
+  from f join b using (match_id, feed, half), lateral (select case when j > len(h) then 'ref' when i > len(r) then 'hyp'
+    when abs((r[i].s + r[i].e) - (h[j].s + h[j].e)) <= 1.5 or (r[i].s < h[j].e and h[j].s < r[i].e) then 'both' when r[i].e <= h[j].s then 'ref' else 'hyp' end c) where i <= len(r) or j <= len(h))
+select match_id, feed, half, ref_id, hyp_id from f where n > 0""",
+)
 def j7(spark, sf_dir):
-    """No SQL: a two-pointer walk (fixtures in the tests)."""
+    """[J7] The two-pointer walk."""
     r, h = timed(spark, sf_dir)
     return align.merge_by_time(r, h, HALF, "ref_id", "hyp_id", *SPAN)
 
 
-@query("ref_j8_take_nearest")
+@query(
+    "ref_j8_take_nearest",
+    f"""with recursive {REF}, {HYP}, {S_SIDE},
+f as (select match_id, feed, half, 0 i, []::bigint[] used, null::bigint hyp_id from b where len(r) > 0
+  union all select b.match_id, b.feed, b.half, i + 1, case when k is null then used else list_append(used, k) end, case when k is not null then h[k].id end
+  from f join b using (match_id, feed, half), lateral (select arg_min(k, {{'d': abs((r[i + 1].s + r[i + 1].e) / 2 - (h[k].s + h[k].e) / 2), 'k': k}}) k from (select unnest(range(1, len(h) + 1)) k)
+    where not list_contains(used, k) and abs((r[i + 1].s + r[i + 1].e) / 2 - (h[k].s + h[k].e) / 2) <= 0.75 + (h[k].e - h[k].s) / 2) where i < len(r))
+select match_id, feed, half, r[i].id as ref_id, hyp_id from f join b using (match_id, feed, half) where i > 0""",
+)
 def j8(spark, sf_dir):
-    """No SQL: greedy and consuming (compared with brute force in the tests)."""
+    """[J8] Greedy and consuming."""
     r, h = timed(spark, sf_dir)
     return align.take_nearest(r, h, HALF, "ref_id", "hyp_id", *SPAN)
 
 
 @query(
     "ref_j15_fallback",
-    f"""with {WIN}, raw as (select match_id, feed, half, segment_id, any_value(text) t from raw_segments group by all)
-select w.ref_id, case when n_hyp > 0 then hyp_text else coalesce(raw.t, '') end as text, n_hyp = 0 as ref_only
-from w left join raw on w.match_id = raw.match_id and w.feed = raw.feed and w.half = raw.half and raw.segment_id = (w.ref_id % 50)::varchar""",
+    f"""with {WIN}, k as (select ref_id, string_agg(h.text, ' ' order by h.start_sec, hyp_id) t from r join h on {ON} and {OVER} > 0 group by ref_id)
+select w.ref_id, case when n_hyp > 0 then hyp_text else coalesce(k.t, '') end as text, n_hyp = 0 as ref_only from w left join k using (ref_id)""",
 )
 def j15(spark, sf_dir):
-    """References without a hypothesis take the text of a second source, else ''."""
-    second = table(spark, sf_dir, "raw_segments").groupBy(*HALF, "segment_id").agg(F.first("text").alias("t"))
-    w = windowed(spark, sf_dir).withColumn("segment_id", (F.col("ref_id") % 50).cast("string"))
-    return w.join(second, [*HALF, "segment_id"], "left").select("ref_id", F.when(F.col("n_hyp") > 0, F.col("hyp_text")).otherwise(F.coalesce("t", F.lit(""))).alias("text"), (F.col("n_hyp") == 0).alias("ref_only"))
+    """References without a hypothesis over a quarter second take, by their id, the text of a second alignment without a minimum, else ''."""
+    r, h = timed(spark, sf_dir)
+    second = align.windows(r, h, HALF, "ref_id", "hyp_id", *SPAN, "text", least_s=None)
+    return align.with_fallback(windowed(spark, sf_dir), second, "ref_id", "hyp_text", "n_hyp").select("ref_id", F.col("hyp_text").alias("text"), "ref_only")
 
 
 def s_alt(x: str) -> str:
@@ -93,12 +113,14 @@ def s_alt(x: str) -> str:
 CODES = "array_to_string(list_transform({}, lambda v: chr((32 + list_position(d, v))::int)), '')"
 
 
+PAIRED = f"""p as (select match_id, feed, half, string_split({s_alt('ref_text')}, ' ') a, list_filter(string_split({s_alt('hyp_text')}, ' '), lambda v: v <> '') b from w where {s_alt('ref_text')} <> ''),
+q as (select *, list_distinct(list_concat(a, b)) d from p),
+e as (select match_id, feed, half, len(a) n, levenshtein({CODES.format('a')}, {CODES.format('b')}) x from q)"""
+
+
 @query(
     "ref_a10_pairwise_wer",
-    f"""with {WIN}, p as (select match_id, feed, half, string_split({s_alt('ref_text')}, ' ') a, list_filter(string_split({s_alt('hyp_text')}, ' '), lambda v: v <> '') b from w where {s_alt('ref_text')} <> ''),
-q as (select *, list_distinct(list_concat(a, b)) d from p),
-e as (select match_id, feed, half, len(a) n, levenshtein({CODES.format('a')}, {CODES.format('b')}) x from q)
-select match_id, feed, half, sum(n)::bigint as ref_words, sum(x)::bigint as errors, sum(x)::double / sum(n) as wer from e group by all""",
+    f"""with {WIN}, {PAIRED} select match_id, feed, half, sum(n)::bigint as ref_words, sum(x)::bigint as errors, sum(x)::double / sum(n) as wer from e group by all""",
 )
 def a10(spark, sf_dir):
     out = E.pairwise_wer(windowed(spark, sf_dir), HALF, "ref_text", "hyp_text")
@@ -163,15 +185,21 @@ def a27(spark, sf_dir):
     return E.metrics(windowed(spark, sf_dir), HALF, ["start_sec", "ref_id"], "ref_text", "hyp_text")
 
 
+A28 = f"""wr as (select match_id, feed, half, sum(x)::double / sum(n) wer from e group by all),
+nt as (select match_id, feed, half, unnest({s_names('ref_text')}) t, 1 r, 0 h from w union all select match_id, feed, half, unnest({s_names('hyp_text')}), 0, 1 from w),
+ns as (select match_id, feed, half, t, max(r) r, max(h) h from nt group by all), nn as (select match_id, feed, half, sum(r) r, sum(h) h, sum(r * h) b from ns group by all),
+na as (select match_id, feed, half, coalesce(r, 0) r, coalesce(h, 0) h, coalesce(b, 0) b from (select distinct match_id, feed, half from w) left join nn using (match_id, feed, half)),
+np as (select match_id, feed, half, {S_F1} from na), m as (select match_id, feed, half, wer, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end f1 from wr join np using (match_id, feed, half))"""
+
+
 @query(
     "ref_a28_improvement",
-    """with c as (select distinct on (correction_id) * from corrections where score is not null and not isnan(score)),
-m as (select match_id, half, avg(score) wer, count(*)::double f1, min(correction_id) o from c group by all),
-b as (select match_id, arg_min(wer, o) wer, arg_min(f1, o) f1, min(o) o from m group by all),
-x as (select m.match_id, min(m.wer) wer, arg_min(m.f1, m.wer) f1 from m join b on m.match_id = b.match_id and m.o > b.o group by all)
+    f"""with {WIN}, {PAIRED}, {A28}, b as (select match_id, arg_min(wer, (feed, half)) wer, arg_min(f1, (feed, half)) f1, min((feed, half)) o from m group by all),
+x as (select m.match_id, min(m.wer) wer, arg_min(m.f1, (m.wer, m.feed, m.half)) f1 from m join b on m.match_id = b.match_id and (m.feed, m.half) > b.o group by all)
 select b.match_id, b.wer as baseline, x.wer as best, b.wer - x.wer as delta, case when b.wer = 0 then 0.0 else (b.wer - x.wer) / b.wer * 100 end as relative, x.f1 - b.f1 as f1_delta from b join x on b.match_id = x.match_id""",
 )
 def a28(spark, sf_dir):
-    c = table(spark, sf_dir, "corrections").where("score is not null and not isnan(score)").dropDuplicates(["correction_id"])
-    rows = c.groupBy("match_id", "half").agg(F.avg("score").alias("wer"), F.count("*").cast("double").alias("f1"), F.min("correction_id").alias("o"))
-    return E.improvement(rows, ["match_id"], "o")
+    """Error rate and entity F1 of each feed and half of a match: the best of the later rows against the first."""
+    w = windowed(spark, sf_dir)
+    rows = E.pairwise_wer(w, HALF, "ref_text", "hyp_text").select(*HALF, "wer").join(E.entity_f1(w, HALF, "ref_text", "hyp_text").select(*HALF, "f1"), list(HALF))
+    return E.improvement(rows.withColumn("o", F.struct("feed", "half")), ["match_id"], "o")

@@ -290,10 +290,6 @@ def m17(spark, sf_dir):
     return found.join(keep, ["qid", "match_id", "n"], "left_semi")
 
 
-@query("ref_f23_wrapped")
-def f23(spark, sf_dir):
-    """No SQL: a walk with two cursors [W10]."""
-    return guards.with_wrapped(segments(spark, sf_dir).where("text is not null"), "text", "words", "frozen_word_indices").select("seg_key", "wrapped", "n_wrapped")
 
 
 @query("ref_m9_guarded_edits")

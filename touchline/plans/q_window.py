@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text as T
-from touchline.operators import folds
+from touchline.operators import folds, guards
 from touchline.operators.ordered import entity, millis, whole_order, with_neighbours, with_rank
 from touchline.plans.registry import W, query, s_indel, s_strip, s_words
 from touchline.sources.tables import HALF, table
@@ -79,22 +79,28 @@ def w4(spark, sf_dir):
     return listed.select(F.explode(folds.select_spans(F.col("s"))).alias("x")).select("x.entity_id")
 
 
+SELECTED = """e as (select distinct on (entity_id) * from entities where start_char is not null and end_char > start_char),
+eo as (select *, row_number() over (partition by match_id, feed, half, segment_id order by start_char, end_char - start_char desc, entity_id) rn from e),
+ef as (select match_id, feed, half, segment_id, rn, entity_id, start_char, end_char, end_char as last, true as ok from eo where rn = 1
+  union all select o.match_id, o.feed, o.half, o.segment_id, o.rn, o.entity_id, o.start_char, o.end_char, case when o.start_char >= f.last then o.end_char else f.last end, o.start_char >= f.last
+  from ef f join eo o on o.match_id = f.match_id and o.feed = f.feed and o.half = f.half and o.segment_id = f.segment_id and o.rn = f.rn + 1)"""
+
+
 @query(
     "ref_w5_splice",
-    f"""with recursive {SEG}, e as (select distinct on (entity_id) * from entities where start_char is not null and end_char > start_char),
-o as (select seg_key, seg.text, e.start_char, e.end_char, entity_id, row_number() over (partition by seg_key order by start_char desc, entity_id) rn
-  from e join seg using (match_id, feed, half, segment_id) where seg.text is not null
-  and not exists (select 1 from e x where x.match_id = e.match_id and x.feed = e.feed and x.half = e.half and x.segment_id = e.segment_id and x.entity_id <> e.entity_id and x.start_char < e.end_char and e.start_char < x.end_char)),
+    f"""with recursive {SEG}, {SELECTED},
+o as (select seg_key, seg.text, start_char, end_char, entity_id, row_number() over (partition by seg_key order by start_char desc, entity_id) rn
+  from ef join seg using (match_id, feed, half, segment_id) where ok and seg.text is not null),
 f as (select seg_key, rn, substring(text, 1, start_char) || '<' || entity_id || '>' || substring(text, end_char + 1) as out from o where rn = 1
   union all select o.seg_key, o.rn, substring(f.out, 1, o.start_char) || '<' || o.entity_id || '>' || substring(f.out, o.end_char + 1) from f join o on o.seg_key = f.seg_key and o.rn = f.rn + 1)
 select seg_key, arg_max(out, rn) as out from f group by seg_key""",
 )
 def w5(spark, sf_dir):
+    """The spans that ``select_spans`` leaves, each replaced by its id."""
     e = table(spark, sf_dir, "entities").where("start_char is not null and end_char > start_char").dropDuplicates(["entity_id"]).select(*HALF, "segment_id", "entity_id", "start_char", "end_char")
-    listed = e.groupBy(*HALF, "segment_id").agg(F.collect_list(F.struct(F.col("start_char").alias("start"), F.col("end_char").alias("end"), F.concat(F.lit("<"), "entity_id", F.lit(">")).alias("new"))).alias("s"))
-    alone = F.filter("s", lambda x: F.size(F.filter("s", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))) == 1)
+    listed = e.groupBy(*HALF, "segment_id").agg(F.sort_array(F.collect_list(F.struct("entity_id", F.col("start_char").alias("start"), F.col("end_char").alias("end"), F.concat(F.lit("<"), "entity_id", F.lit(">")).alias("new")))).alias("s"))
     s = segments(spark, sf_dir).where("text is not null").select(*HALF, "segment_id", "seg_key", "text")
-    return s.join(listed, [*HALF, "segment_id"]).withColumn("s", alone).where(F.size("s") > 0).select("seg_key", folds.splice(F.col("text"), F.col("s")).alias("out"))
+    return s.join(listed, [*HALF, "segment_id"]).select("seg_key", folds.splice(F.col("text"), folds.select_spans(F.col("s"))).alias("out"))
 
 
 @query(
@@ -116,19 +122,31 @@ def w7(spark, sf_dir):
 
 @query(
     "ref_w8_merge_hits",
-    f"""with {SEG}, h as (select match_id, feed, half, start_time, end_time, text from seg where end_time is not null and contains(lower(text), 'penalty')),
+    f"""with {SEG}, h as (select match_id, feed, half, start_time, end_time, text from seg where end_time is not null and text is not null),
 m as (select *, max(end_time) over (partition by match_id, feed, half order by start_time, end_time, text rows between unbounded preceding and 1 preceding) pe from h),
 g as (select *, sum(case when start_time > pe + 2 then 1 else 0 end) over (partition by match_id, feed, half order by start_time, end_time, text) i from m)
 select match_id, feed, half, min(start_time) as start_time, max(end_time) as end_time, count(*) as n, count(distinct text) as texts from g group by match_id, feed, half, i""",
 )
 def w8(spark, sf_dir):
-    hits = segments(spark, sf_dir).where("end_time is not null and contains(lower(text), 'penalty')")
+    hits = segments(spark, sf_dir).where("end_time is not null and text is not null")
     return folds.merge_hits(hits, HALF, "start_time", "end_time", "text").withColumn("texts", F.size("texts").cast("long"))
 
 
-@query("ref_w9_frozen_words")
+S_BARE_WORDS = "list_transform({}, lambda v: lower(trim(v, ' .,!?;:''\"()-')))"
+
+
+@query(
+    "ref_w9_frozen_words",
+    f"""with recursive {SEG}, c as (select distinct on (correction_id) * from corrections where stage = 'entity' and corrected is not null),
+n as (select match_id, feed, half, segment_id, flatten(list({S_BARE_WORDS.format(s_words('corrected'))} order by correction_id)) want from c group by all),
+t as (select seg_key, {S_BARE_WORDS.format(s_words('text'))} have, want from seg join n using (match_id, feed, half, segment_id) where text is not null),
+f as (select seg_key, 0 k, []::int[] used from t
+  union all select t.seg_key, k + 1, case when p is null then used else list_append(used, p) end
+  from f join t using (seg_key), lateral (select min(i)::int p from (select unnest(range(0, len(have))) i) where have[i + 1] = want[k + 1] and not list_contains(used, i::int)) where k < len(want))
+select t.seg_key, arg_max(used, k) as frozen from f join t using (seg_key) group by 1""",
+)
 def w9(spark, sf_dir):
-    """No SQL: a fold.  Positions of the corrected names of each segment in its text."""
+    """Positions of the corrected names of each segment in its text."""
     c = table(spark, sf_dir, "corrections").where("stage = 'entity' and corrected is not null").dropDuplicates(["correction_id"])
     names = c.groupBy(*HALF, "segment_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("correction_id", "corrected"))), lambda x: x["corrected"]).alias("names"))
     s = segments(spark, sf_dir).where("text is not null").select(*HALF, "segment_id", "seg_key", "text")
@@ -145,6 +163,34 @@ def w11(spark, sf_dir):
     return c.groupBy("match_id", F.lower("original").alias("key")).agg(F.count("*").alias("n"), F.min_by("corrected", "correction_id").alias("decision"), F.min_by("method", "correction_id").alias("method"))
 
 
+HEARD = f"""wt as (select seg_key, {s_words('text')} ws, words, list_transform(words, lambda h: trim(coalesce(h.word, ''), ' .,!?;:')) hs, coalesce(frozen_word_indices, []) fz from seg where text is not null),
+wf as (select seg_key, 0 i, 1 nxt, 0 place from wt where len(hs) > 0
+  union all select wt.seg_key, i + 1, case when p is null then len(hs) + 1 else p + 1 end::int, coalesce(p, 0)::int
+  from wf join wt using (seg_key), lateral (select min(j) p from (select unnest(range(nxt, len(hs) + 1)) j) where hs[j] <> '' and (starts_with(ws[i + 1], hs[j]) or starts_with(hs[j], ws[i + 1]))) where i < len(ws)),
+wp as (select seg_key, list(place order by i) places from wf where i > 0 group by 1)"""
+
+
+@query("ref_w10_heard_places", f"with recursive {SEG}, {HEARD} select seg_key, array_to_string(places, ' ') as places from wp")
+def w10(spark, sf_dir):
+    """The recogniser's word each word of a text is paired with, where there are any."""
+    bare = F.transform("words", lambda w: T.strip_chars(F.coalesce(w["word"], F.lit("")), " .,!?;:"))
+    s = segments(spark, sf_dir).where("text is not null and size(words) > 0").withColumn("p", guards.heard_places(T.words(F.col("text")), bare)).where("size(p) > 0")
+    return s.select("seg_key", F.array_join(F.transform("p", lambda x: x.cast("string")), " ").alias("places"))
+
+
+@query(
+    "ref_f23_wrapped",
+    f"""with recursive {SEG}, {HEARD},
+m as (select seg_key, ws, list_transform(range(1, len(ws) + 1), lambda i: not list_contains(fz, (i - 1)::int) and case
+  when len(hs) > 0 then case when places[i] > 0 and words[places[i]].prob > 0 then ln(words[places[i]].prob) else -10.0 end < -0.3
+  else regexp_matches(ws[i], '^[A-ZÅÄÖÆØ][a-zà-ÿ]+([''-][A-Za-zÅÄÖÆØà-ÿ]+)*[.,!?;:]?$') end) mask from wt left join wp using (seg_key))
+select seg_key, array_to_string(list_transform(range(1, len(ws) + 1), lambda i: case when mask[i] then '<' || ws[i] || '>' else ws[i] end), ' ') as wrapped, len(list_filter(mask, lambda x: x))::int as n_wrapped from m""",
+)
+def f23(spark, sf_dir):
+    """[F23, W10] Uncertain words in <>: by the recogniser's probabilities, else by capitals."""
+    return guards.with_wrapped(segments(spark, sf_dir).where("text is not null"), "text", "words", "frozen_word_indices").select("seg_key", "wrapped", "n_wrapped")
+
+
 def in_match_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments numbered within their match by half, start, ord, id."""
     s = segments(spark, sf_dir).select(entity(MATCH), "seg_key", whole_order(F.col("half"), millis("start_time")).alias("__t"), "ord", "segment_id")
