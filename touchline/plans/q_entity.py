@@ -9,8 +9,11 @@ from touchline.functions import text as T
 from touchline.functions.similarity import indel_ratio
 from touchline.operators import entity as N
 from touchline.operators import gazetteer as G
-from touchline.plans.q_window import SEG, segments
-from touchline.plans.registry import query, s_indel, s_strip, s_words
+from touchline.operators import names as M
+from touchline.operators import search
+from touchline.plans import clean as C
+from touchline.plans.q_window import HEARD, SEG, segments, with_language
+from touchline.plans.registry import W, query, s_indel, s_strip, s_words
 from touchline.sources.tables import HALF, table
 
 
@@ -198,19 +201,18 @@ def m4(spark, sf_dir):
     return out.groupBy("seg_key", "text").agg(F.count("*").alias("n"))
 
 
-@query("ref_p11_dictionary_word", "with d as (select distinct lower(w) word from (select unnest(string_split('goal kick corner penalty with the and after', ' ')) w)) select entity_id, lower(text) in (select word from d) as real_word from entities where text is not null")
-def p11(spark, sf_dir):
-    words = spark.createDataFrame([(w, True) for w in "goal kick corner penalty with the and after".split()], "word string, real_word boolean")
-    e = table(spark, sf_dir, "entities").where("text is not null").select("entity_id", F.lower("text").alias("word"))
-    return e.join(F.broadcast(words), "word", "left").select("entity_id", F.coalesce("real_word", F.lit(False)).alias("real_word"))
+DICTIONARY = f"dict as (select w as word from (select unnest({s_words('text')}) w from seg where text is not null) where regexp_full_match(w, '\\p{{Ll}}+') group by w having count(*) >= 20)"
+
 
+def dictionary(spark, sf_dir):
+    """Words often written in small letters: a dictionary made of the transcripts themselves."""
+    w = segments(spark, sf_dir).where("text is not null").select(F.explode(T.words(F.col("text"))).alias("word"))
+    return w.where(F.col("word").rlike(r"^\p{Ll}+$")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 20").select("word")
 
-@query("ref_m2_short_segments", f"with {SEG} select seg_key, trim(w, '.,!?') as text from (select seg_key, unnest({s_words('text')}) w from seg where text is not null and len({s_words('text')}) <= 3) where regexp_matches(trim(w, '.,!?'), '^[A-ZÅÄÖÆØ][a-zà-ÿ]{{2,}}$')")
-def m2(spark, sf_dir):
-    """Of the found words those that are a whole plain word, which SQL can check; all of them in ref_m2_short_segment_names."""
-    out = N.short_segment_names(segments(spark, sf_dir).where("text is not null"), ["seg_key"], "text")
-    whole = segments(spark, sf_dir).select("seg_key", F.transform(T.words(F.col("text")), lambda w: T.strip_chars(w, ".,!?")).alias("ws"))
-    return out.where(F.col("text").rlike(r"^[A-ZÅÄÖÆØ][a-zà-ÿ]{2,}$")).join(whole, "seg_key").where(F.array_contains("ws", F.col("text"))).select("seg_key", "text")
+
+@query("ref_p11_dictionary_word", f"with {SEG}, {DICTIONARY} select entity_id, lower(text) in (select word from dict) as real_word from entities where text is not null")
+def p11(spark, sf_dir):
+    return M.real_words(table(spark, sf_dir, "entities").where("text is not null").select("entity_id", "text"), "text", dictionary(spark, sf_dir)).select("entity_id", "real_word")
 
 
 @query("ref_m2_short_segment_names")
@@ -228,25 +230,41 @@ def m3(spark, sf_dir):
     return N.capital_spans(segments(spark, sf_dir).where("text is not null"), ["seg_key"], "text").groupBy("seg_key", "text").agg(F.count("*").alias("n"))
 
 
-@query("ref_m3_span_offsets", f"with {SEG} select count(*) as wrong from seg where false")
+@query(
+    "ref_m3_span_offsets",
+    f"""with {SEG}, p as (select seg_key, regexp_extract_all(text, '({W}*[^{W[1:]}+)', 1) ps from seg where text is not null),
+w as (select seg_key, i, {s_strip('ps[i]')} w, list_sum(list_transform(ps[:i], lambda x: length(x))) - length({s_strip('ps[i]')}) off from p, lateral (select unnest(range(1, len(ps) + 1)) i)),
+b as (select seg_key, i, trim(w, '.,!?;:''"') t, off + length(w) - length(ltrim(w, '.,!?;:''"')) s from w)
+select seg_key, t as text, s::bigint as start_char, (s + length(t))::bigint as end_char from b where length(t) >= 3 and regexp_matches(t, '^\\p{{Lu}}') and i > 1""",
+)
 def m3_offsets(spark, sf_dir):
-    """How many spans don't stand where their offsets say: none."""
-    s = segments(spark, sf_dir).where("text is not null")
-    spans = N.capital_spans(s, ["seg_key"], "text").withColumnRenamed("text", "found").join(s.select("seg_key", "text"), "seg_key")
-    return spans.where(F.substring("text", F.col("start_char") + 1, F.length("found")) != F.col("found")).agg(F.count("*").alias("wrong"))
+    """Where the spans stand."""
+    return N.capital_spans(segments(spark, sf_dir).where("text is not null"), ["seg_key"], "text").select("seg_key", "text", F.col("start_char").cast("long"), F.col("end_char").cast("long"))
 
 
 @query(
     "ref_p13_pos_at_offset",
     """select e.entity_id, x.pos from (select distinct on (entity_id) * from entities where start_char is not null) e,
-lateral (select coalesce(string_agg(o.pos, ',' order by o.entity_id), '') pos from (select distinct on (entity_id) * from entities where pos is not null and start_char is not null and end_char is not null) o where o.match_id = e.match_id and o.feed = e.feed and o.half = e.half and o.segment_id = e.segment_id and o.start_char <= e.start_char and e.start_char < o.end_char) x""",
+lateral (select coalesce(arg_min(o.pos, o.entity_id), '') pos from (select distinct on (entity_id) * from entities where pos is not null and start_char is not null and end_char is not null) o where o.match_id = e.match_id and o.feed = e.feed and o.half = e.half and o.segment_id = e.segment_id and o.start_char <= e.start_char and e.start_char < o.end_char) x""",
 )
 def p13(spark, sf_dir):
-    """Tags of the tokens (here: entities) that cover an offset, '' if none."""
+    """The tag of the token (here: of the tagged spans) that covers an offset, '' if none."""
     e = table(spark, sf_dir, "entities").dropDuplicates(["entity_id"])
-    tags = e.where("pos is not null and start_char is not null and end_char is not null").groupBy(*HALF, "segment_id").agg(F.sort_array(F.collect_list(F.struct("entity_id", "pos", F.col("start_char").alias("s"), F.col("end_char").alias("e")))).alias("t"))
-    at = F.filter("t", lambda x: (x["s"] <= F.col("start_char")) & (F.col("start_char") < x["e"]))
-    return e.where("start_char is not null").join(tags, [*HALF, "segment_id"], "left").select("entity_id", F.coalesce(F.array_join(F.transform(at, lambda x: x["pos"]), ","), F.lit("")).alias("pos"))
+    tags = e.where("pos is not null and start_char is not null and end_char is not null").groupBy(*HALF, "segment_id").agg(F.sort_array(F.collect_list(F.struct("entity_id", "pos", F.col("start_char").alias("start"), F.col("end_char").alias("end")))).alias("t"))
+    return e.where("start_char is not null").join(tags, [*HALF, "segment_id"], "left").select("entity_id", M.tags_at(F.col("t"), F.col("start_char")).alias("pos"))
+
+
+@query(
+    "ref_p13_pos_by_word",
+    f"with recursive {SEG}, {HEARD} select seg_key, array_to_string(list_transform(places, lambda p: case when p = 0 then '' when regexp_matches(hs[p], '^\\p{{Lu}}') then 'PROPN' else 'X' end), ',') as tags from wp join wt using (seg_key)",
+)
+def p13_by_word(spark, sf_dir):
+    """Tags of a text's words, the tagged words being the recogniser's (PROPN where one begins with a capital)."""
+    s = segments(spark, sf_dir).where("text is not null and size(words) > 0")
+    bare = F.transform("words", lambda w: T.strip_chars(F.coalesce(w["word"], F.lit("")), " .,!?;:"))
+    s = s.select("seg_key", T.words(F.col("text")).alias("w"), bare.alias("h")).where("size(w) > 0")
+    tags = F.transform("h", lambda x: F.when(x.rlike(r"^\p{Lu}"), "PROPN").otherwise("X"))
+    return s.select("seg_key", F.array_join(M.tags_of_words(F.col("w"), F.col("h"), tags), ",").alias("tags"))
 
 
 @query(
@@ -255,13 +273,24 @@ def p13(spark, sf_dir):
 and not exists (select 1 from e s where s.source = 'spacy' and s.match_id = h.match_id and s.feed = h.feed and s.half = h.half and s.segment_id = h.segment_id and h.start_char < s.end_char and h.end_char > s.start_char)""",
 )
 def j11(spark, sf_dir):
-    e = table(spark, sf_dir, "entities").where("start_char is not null and end_char is not null").dropDuplicates(["entity_id"]).select(*HALF, "segment_id", "entity_id", "source", "start_char", "end_char")
-    model = e.where("source = 'spacy'").select(*HALF, "segment_id", F.col("start_char").alias("s"), F.col("end_char").alias("t"))
-    keys = [*HALF, "segment_id"]
-    h = e.where("source <> 'spacy'").alias("h")
-    m = model.alias("m")
-    on = [F.col(f"h.{k}") == F.col(f"m.{k}") for k in keys] + [F.col("start_char") < F.col("t"), F.col("end_char") > F.col("s")]
-    return h.join(m, on, "left_anti").select("entity_id")
+    e = table(spark, sf_dir, "entities").where("start_char is not null and end_char is not null").dropDuplicates(["entity_id"])
+    return M.without_overlaps(e.where("source <> 'spacy'"), e.where("source = 'spacy'"), [*HALF, "segment_id"], "start_char", "end_char").select("entity_id")
+
+
+@query(
+    "ref_m6_entities",
+    """with l as (select match_id, coalesce(lang, 'en') lang from match_data left join leagues using (league)),
+e as (select distinct on (entity_id) e.*, l.lang from entities e left join l using (match_id) where start_char is not null and end_char is not null),
+m as (select * from e where source = 'spacy' and list_contains(case when lang = 'en' then ['PERSON', 'ORG', 'GPE', 'FAC'] else ['PER', 'ORG', 'LOC', 'MISC'] end, label))
+select entity_id, source from m union all select entity_id, source from e h where source <> 'spacy'
+and not exists (select 1 from m s where s.match_id = h.match_id and s.feed = h.feed and s.half = h.half and s.segment_id = h.segment_id and h.start_char < s.end_char and h.end_char > s.start_char)""",
+)
+def m6(spark, sf_dir):
+    """The model's names by the labels of the match's language, and the heuristic ones beside them."""
+    languages = table(spark, sf_dir, "match_data").join(table(spark, sf_dir, "leagues").select("league", "lang"), "league", "left").select("match_id", F.coalesce("lang", F.lit("en")).alias("lang"))
+    e = table(spark, sf_dir, "entities").where("start_char is not null and end_char is not null").dropDuplicates(["entity_id"]).join(languages, "match_id", "left")
+    out = M.combined_spans(e.where("source = 'spacy'"), e.where("source <> 'spacy'"), [*HALF, "segment_id"], "start_char", "end_char", "label", F.col("lang"))
+    return out.select("entity_id", "source")
 
 
 @query("ref_j10_not_canonical", f"with {GAZ}, e as (select distinct on (entity_id) * from entities where text is not null) select entity_id from e where not exists (select 1 from gaz where gaz.match_id = e.match_id and lower(gaz.variant) = lower(e.text))")
@@ -276,11 +305,12 @@ def s_grams(x: str) -> str:
     return f"flatten(list_transform({s_words(f'lower({x})')}, lambda w: list_concat(list_concat({of(2)}, {of(3)}), case when length({p}) <= 3 then [] else {of(4)} end)))"
 
 
-RET = f"""{GAZ}, q as (select distinct match_id, @@ query from entities where text is not null and length(@@) > 2), c as (select distinct match_id, canonical from gaz), n as (select match_id, count(*) n from c group by 1),
+COS = f"""{GAZ}, q as (select distinct match_id, @@ query from entities where text is not null and length(@@) > 2), c as (select distinct match_id, canonical from gaz), n as (select match_id, count(*) n from c group by 1),
 cg as (select match_id, canonical, g, count(*) tf from (select match_id, canonical, unnest({s_grams('canonical')}) g from c) group by all), idf as (select match_id, g, ln((1 + n)::double / (1 + df)) + 1 idf from (select match_id, g, count(*) df from cg group by all) join n using (match_id)),
 cw as (select match_id, canonical, g, tf * idf cw from cg join idf using (match_id, g)), cn as (select match_id, canonical, sqrt(sum(cw * cw)) cn from cw group by all),
 qw as (select match_id, query, g, count(*) * any_value(idf) qw from (select match_id, query, unnest({s_grams('query')}) g from q) join idf using (match_id, g) group by all), qn as (select match_id, query, sqrt(sum(qw * qw)) qn from qw group by all),
-cos as (select match_id, query, canonical, sum(qw * cw) / any_value(qn) / any_value(cn) cos from qw join cw using (match_id, g) join qn using (match_id, query) join cn using (match_id, canonical) group by all),
+cos as (select match_id, query, canonical, sum(qw * cw) / any_value(qn) / any_value(cn) cos from qw join cw using (match_id, g) join qn using (match_id, query) join cn using (match_id, canonical) group by all)"""
+RET = f"""{COS},
 wd as (select match_id, canonical, unnest({s_words('lower(canonical)')}) w from c), nr as (select match_id, query, canonical, w from q join wd using (match_id) where 200.0 * least(length(query), length(w)) >= 65 * (length(query) + length(w))),
 rr as (select query, w, {s_indel('lower(query)', 'w')} r from (select distinct query, w from nr)), bs as (select match_id, query, canonical, max(r) r from nr join rr using (query, w) where r >= 65 group by all),
 sc as (select match_id, query, canonical, case when r is not null then greatest(coalesce(cos, 0), least(r / 100, 0.9 - 1e-6)) else cos end score from cos full join bs using (match_id, query, canonical)),
@@ -296,17 +326,14 @@ def j4(spark, sf_dir):
 
 @query(
     "ref_f16_reduce",
-    f"""with p as (select distinct original, canonical from (select original, canonical from corrections c join gazetteer g on contains(lower(corrected), lower(split_part(canonical, ' ', 2))) where original is not null and corrected is not null and not contains(original, ' ') and length(split_part(canonical, ' ', 2)) > 3 and entity_type not in ('team', 'venue'))),
-w as (select original, canonical, unnest(string_split(canonical, ' ')) w, generate_subscripts(string_split(canonical, ' '), 1) i from p)
-select original, canonical, arg_max(w, {s_indel('lower(original)', 'lower(w)')} * 100 - i) as word from w group by all""",
+    f"""with p as (select distinct original, corrected from corrections where original is not null and corrected is not null),
+w as (select original, corrected, unnest({s_words('corrected')}) w, generate_subscripts({s_words('corrected')}, 1) i from p where not contains(original, ' ') and contains(corrected, ' ')),
+b as (select original, corrected, arg_max(w, {s_indel('lower(original)', 'lower(w)')} * 1000 - i) w from w group by all)
+select original, corrected, coalesce(w, corrected) as word from p left join b using (original, corrected)""",
 )
 def f16(spark, sf_dir):
-    c = table(spark, sf_dir, "corrections").where("original is not null and corrected is not null and not contains(original, ' ')").select("original", F.lower("corrected").alias("l")).distinct()
-    g = table(spark, sf_dir, "gazetteer").where("entity_type not in ('team', 'venue')").select("canonical", F.lower(F.split("canonical", " ")[1]).alias("s")).where(F.length("s") > 3)
-    # the surname stands in the corrected text as a stretch: join on all stretches of the list's lengths
-    spans = c.select("original", "l", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("l"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(4), F.lit(20)), lambda n: F.substring(F.col("l"), i, n))))).alias("s")).select("original", "s").distinct()
-    pairs = spans.join(g, "s").select("original", "canonical").distinct()
-    return N.reduce_to_word(pairs, "original", "canonical", "word")
+    pairs = table(spark, sf_dir, "corrections").where("original is not null and corrected is not null").select("original", "corrected").distinct()
+    return N.reduce_to_word(pairs, "original", "corrected", "word")
 
 
 @query(
@@ -345,25 +372,153 @@ def m7_corrections(spark, sf_dir):
 
 @query("ref_a24_telemetry")
 def a24(spark, sf_dir):
-    """Distinct names by how the cascade ended for them."""
-    return cascade(spark, sf_dir)[0].groupBy("code").agg(F.count("*").alias("n"))
+    """No SQL, as of M7.  Distinct names by how the cascade ended for them."""
+    return M.telemetry(cascade(spark, sf_dir)[0], "code", "key", ["match_id", "key"])
 
 
 @query(
-    "ref_a7_surface_variants",
-    f"""with {SEG}, g as (select distinct match_id, lower(trim(regexp_replace(nm, '[^\\p{{L}} ]', '', 'g'))) k from (select match_id, unnest(players) nm from match_data) where len(string_split(nm, ' ')) = 2),
-w as (select match_id, seg_key, unnest({s_words('text')}) w, generate_subscripts({s_words('text')}, 1) i from seg where text is not null), b as (select match_id, w || ' ' || lead(w) over (partition by seg_key order by i) bg from w), v as (select match_id, lower(trim(regexp_replace(bg, '[^\\p{{L}} ]', '', 'g'))) v, count(*) n from b where bg is not null and regexp_matches(bg, '^\\p{{Lu}}') group by all),
-p as (select distinct v, k from v join g using (match_id) where v <> '' and abs(length(v) - length(k)) <= 5 and 200.0 * least(length(v), length(k)) >= 70 * (length(v) + length(k))), r as (select v, k, {s_indel('v', 'k')} r from p)
-select match_id, k as canonical, sum(n)::bigint as uses, count(distinct v) as variants from v join g using (match_id) join r using (v, k) where r >= 70 group by all""",
+    "ref_a24_method_telemetry",
+    """with c as (select distinct on (correction_id) * from corrections where method is not null), r as (select *, row_number() over (partition by method order by correction_id) k from c)
+select method, count(*) as n, array_to_string(list(coalesce(original, 'NULL') order by correction_id) filter (k <= 5), ', ') as examples, method || '=' || count(*) || ' [' || array_to_string(list(coalesce(original, 'NULL') order by correction_id) filter (k <= 5), ', ') || ']' as line from r group by 1""",
 )
+def a24_methods(spark, sf_dir):
+    """[A24] Corrections by method, with examples and the formatted line."""
+    c = table(spark, sf_dir, "corrections").where("method is not null").dropDuplicates(["correction_id"]).withColumn("original", F.coalesce("original", F.lit("NULL")))
+    return M.telemetry(c, "method", "original", ["correction_id"]).withColumn("examples", F.array_join("examples", ", "))
+
+
+NAMED = "(select distinct match_id, canonical from gaz where length(canonical) >= 4)"
+S_KEYED = "lower(trim(regexp_replace({}, '[^\\p{{L}} ]', '', 'g')))"
+
+
+def s_variants(texts: str, p: str) -> str:
+    """CTEs ``<p>v``: match_id, canonical, variant, uses over the texts (match_id, id, text)."""
+    return f"""{p}w as (select match_id, id, unnest({s_words('text')}) w, generate_subscripts({s_words('text')}, 1) i from {texts} where text is not null),
+{p}f as (select match_id, 1 k, w form from {p}w union all select match_id, 2, w || ' ' || nx from (select *, lead(w) over (partition by id order by i) nx from {p}w) where nx is not null),
+{p}u as (select match_id, k, {S_KEYED.format('form')} variant, count(*) uses from {p}f where regexp_matches(form, '^\\p{{Lu}}') group by all),
+{p}n as (select distinct match_id, canonical, len({s_words('canonical')}) k, {S_KEYED.format('canonical')} key from {NAMED}),
+{p}p as (select u.match_id, canonical, variant, key, uses from {p}u u join {p}n n using (match_id, k) where variant <> '' and key <> '' and k <= 2 and abs(length(variant) - length(key)) <= k + 3 and 200.0 * least(length(variant), length(key)) >= 70 * (length(variant) + length(key))),
+{p}r as (select variant, key, {s_indel('variant', 'key')} r from (select distinct variant, key from {p}p)), {p}v as (select match_id, canonical, variant, uses from {p}p join {p}r using (variant, key) where r >= 70)"""
+
+
+# a text with its corrections of names put in, one after the other
+FIXED = """fx as (select match_id, feed, half, segment_id, list([original, corrected] order by correction_id) l from (select distinct on (correction_id) * from corrections where stage = 'entity' and original <> '' and corrected <> '') group by all),
+fixed as (select match_id, seg_key id, seg_key, text as before, case when l is null then text else list_reduce(l, lambda acc, x: [replace(acc[1], x[1], x[2])], [text])[1] end text from seg left join fx using (match_id, feed, half, segment_id))"""
+
+
+def corrected_texts(spark, sf_dir):
+    """match_id, seg_key, before, text: the texts, and what the listed corrections of names make of them."""
+    c = table(spark, sf_dir, "corrections").where("stage = 'entity' and original <> '' and corrected <> ''").dropDuplicates(["correction_id"])
+    listed = c.groupBy(*HALF, "segment_id").agg(F.sort_array(F.collect_list(F.struct("correction_id", "original", "corrected"))).alias("l"))
+    s = segments(spark, sf_dir).select(*HALF, "segment_id", "seg_key", "text").join(listed, [*HALF, "segment_id"], "left")
+    done = F.when(F.col("l").isNull(), F.col("text")).otherwise(F.aggregate("l", F.col("text"), lambda acc, x: F.replace(acc, x["original"], x["corrected"])))
+    return s.select("match_id", "seg_key", F.col("text").alias("before"), done.alias("text"))
+
+
+def canonicals(spark, sf_dir):
+    return gazetteer(spark, sf_dir).where("length(canonical) >= 4").select("match_id", "canonical").distinct()
+
+
+@query("ref_a7_surface_variants", f"with {SEG}, {GAZ}, t as (select match_id, seg_key id, text from seg), {s_variants('t', 'a')} select match_id, canonical, variant, uses::bigint as uses from av")
 def a7(spark, sf_dir):
-    """Two-word names: bigrams that begin with a capital, near a player's name."""
-    players = table(spark, sf_dir, "match_data").select("match_id", F.explode("players").alias("nm")).where(F.size(F.split("nm", " ")) == 2).select("match_id", T.letters_key(F.col("nm")).alias("k")).distinct()
-    w = T.words(F.col("text"))
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))
-    b = segments(spark, sf_dir).where(F.col("text").isNotNull() & (F.size(w) >= 2)).select("match_id", F.explode(grams).alias("bg")).where(F.col("bg").rlike(r"^\p{Lu}"))
-    v = b.groupBy("match_id", T.letters_key(F.col("bg")).alias("v")).agg(F.count("*").alias("n")).where("v <> ''")
-    lv, lk = F.length("v"), F.length("k")
-    pair = v.join(players, "match_id").where((F.abs(lv - lk) <= 5) & (200 * F.least(lv, lk) >= 70 * (lv + lk)))
-    r = pair.select("v", "k").distinct().withColumn("r", indel_ratio(F.col("v"), F.col("k"))).where("r >= 70")
-    return pair.join(r, ["v", "k"]).groupBy("match_id", F.col("k").alias("canonical")).agg(F.sum("n").alias("uses"), F.countDistinct("v").alias("variants"))
+    """Writings near each name of the match's list, in one word or two."""
+    return M.surface_variants(segments(spark, sf_dir).select("match_id", "text"), canonicals(spark, sf_dir), ["match_id"], "text")
+
+
+DELTA = f"""{SEG}, {GAZ}, {FIXED}, t as (select match_id, seg_key id, text from seg), {s_variants('t', 'a')}, {s_variants('fixed', 'z')},
+dr as (select match_id, canonical, count(distinct variant) n, sum(uses) u from av group by all), dc as (select match_id, canonical, count(distinct variant) n, sum(uses) u from zv group by all),
+delta as (select match_id, canonical, coalesce(dr.n, 0) raw_variants, coalesce(dr.u, 0)::bigint raw_uses, coalesce(dc.n, 0) cleaned_variants, coalesce(dc.u, 0)::bigint cleaned_uses, coalesce(dc.n, 0) - coalesce(dr.n, 0) as delta from dr full join dc using (match_id, canonical))"""
+
+
+def delta(spark, sf_dir):
+    texts, names_ = corrected_texts(spark, sf_dir), canonicals(spark, sf_dir)
+    sides = [M.surface_variants(texts.select("match_id", F.col(c).alias("text")), names_, ["match_id"], "text") for c in ("before", "text")]
+    return M.variant_delta(*sides, ["match_id"])
+
+
+@query("ref_a8_variant_delta", f"with {DELTA} select *, case when delta < 0 then 'collapsed' when delta > 0 then 'expanded' else '' end as mark from delta")
+def a8(spark, sf_dir):
+    """Writings of each name before and after the corrections of names."""
+    return delta(spark, sf_dir)
+
+
+@query("ref_t8_top_drops", f"with {DELTA} select match_id, canonical, delta from delta order by delta, match_id, canonical limit 15")
+def t8(spark, sf_dir):
+    return M.top_drops(delta(spark, sf_dir), ["match_id"]).select("match_id", "canonical", "delta")
+
+
+@query("ref_a8_cleaned_delta")
+def a8_cleaned(spark, sf_dir):
+    """No SQL, as of the whole cleaning.  Writings of each name before and after it."""
+    raw = with_language(spark, sf_dir)
+    names_ = canonicals(spark, sf_dir)
+    after, _ = C.clean(raw)
+    return M.variant_delta(*[M.surface_variants(t.select("match_id", "text"), names_, ["match_id"], "text") for t in (raw, after)], ["match_id"])
+
+
+@query("ref_j12_changed", f"with {SEG}, {FIXED} select seg_key, before, text as after from fixed where text is distinct from before")
+def j12(spark, sf_dir):
+    """Texts the corrections of names changed."""
+    t = corrected_texts(spark, sf_dir)
+    return M.changed_rows(segments(spark, sf_dir).select("seg_key", "text"), t, ["seg_key"], "text")
+
+
+TOKEN = "trim(text, '.,;:!?\"''()[]{}')"
+REFUSED = f"""{SEG}, {DICTIONARY}, {COS.replace('select distinct match_id, @@ query from entities where text is not null and length(@@) > 2', f"select match_id, min({TOKEN}) query from entities where text is not null and {TOKEN} <> '' and not exists (select 1 from gaz where gaz.match_id = entities.match_id and lower(gaz.canonical) = lower({TOKEN})) group by match_id, lower({TOKEN})")},
+top as (select *, row_number() over (partition by match_id, query order by round(cos, 9) desc, canonical) k from cos where cos > 0),
+fr as (select match_id, lower(trim(w, '.,;:!?"''()[]{{}}')) token, count(*) n from (select match_id, unnest({s_words('text')}) w from seg where text is not null) group by all),
+ac as (select distinct match_id, lower(original) o, lower(corrected) k from corrections where stage = 'entity' and original is not null and corrected is not null),
+rb as (select t.match_id, t.query token, t.canonical best, cos, coalesce(n, 0) freq, lower(t.query) in (select word from dict) real_word from top t left join fr on fr.match_id = t.match_id and fr.token = lower(t.query)
+  where k = 1 and not exists (select 1 from ac where ac.match_id = t.match_id and ac.o = lower(t.query) and ac.k = lower(t.canonical))),
+rf as (select *, {s_indel('token', 'best')} fuzz from rb),
+refused as (select *, case when freq >= 5 then 'frequency_heuristic' when cos < 0.40 then 'shortcut_reject_low_cosine' when length(token) < 5 and fuzz < 85 then 'mcq_pregate_short_low_fuzz' when fuzz < 65 then 'mcq_pregate_low_fuzz'
+  when abs(length(token) - length(best)) > greatest(2.0, 0.6 * length(token)) then 'validation_c2_length_tolerance' when fuzz < 75 and length(trim(token, ' .,!?;:''"()-')) >= 4 and real_word then 'validation_dict_veto' end bucket from rf)"""
+
+
+def refused(spark, sf_dir):
+    accepted = table(spark, sf_dir, "corrections").where("stage = 'entity' and original is not null and corrected is not null")
+    found = table(spark, sf_dir, "entities").select("match_id", "text")
+    return M.refused_candidates(found, segments(spark, sf_dir).select("match_id", "text"), gazetteer(spark, sf_dir).select("match_id", "canonical"), accepted, dictionary(spark, sf_dir))
+
+
+@query("ref_m11_refused", f"with {REFUSED} select match_id, token, best, round(cos, 6) as cosine, round(fuzz, 6) as fuzz, freq, bucket from refused where bucket is not null")
+def m11(spark, sf_dir):
+    """Why found names were not corrected."""
+    return refused(spark, sf_dir).withColumns({"cosine": F.round("cosine", 6), "fuzz": F.round("fuzz", 6)})
+
+
+@query("ref_m11_buckets", f"with {REFUSED} select bucket, count(*) as n from refused where bucket is not null group by 1")
+def m11_buckets(spark, sf_dir):
+    return refused(spark, sf_dir).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def asked_names(spark, sf_dir):
+    """Queries of one name each of the first names of the gazetteer in order, and of no name."""
+    g = table(spark, sf_dir, "gazetteer")
+    return g.select(F.col("ref_id").cast("string").alias("qid"), F.concat(F.lit("shot by "), F.element_at(T.words(F.col("canonical")), -1)).alias("query"))
+
+
+S_WIDE = f"""{SEG}, {GAZ}, t as (select match_id, seg_key id, text from seg), {s_variants('t', 'a')},
+qs as (select ref_id::varchar qid, 'shot by ' || {s_words('canonical')}[-1] query from gazetteer), qw as (select distinct qid, unnest({s_words('lower(query)')}) w from qs),
+nf as (select distinct canonical, w from (select canonical, unnest(list_concat({s_words('lower(canonical)')}, {s_words('lower(variant)')})) w from av)),
+mt as (select distinct qid, canonical from qw join nf using (w)), mo as (select qid, string_agg(w, ' ' order by w) more from (select distinct qid, w from mt join nf using (canonical) except select qid, w from qw) group by 1),
+wide as (select qid, query, case when more is null then query else query || ' ' || more end wider from qs left join mo using (qid))"""
+
+
+def widened(spark, sf_dir):
+    writings = M.surface_variants(segments(spark, sf_dir).select("match_id", "text"), canonicals(spark, sf_dir), ["match_id"], "text")
+    return M.expanded_queries(asked_names(spark, sf_dir), writings.select("canonical", "variant").distinct())
+
+
+@query("ref_m16_query_expansion", f"with {S_WIDE} select qid, query, wider from wide")
+def m16(spark, sf_dir):
+    """A query for each name of the list, widened by the writings the transcripts have of it."""
+    return widened(spark, sf_dir)
+
+
+@query("ref_m16_expanded_search")
+def m16_search(spark, sf_dir):
+    """No SQL (that of M14 and of the expansion hold for its parts): the search with widened queries."""
+    docs = segments(spark, sf_dir).where("text is not null").select("seg_key", "match_id", "text")
+    wide = widened(spark, sf_dir).select("qid", F.col("wider").alias("query"))
+    return search.lexical_search(docs, wide, "seg_key", "text", "match_id", top=1, fuzzy=False)

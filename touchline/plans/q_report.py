@@ -7,11 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text as T
-from touchline.operators import guards, report, search
+from touchline.operators import guards, names, report, search
 from touchline.operators.ordered import millis, whole_order
 from touchline.plans import clean as C
 from touchline.plans.q_text import S_NONLATIN, S_RATIO
-from touchline.plans.q_window import FOLD, S_KEY, SEG, STUCK, segments
+from touchline.plans.q_window import FOLD, S_KEY, SEG, STUCK, segments, with_language
 from touchline.plans.registry import query, s_strip, s_words
 from touchline.sources import json_files, sinks
 from touchline.sources.tables import HALF, table
@@ -62,24 +62,6 @@ def a6(spark, sf_dir):
     return e.select("entity_id", (F.row_number().over(Window.partitionBy("match_id", F.lower("text")).orderBy("entity_id")) > 1).alias("is_dup_in_match"))
 
 
-@query(
-    "ref_a8_variant_delta",
-    f"""with {ONCE}, r as (select corrected k, count(distinct lower(original)) n from c where original is not null and corrected <> '' group by 1), d as (select corrected k, count(distinct method) n from c where corrected <> '' and stage = 'entity' group by 1)
-select coalesce(r.k, d.k) as canonical, coalesce(r.n, 0) as raw, coalesce(d.n, 0) as cleaned, coalesce(d.n, 0) - coalesce(r.n, 0) as delta from r full join d on r.k = d.k""",
-)
-def a8(spark, sf_dir):
-    c = once(spark, sf_dir).where("corrected <> ''")
-    r = c.where("original is not null").groupBy(F.col("corrected").alias("canonical")).agg(F.countDistinct(F.lower("original")).alias("raw"))
-    d = c.where("stage = 'entity'").groupBy(F.col("corrected").alias("canonical")).agg(F.countDistinct("method").alias("cleaned"))
-    return r.join(d, "canonical", "full_outer").select("canonical", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("cleaned", F.lit(0)).alias("cleaned")).withColumn("delta", F.col("cleaned") - F.col("raw"))
-
-
-@query("ref_t8_top_drops", f"with {ONCE}, r as (select corrected k, count(distinct lower(original)) n from c where original is not null and corrected <> '' group by 1) select k as canonical, n from r order by n desc, k limit 20")
-def t8(spark, sf_dir):
-    r = once(spark, sf_dir).where("original is not null and corrected <> ''").groupBy(F.col("corrected").alias("canonical")).agg(F.countDistinct(F.lower("original")).alias("n"))
-    return r.orderBy(F.desc("n"), "canonical").limit(20)
-
-
 @query("ref_a15_stage_breakdown", f"with {ONCE}, s as (select unnest(['normalization', 'spell_check', 'grammar', 'entity', 'neural', 'llm']) stage), n as (select stage, count(*) n from c group by 1), r as (select s.stage, coalesce(n, 0) n from s left join n using (stage)) select * from r union all select 'total', sum(n)::bigint from r")
 def a15(spark, sf_dir):
     return report.stage_breakdown(once(spark, sf_dir))
@@ -111,18 +93,11 @@ def a21(spark, sf_dir):
     return listed.select(*MATCH, F.array_join(F.transform("x", lambda v: v["text"]), " ").alias("text"))
 
 
-@query("ref_j12_changed", f"with {SEG}, n as (select seg_key, text, {s_strip('regexp_replace(text, ' + chr(39) + '[.]{2,}' + chr(39) + ', ' + chr(39) + '.' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} t from seg where text is not null) select seg_key, t as text from n where t <> text")
-def j12(spark, sf_dir):
-    s = segments(spark, sf_dir).where("text is not null").select("seg_key", "text")
-    cleaned = s.select("seg_key", T.strip(F.regexp_replace("text", r"[.]{2,}", ".")).alias("after"))
-    return s.join(cleaned, "seg_key").where(F.col("after") != F.col("text")).select("seg_key", F.col("after").alias("text"))
-
-
-@query("ref_j14_registry", f"with {SEG} select seg_key, coalesce(m.match_name, seg.match_id) as title, coalesce(country, '') as country from seg left join (select * from match_data where played_on >= date '2008-01-01') m using (match_id) left join leagues l on seg.league = l.league where contains(lower(text), 'penalty')")
+@query("ref_j14_registry", f"with {SEG} select seg_key, coalesce(m.match_name, seg.match_id) as match_name, coalesce(m.home, '') as home, coalesce(m.played_on::varchar, '') as played_on from seg left join match_data m using (match_id)")
 def j14(spark, sf_dir):
-    hits = segments(spark, sf_dir).where("contains(lower(text), 'penalty')").select("seg_key", "match_id", "league")
-    registry = table(spark, sf_dir, "match_data").where("played_on >= date'2008-01-01'").select("match_id", "match_name")
-    return hits.join(registry, "match_id", "left").join(table(spark, sf_dir, "leagues").select("league", "country"), "league", "left").select("seg_key", F.coalesce("match_name", "match_id").alias("title"), F.coalesce("country", F.lit("")).alias("country"))
+    """Every segment with its match's name and facts, as the registry has them."""
+    s = segments(spark, sf_dir).select("seg_key", "match_id")
+    return names.with_registry(s, table(spark, sf_dir, "match_data"), "match_id", "match_name", ["home", "played_on"]).select("seg_key", "match_name", "home", "played_on")
 
 
 @query("ref_k5_registry_upsert", "select league, country, lang from leagues where lang <> 'en' union all select league, 'new', lang from leagues where lang = 'en' union all select 'added', 'new', 'en'")
@@ -171,10 +146,6 @@ def m1(spark, sf_dir):
     return guards.match_language(segments(spark, sf_dir).where("text is not null"), MATCH, ["half", "start_time", "ord", "segment_id"], "text", stopword_detector)
 
 
-def with_language(spark, sf_dir):
-    return segments(spark, sf_dir).join(table(spark, sf_dir, "leagues").select("league", F.col("lang").alias("language")), "league", "left").withColumn("language", F.coalesce("language", F.lit("en")))
-
-
 def cleaned(spark, sf_dir):
     s = with_language(spark, sf_dir)
     return s, *C.clean(s)
@@ -273,23 +244,27 @@ def m15(spark, sf_dir):
     return search.nearest_vectors(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding").withColumn("score", F.round("score", 6))
 
 
-@query("ref_m16_query_expansion")
-def m16(spark, sf_dir):
-    """Rows only, as no form of it is published: query words widened by the writings corrections had for a name."""
-    c = once(spark, sf_dir).where("stage = 'entity' and original is not null and corrected <> ''")
-    variants = c.select(F.lower("corrected").alias("name"), F.lower("original").alias("variant")).distinct()
-    words = table(spark, sf_dir, "gazetteer").select(F.lower("canonical").alias("name"))
-    return words.join(variants, "name").groupBy("name").agg(F.sort_array(F.collect_set("variant")).alias("variants"))
+@query("ref_m15_score_sum", f"""{S_SEARCH},
+v as (select i.qid, b.vec_id seg_key, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) s from (select qid, row_number() over (order by qid) * 20 - 20 vec_id from q) i join embeddings a using (vec_id) join embeddings b on a.vec_id <> b.vec_id),
+vt as (select *, row_number() over (partition by qid order by round(s, 9) desc, seg_key) n from v), u as (select qid, seg_key, score from top where n <= 5 union all select qid, seg_key, s from vt where n <= 5),
+z2 as (select qid, seg_key, sum(score) score from u group by all) select qid, seg_key, round(score, 5) as score, row_number() over (partition by qid order by round(score, 9) desc, seg_key) as n from z2""")
+def m15_sum(spark, sf_dir):
+    """[M15] Lexical and vector hits of the same queries, their scores added up (query k stands at vector 20 k)."""
+    e = table(spark, sf_dir, "embeddings")
+    ids = spark.createDataFrame([(q, 20 * k) for k, q in enumerate(sorted(i for i, _, _ in QUESTIONS))], "qid string, query_id long")
+    near = search.nearest_vectors(e, e.join(F.broadcast(ids), e["vec_id"] == ids["query_id"], "left_semi"), "vec_id", "embedding").join(ids, "query_id").select("qid", F.col("vec_id").alias("seg_key"), "score")
+    return search.summed([hits(spark, sf_dir)[1], near], ["qid", "seg_key"]).withColumn("score", F.round("score", 5))
 
 
-@query("ref_m17_relevant_hits")
+@query("ref_m17_relevant_hits", f"{S_SEARCH}, r17 as (select top.qid, match_id, seg_key, top.n, contains(lower(seg.text), lower(target)) kept from top join seg using (seg_key, match_id) join q using (qid) where top.n <= 5) select qid, match_id, seg_key, n from r17 where kept and qid not in (select qid from r17 group by qid having not bool_or(kept))")
 def m17(spark, sf_dir):
-    """The keep-list of a relevance model as a semi-join; here the list is the first two hits of each query and match."""
-    _, found = hits(spark, sf_dir)
-    keep = found.where("n <= 2").select("qid", "match_id", "n")
-    return found.join(keep, ["qid", "match_id", "n"], "left_semi")
-
-
+    """The hits an injected judge keeps (here: one that looks for the labelled target), none of queries it refuses."""
+    docs, found = hits(spark, sf_dir)
+    wanted = {q: t[0] for _, q, t in QUESTIONS}
+    judge = lambda rows: pd.Series([wanted[q].lower() in (t or "").lower() for q, t in zip(rows["query"], rows["text"])], dtype=bool)
+    asked = spark.createDataFrame([(i, q) for i, q, _ in QUESTIONS], "qid string, query string")
+    shown = found.join(docs.select("seg_key", "text"), "seg_key").join(asked, "qid")
+    return names.relevant_hits(shown, judge).select("qid", "match_id", "seg_key", "n")
 
 
 @query("ref_m9_guarded_edits")
