@@ -7,6 +7,9 @@ another shape is skipped, not an error.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,12 +79,17 @@ def match_filter(df: DataFrame, part: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, root: str) -> DataFrame:
-    """[S5] path, league, season, match_name, entity_type, name, alternative: the names of line-up files.
+    """[S5] The names of the line-up files below ``root``, as ``label_names`` gives them."""
+    return label_names(whole_files(spark, root, "Labels-caption.json"))
+
+
+def label_names(files: DataFrame) -> DataFrame:
+    """[S5] path, league, season, match_name, seq, entity_type, name, alternatives: the names in line-up files (path, value).
 
     Strings and lists, strings and objects are both accepted for teams,
     referees and venues.  Broken files give nothing.
     """
-    files = whole_files(spark, root, "Labels-caption.json").select("path", F.try_parse_json("value").alias("v")).where("v is not null")
+    files = files.select("path", F.try_parse_json("value").alias("v")).where("v is not null")
     p = F.regexp_replace(F.url_decode("path"), r"^.*?://", "")
     g = lambda n: F.regexp_extract(p, r"([^/]+)/([^/]+)/([^/]+)/Labels-caption\.json$", n)
     person = "array<struct<long_name:string,short_name:string,name:string>>"
@@ -113,32 +121,46 @@ def labels(spark: SparkSession, root: str) -> DataFrame:
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """[S6] start, end, text from a list of {offset, duration, commentary}, or from either transcript shape; by start."""
-    files = spark.read.option("wholetext", True).text(path).select(F.lit(path).alias("path"), "value")
+    return ground_truth_rows(spark.read.option("wholetext", True).text(path).select(F.lit(path).alias("path"), "value")).drop("path").orderBy("start")
+
+
+def ground_truth_rows(files: DataFrame) -> DataFrame:
+    """[S6] path, start, end, text of the files (path, value)."""
     v = files.select("path", "value", F.try_parse_json("value").alias("v"))
     listed = v.where(F.schema_of_variant("v").startswith("ARRAY"))
-    rows = listed.select(F.explode(F.from_json("value", "array<struct<offset:double,duration:double,commentary:string>>")).alias("x")).select(F.col("x.offset").alias("start"), (F.col("x.offset") + F.col("x.duration")).alias("end"), F.coalesce("x.commentary", F.lit("")).alias("text"))
-    others = half_segments(v.where(~F.schema_of_variant("v").startswith("ARRAY")).select("path", "value")).select(F.col("start_time").alias("start"), F.col("end_time").alias("end"), "text")
-    return rows.unionByName(others).orderBy("start")
+    rows = listed.select("path", F.explode(F.from_json("value", "array<struct<offset:double,duration:double,commentary:string>>")).alias("x")).select("path", F.col("x.offset").alias("start"), (F.col("x.offset") + F.col("x.duration")).alias("end"), F.coalesce("x.commentary", F.lit("")).alias("text"))
+    others = half_segments(v.where(~F.schema_of_variant("v").startswith("ARRAY")).select("path", "value")).select("path", F.col("start_time").alias("start"), F.col("end_time").alias("end"), "text")
+    return rows.unionByName(others)
+
+
+# The fields of the dictionary files' entries.
+LEARNED = "correct:string,confidence:double,seen_count:bigint,fuzzy_score_avg:double"
+VALIDATED = "correct:string,matches_seen:array<string>,fuzzy_avg:double,last_updated:date"
+
+
+def dictionary_rows(files: DataFrame, fields: str, key: str) -> DataFrame:
+    """[S8, S9] The entries of JSON objects of objects (value) as rows; broken ones have none."""
+    entries = F.map_entries(F.from_json("value", f"map<string, struct<{fields}>>"))
+    return files.select(F.explode(entries).alias("e")).select(F.col("e.key").alias(key), "e.value.*")
 
 
 def _dictionary(spark: SparkSession, path: str, fields: str, key: str) -> DataFrame:
-    """A JSON object of objects as rows; a missing, empty or broken file has none."""
+    """A missing or empty file has no rows."""
     try:
         files = spark.read.option("wholetext", True).text(path)
     except Exception:  # noqa: BLE001
         files = spark.createDataFrame([], "value string")
-    entries = F.map_entries(F.from_json("value", f"map<string, struct<{fields}>>"))
-    return files.select(F.explode(entries).alias("e")).select(F.col("e.key").alias(key), "e.value.*")
+    return dictionary_rows(files, fields, key)
 
 
 def learned(spark: SparkSession, path: str) -> DataFrame:
     """[S8] misspelling, correct, confidence, seen_count, fuzzy_score_avg"""
-    return _dictionary(spark, path, "correct:string,confidence:double,seen_count:bigint,fuzzy_score_avg:double", "misspelling")
+    return _dictionary(spark, path, LEARNED, "misspelling")
 
 
 def validated_cache(spark: SparkSession, path: str) -> DataFrame:
     """[S9] mishearing, correct, matches_seen, fuzzy_avg, last_updated"""
-    return _dictionary(spark, path, "correct:string,matches_seen:array<string>,fuzzy_avg:double,last_updated:date", "mishearing")
+    return _dictionary(spark, path, VALIDATED, "mishearing")
 
 
 def lineup_from_api(responses: DataFrame, value: str) -> DataFrame:
@@ -156,14 +178,45 @@ def date_window(day: Column, days: int = 1) -> Column:
     return F.struct(F.date_sub(day, days).alias("first"), F.date_add(day, days).alias("last"))
 
 
+def first_answer(wanted: DataFrame, sources: Sequence[DataFrame], key: str) -> DataFrame:
+    """[S11] For each wanted key the rows of the first source that has any: a service's answer, else the fallbacks in order."""
+    left, out = wanted.select(key).distinct(), None
+    for rows in sources:
+        found = rows.join(left, key, "left_semi")
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+        left = left.join(found.select(key).distinct(), key, "left_anti")
+    return out
+
+
+def fetched(wanted: DataFrame, key: str, fetch: Callable[[str], str | None], tries: int = 3, wait_s: float = 1.0) -> DataFrame:
+    """[S11] key, value: what an injected call gives for each key; a call that raises is tried again, ``wait_s`` doubling, then value is null."""
+    import time
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            values = []
+            for k in pdf[key]:
+                value = None
+                for n in range(tries):
+                    try:
+                        value = fetch(k)
+                        break
+                    except Exception:  # noqa: BLE001
+                        if n + 1 < tries:
+                            time.sleep(wait_s * 2**n)
+                values.append(value)
+            yield pd.DataFrame({key: pdf[key], "value": values})
+
+    kind = wanted.schema[key].dataType.simpleString()
+    return wanted.select(key).distinct().mapInPandas(run, f"{key} {kind}, value string")
+
+
 def transcribed(audio: DataFrame, path: str, model) -> DataFrame:
     """[S12] Segments of audio files by an injected model: path, segment_id, start_time, end_time, text.
 
     ``model`` gets a path and gives (start, end, text) tuples; empty texts are
     dropped and ids count from 0.  It is made once per task.
     """
-    import pandas as pd
-
     def run(batches):
         for pdf in batches:
             rows = []

@@ -80,8 +80,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """[K6]"""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """[K6] Spaces around values stay."""
+    df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
