@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -191,3 +191,35 @@ def metaphone(c: Column) -> Column:
             yield s.map(lambda x: None if x is None else metaphone_of(x))
 
     return F.pandas_udf(run, "string")(c)
+
+
+def nfkd(c: Column) -> Column:
+    """Without accents: decomposed (NFKD), combining marks dropped; for any script."""
+    import unicodedata
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: x if x is None or x.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))
+
+    return F.pandas_udf(run, "string")(c)
+
+
+def code_similarity(x: Column, y: Column) -> Column:
+    """0 to 100 from the edit distance of two codes; 0 if one is empty."""
+    longest = F.greatest(F.length(x), F.length(y))
+    return F.when((x == "") | (y == ""), 0.0).otherwise(100.0 * (1 - F.levenshtein(x, y) / longest))
+
+
+def with_phonetic_score(df: DataFrame, a: str, b: str, language: Column, out: str = "score") -> DataFrame:
+    """Adds ``out``, 0 to 100: the better of metaphone and soundex similarity of two names.
+
+    English names are coded as they are written, others without accents.  A
+    name without a code scores 0; null names give null.
+    """
+    columns = df.columns
+    for side, c in (("__a", a), ("__b", b)):
+        df = df.withColumn(f"{side}n", nfkd(F.col(c))).withColumn(side, F.when(language == "en", F.col(c)).otherwise(F.col(f"{side}n"))).withColumn(f"{side}m", metaphone(F.col(side)))
+    # soundex leaves a word that begins with no plain letter as it is
+    code = lambda n: F.when(F.col(f"{n}n").rlike("^[A-Za-z]"), F.soundex(f"{n}n")).otherwise(F.lit(""))
+    score = F.greatest(code_similarity(F.col("__am"), F.col("__bm")), code_similarity(code("__a"), code("__b")))
+    return df.withColumn(out, F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), score)).select(*columns, out)

@@ -133,19 +133,57 @@ def restored(df: DataFrame, ids: Sequence[str], text: str, label: Callable[[pd.S
     return out.select(*ids, F.col(text).alias("original"), F.col("__t").alias("text"), F.coalesce(F.col("__t") != F.col(text), F.lit(False)).alias("changed"))
 
 
-def match_language(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, detect: Callable[[pd.Series], pd.Series] | None = None, sample: int = 20, least_words: int = 5) -> DataFrame:
-    """[M1, T2] keys, language: of the 20 longest texts, those of five words and more, joined and detected; family head, 'en' if unknown."""
-    n = F.size(T.words(F.col(text)))
+def word_counts(df: DataFrame, text: str, language: str) -> DataFrame:
+    """language, word, n: how often each word stands in the texts of a language; rows without a language don't count."""
+    w = df.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("language"), F.explode(_plain_words(F.col(text))).alias("word"))
+    return w.groupBy("language", "word").agg(F.count("*").alias("n"))
+
+
+def _plain_words(c: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}]+", " "), " "), lambda w: w != "")
+
+
+def detected_languages(texts: DataFrame, ids: Sequence[str], text: str, counts: DataFrame) -> DataFrame:
+    """ids, detected: the language under whose ``word_counts`` the text's words are likeliest; no row if it has no counted word.
+
+    Word probabilities are (n + 1) / (words of the language + different words
+    of all); words counted nowhere say nothing.  Ties go to the first by name.
+    Everything is joins and sums, so the counts may be of any size; only the
+    languages themselves, one row each, are sent to every task.
+    """
+    row = F.struct(*[F.col(c).alias(c) for c in ids]).alias("__row")
+    known = counts.select("word").distinct()
+    w = texts.where(F.col(text).isNotNull()).select(row, F.explode(_plain_words(F.col(text))).alias("word")).groupBy("__row", "word").agg(F.count("*").alias("k"))
+    w = w.join(known, "word")
+    sizes = counts.groupBy("language").agg(F.sum("n").alias("N")).join(known.agg(F.count("*").alias("V"))).select("language", F.log(F.col("N") + F.col("V")).alias("size"))
+    gain = w.join(counts, "word").groupBy("__row", "language").agg(F.sum(F.col("k") * F.log(F.col("n") + 1)).alias("gain"))
+    said = w.groupBy("__row").agg(F.sum("k").alias("k")).join(F.broadcast(sizes))
+    scored = said.join(gain, ["__row", "language"], "left").select("__row", F.struct((F.coalesce("gain", F.lit(0.0)) - F.col("k") * F.col("size")).alias("s"), "language").alias("x"))
+    best = scored.groupBy("__row").agg(F.min(F.struct((-F.round("x.s", 9)).alias("neg"), "x.language")).alias("b"))
+    return best.select("__row.*", F.col("b.language").alias("detected"))
+
+
+def longest_texts(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sample: int = 20, least_words: int = 5) -> DataFrame:
+    """[T2, M1] keys, text: of the ``sample`` longest texts of a match those of ``least_words`` and more, joined, longest first."""
     w = Window.partitionBy(*keys).orderBy(F.desc("__n"), *order)
-    top = df.withColumn("__n", n).withColumn("__r", F.row_number().over(w)).where((F.col("__r") <= sample) & (F.col("__n") >= least_words))
-    joined = top.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__r", text))), lambda x: x[text]), " ").alias("__t"))
-    found = F.pandas_udf(lambda s: detect(s), "string")("__t") if detect is not None else F.lit("en")
-    got = joined.withColumn("__d", found)
-    head = F.col("__d")
+    top = df.withColumn("__n", F.size(T.words(F.col(text)))).withColumn("__r", F.row_number().over(w)).where((F.col("__r") <= sample) & (F.col("__n") >= least_words))
+    return top.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__r", text))), lambda x: x[text]), " ").alias(text))
+
+
+def match_language(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, detect: Callable[[DataFrame], DataFrame] | None = None, sample: int = 20, least_words: int = 5) -> DataFrame:
+    """[M1] keys, language: the family head of what ``detect`` finds in a match's longest texts, 'en' if nothing.
+
+    ``detect`` gets (keys, text) and gives (keys, detected); without one every
+    match is 'en'.
+    """
+    every = df.select(*keys).distinct()
+    if detect is None:
+        return every.withColumn("language", F.lit("en"))
+    head = F.col("detected")
     for code, members in reversed(list(T.FAMILIES.items())):
-        head = F.when(F.col("__d").isin(*members), F.lit(code)).otherwise(head)
-    every = df.select(*keys).distinct().join(got.select(*keys, head.alias("__h")), list(keys), "left")
-    return every.select(*keys, F.coalesce("__h", F.lit("en")).alias("language"))
+        head = F.when(F.col("detected").isin(*members), F.lit(code)).otherwise(head)
+    got = detect(longest_texts(df, keys, order, text, sample, least_words)).select(*keys, head.alias("__h"))
+    return every.join(got, list(keys), "left").select(*keys, F.coalesce("__h", F.lit("en")).alias("language"))
 
 
 def majority(votes: DataFrame, by: Sequence[str], vote: str, order: str) -> DataFrame:

@@ -119,31 +119,49 @@ def p5(spark, sf_dir):
     return C.classified(s, "language").select("seg_key", F.regexp_replace("reason", r" \(.*", "").alias("reason"))
 
 
-def stopword_detector(texts: pd.Series) -> pd.Series:
-    """A small detector for the injection points: the language most of whose function words a text has."""
-    words = {"en": "the and of to is has with for", "sv": "och att det är som på har inte", "no": "og det er som på har ikke av", "de": "und der die das ist von nicht auf", "fr": "le la les et de des est une", "es": "el los las una que del por con"}
-    sets = {k: set(v.split()) for k, v in words.items()}
+S_PLAIN = "list_filter(string_split(regexp_replace(lower({}), '[^\\p{{L}}]+', ' ', 'g'), ' '), lambda v: v <> '')"
 
-    def one(t):
-        n = {k: sum(w in s for w in (t or "").lower().split()) for k, s in sets.items()}
-        best = max(n, key=n.get)
-        return best if n[best] else None
 
-    return texts.map(one)
+def s_detected(texts: str, ids: str) -> str:
+    """CTEs up to ``dt`` (ids, detected) over ``texts`` (ids, text)."""
+    return f"""lw as (select lang as language, word, count(*) n from (select lang, unnest({S_PLAIN.format('text')}) word from seg join leagues using (league) where text is not null) group by all),
+kn as (select distinct word from lw), sz as (select language, ln(sum(n) + (select count(*) from kn)) sz from lw group by 1),
+tw as (select {ids}, word, count(*) k from (select {ids}, unnest({S_PLAIN.format('text')}) word from {texts}) where word in (select word from kn) group by all),
+gn as (select {ids}, language, sum(k * ln(n + 1)) g from tw join lw using (word) group by all), sd as (select {ids}, sum(k) k from tw group by all),
+sc as (select sd.*, sz.language, coalesce(g, 0) - k * sz s from sd cross join sz left join gn on ({' and '.join(f'gn.{i.strip()} = sd.{i.strip()}' for i in ids.split(','))}) and gn.language = sz.language),
+dt as (select {ids}, arg_min(language, {{'n': -round(s, 9), 'l': language}}) detected from sc group by all)"""
 
 
-@query("ref_p4_wrong_language")
+def transcripts_by_language(spark, sf_dir):
+    """Counts of the words the transcripts of each language's leagues use."""
+    s = segments(spark, sf_dir).join(table(spark, sf_dir, "leagues").select("league", "lang"), "league")
+    return guards.word_counts(s, "text", "lang")
+
+
+S_FAMILY = "case lang " + " ".join(f"when '{k}' then detected in ({', '.join(repr(m) for m in v)})" for k, v in T.FAMILIES.items()) + " else detected = lang end"
+
+
+@query("ref_p4_wrong_language", f"with {SEG}, lt as (select seg_key, text, lang from seg join leagues using (league) where len({s_words('text')}) >= 15), {s_detected('lt', 'seg_key')} select seg_key, lang, detected from lt join dt using (seg_key) where not ({S_FAMILY})")
 def p4(spark, sf_dir):
-    """No SQL: the detector is injected.  Segments of 15 words and more outside their league's family."""
+    """[P4] Segments of 15 words and more outside their league's family, by the words the leagues' own transcripts use."""
     s = segments(spark, sf_dir).where("text is not null").join(table(spark, sf_dir, "leagues").select("league", "lang"), "league").where(F.size(T.words(F.col("text"))) >= 15)
-    d = s.withColumn("d", F.pandas_udf(lambda x: stopword_detector(x), "string")("text"))
-    return d.where(T.wrong_language(F.col("text"), F.col("d"), F.col("lang"))).select("seg_key", "lang", F.col("d").alias("detected"))
+    d = s.join(guards.detected_languages(s, ["seg_key"], "text", transcripts_by_language(spark, sf_dir)), "seg_key", "left")
+    return d.where(T.wrong_language(F.col("text"), F.col("detected"), F.col("lang"))).select("seg_key", "lang", "detected")
 
 
-@query("ref_m1_match_language")
+S_HEAD = "case " + " ".join(f"when detected in ({', '.join(repr(m) for m in v)}) then '{k}'" for k, v in T.FAMILIES.items()) + " else coalesce(detected, 'en') end"
+
+
+@query(
+    "ref_m1_match_language",
+    f"""with {SEG}, lr as (select *, len({s_words('text')}) n, row_number() over (partition by match_id, feed order by len({s_words('text')}) desc, half, start_time, ord, segment_id) r from seg where text is not null),
+lt as (select match_id, feed, string_agg(text, ' ' order by r) text from lr where r <= 20 and n >= 5 group by all), {s_detected('lt', 'match_id, feed')}
+select match_id, feed, {S_HEAD} as language from (select distinct match_id, feed from seg where text is not null) left join dt using (match_id, feed)""",
+)
 def m1(spark, sf_dir):
-    """No SQL: the detector is injected."""
-    return guards.match_language(segments(spark, sf_dir).where("text is not null"), MATCH, ["half", "start_time", "ord", "segment_id"], "text", stopword_detector)
+    """[M1] The language of each match's longest segments."""
+    detect = lambda texts: guards.detected_languages(texts, MATCH, "text", transcripts_by_language(spark, sf_dir))
+    return guards.match_language(segments(spark, sf_dir).where("text is not null"), MATCH, ["half", "start_time", "ord", "segment_id"], "text", detect)
 
 
 def cleaned(spark, sf_dir):

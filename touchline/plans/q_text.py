@@ -122,18 +122,16 @@ S_REBUILT = f"""substring({S_T3}, 1, length({S_T3}) - length(ltrim({S_T3}, '.,!?
 ent("ref_f12_rebuild", out=(lambda: T.rebuild_entity(t(), F.lit("Nilsson"), F.lit("en")), S_REBUILT))
 S_GEN = f"length(ltrim({S_T3}, '.,!?;:')) >= 4 and ltrim({S_T3}, '.,!?;:') like '%s' and {S_T2} = {S_T3}"
 ent("ref_f12_rebuild_genitive", out=(lambda: T.rebuild_entity(t(), F.lit("Guidetti"), F.lit("sv")), S_REBUILT.replace("'Nilsson'", f"(case when {S_GEN} then 'Guidettis' else 'Guidetti' end)")))
+ent("ref_f13_nfkd", plain=(lambda: S.nfkd(F.col("text")), "strip_accents(replace(text, chr(160), ' '))"))
 on("ref_f13_unaccented", "gazetteer", "ref_id", {"plain": (lambda: T.unaccented(F.regexp_replace("canonical", "[øØ]", "o")), "strip_accents(regexp_replace(canonical, '[øØ]', 'o', 'g'))")})
 
 
 @query("ref_f14_phonetic")
 def phonetic(spark, sf_dir):
-    """No SQL: metaphone is a UDF.  Best of soundex and metaphone similarity of both names of a correction."""
-    df = table(spark, sf_dir, "corrections").where("original is not null and corrected is not null").select("correction_id", "original", "corrected")
-    a, b = S.metaphone(F.col("original")), S.metaphone(F.col("corrected"))
-    df = df.withColumns({"a": a, "b": b})
-    longest = F.greatest(F.length("a"), F.length("b"))
-    meta = F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(100 * (1 - F.levenshtein("a", "b") / longest))
-    return df.select("correction_id", F.greatest(meta, T.phonetic_score(F.col("original"), F.col("corrected"), F.lit("en"))).alias("score"))
+    """No SQL: metaphone is a UDF.  Best of soundex and metaphone similarity of both names of a correction, by the match's language."""
+    languages = table(spark, sf_dir, "match_data").join(table(spark, sf_dir, "leagues"), "league", "left").select("match_id", F.coalesce("lang", F.lit("en")).alias("lang"))
+    df = table(spark, sf_dir, "corrections").where("original is not null and corrected is not null").join(languages, "match_id", "left")
+    return S.with_phonetic_score(df, "original", "corrected", F.col("lang")).select("correction_id", "score")
 
 
 cor("ref_f1_indel_ratio", ratio=(lambda: S.indel_ratio(F.lower("original"), F.lower("corrected")), s_indel("lower(original)", "lower(corrected)")))
