@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from touchline.operators.ordered import KEY, entity, plain_key, with_last_flag, with_rank, with_running_max
+from touchline.operators.ordered import KEY, entity, fold_groups, plain_key, with_last_flag, with_rank, with_running_max
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, start: str, end: str, least_s: float | None = None, bucket_s: float = 16.0) -> DataFrame:
@@ -61,18 +60,16 @@ def _both(reference: DataFrame, hypothesis: DataFrame, keys, ref_id, hyp_id, sta
     return island.withColumn("__kid", F.to_json(KEY))
 
 
-def _frame(pdf: pd.DataFrame, pairs: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(pairs, columns=["ref", "hyp"], dtype=object)
-    if pdf["__id"].dtype.kind == "i":
-        frame = frame.astype("Int64")
-    frame.insert(0, "__kid", pdf["__kid"].iloc[0])
-    return frame
-
-
 def _greedy(rows: DataFrame, keys, ref_id, hyp_id, merge) -> DataFrame:
+    """keys, ref_id, hyp_id: the pairs (ref, hyp) that ``merge`` makes of each stretch's sides, lists of (id, start, end)."""
     schema = rows.select(KEY).schema[KEY].dataType.simpleString()
     kind = rows.schema["__id"].dataType.simpleString()
-    pairs = rows.select("__kid", "__island", "__side", "__id", "__s", "__e", "__rank").groupBy("__kid", "__island").applyInPandas(merge, f"__kid string, ref {kind}, hyp {kind}")
+
+    def walk(stretch: list[tuple]) -> Iterator[tuple]:
+        sides = [[(i, s, e) for _, _, side, i, s, e, _ in stretch if side == n] for n in (0, 1)]
+        return ((stretch[0][0], ref, hyp) for ref, hyp in merge(*sides))
+
+    pairs = fold_groups(rows.select("__kid", "__island", "__side", "__id", "__s", "__e", "__rank"), ["__kid", "__island"], ["__rank"], walk, [("__kid", "string"), ("ref", kind), ("hyp", kind)])
     back = pairs.withColumn(KEY, F.from_json("__kid", schema))
     return plain_key(back, keys, [F.col("ref").alias(ref_id), F.col("hyp").alias(hyp_id)])
 
@@ -87,10 +84,7 @@ def merge_by_time(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[st
     without a start are left out, a null end is read as the start.
     """
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rank")
-        r = list(pdf[pdf["__side"] == 0][["__id", "__s", "__e"]].itertuples(index=False, name=None))
-        h = list(pdf[pdf["__side"] == 1][["__id", "__s", "__e"]].itertuples(index=False, name=None))
+    def merge(r: list[tuple], h: list[tuple]) -> list[tuple]:
         i, j, out = 0, 0, []
         while i < len(r) or j < len(h):
             if j >= len(h):
@@ -110,7 +104,7 @@ def merge_by_time(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[st
                 else:
                     out.append((None, b))
                     j += 1
-        return _frame(pdf, out)
+        return out
 
     return _greedy(_both(reference, hypothesis, keys, ref_id, hyp_id, start, end, tolerance), keys, ref_id, hyp_id, merge)
 
@@ -121,13 +115,11 @@ def take_nearest(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str
     Returns keys, ref_id, hyp_id (null if none was left).  Ties go to the earlier hypothesis.
     """
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rank")
-        h = list(pdf[pdf["__side"] == 1][["__id", "__s", "__e"]].itertuples(index=False, name=None))
+    def merge(r: list[tuple], h: list[tuple]) -> list[tuple]:
         free, out = dict(enumerate(h)), []
         low = 0
         longest = max((f - t for _, t, f in h), default=0.0)
-        for a, s, e in pdf[pdf["__side"] == 0][["__id", "__s", "__e"]].itertuples(index=False, name=None):
+        for a, s, e in r:
             mid, best, dist = (s + e) / 2, None, float("inf")
             while low < len(h) and h[low][2] < s - longest - 2 * tolerance - (e - s):
                 low += 1
@@ -139,6 +131,6 @@ def take_nearest(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str
                     if d < dist and d <= tolerance + (h[k][2] - h[k][1]) / 2:
                         best, dist = k, d
             out.append((a, free.pop(best)[0] if best is not None else None))
-        return _frame(pdf, out)
+        return out
 
     return _greedy(_both(reference, hypothesis, keys, ref_id, hyp_id, start, end, tolerance), keys, ref_id, hyp_id, merge)

@@ -107,15 +107,16 @@ def retrieve(queries: DataFrame, canonicals: DataFrame, top: int = 5, rescue: fl
     counts at least that ratio, kept just under ``shortcut``.  Ties go to the
     canonical first in order.
     """
-    q = queries.select("match_id", "query").distinct()
-    c = canonicals.select("match_id", "canonical").distinct()
+    # both are small beside the texts they come from, and read several times
+    q = cut_lineage(queries.select("match_id", "query").distinct())
+    c = cut_lineage(canonicals.select("match_id", "canonical").distinct())
     n = c.groupBy("match_id").agg(F.count("*").alias("n"))
     cg = c.select("match_id", "canonical", F.explode(padded_grams(F.col("canonical"))).alias("g")).groupBy("match_id", "canonical", "g").agg(F.count("*").alias("tf"))
     idf = cg.groupBy("match_id", "g").agg(F.count("*").alias("df")).join(n, "match_id").select("match_id", "g", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     cw = cg.join(idf, ["match_id", "g"]).select("match_id", "canonical", "g", (F.col("tf") * F.col("idf")).alias("cw"))
     cn = cw.groupBy("match_id", "canonical").agg(F.sqrt(F.sum(F.col("cw") * F.col("cw"))).alias("cn"))
     qg = q.select("match_id", "query", F.explode(padded_grams(F.col("query"))).alias("g")).groupBy("match_id", "query", "g").agg(F.count("*").alias("tf"))
-    qw = qg.join(idf, ["match_id", "g"]).select("match_id", "query", "g", (F.col("tf") * F.col("idf")).alias("qw"))
+    qw = cut_lineage(qg.join(idf, ["match_id", "g"]).select("match_id", "query", "g", (F.col("tf") * F.col("idf")).alias("qw")))
     qn = qw.groupBy("match_id", "query").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     dot = qw.join(cw, ["match_id", "g"]).groupBy("match_id", "query", "canonical").agg(F.sum(F.col("qw") * F.col("cw")).alias("dot"))
     cos = dot.join(qn, ["match_id", "query"]).join(cn, ["match_id", "canonical"]).select("match_id", "query", "canonical", (F.col("dot") / (F.col("qn") * F.col("cn"))).alias("cos"))
@@ -196,6 +197,7 @@ def correct_entities(
     d = first.join(known, "key", "left") if known is not None else first.withColumn("cached", F.lit(None).cast("string"))
     d = ratios(d, "entity", "cached", "cached_ratio")
     d = d.withColumn("from_cache", F.coalesce((F.lower("cached") != F.col("key")) & gate(F.col("entity"), F.col("cached"), F.col("cached_ratio"), real), F.lit(False)))
+    d = cut_lineage(d)
     # 2. retrieval
     hits = retrieve(d.where("not from_cache").select("match_id", F.col("entity").alias("query")), gazetteer.select("match_id", "canonical"))
     listed = hits.groupBy("match_id", "query").agg(F.sort_array(F.collect_list(F.struct("n", "canonical", "score"))).alias("c"))

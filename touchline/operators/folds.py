@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import text as T
 from touchline.functions.similarity import indel_ratio, indel_ratio_of
-from touchline.operators.ordered import KEY, entity, millis, plain_key, with_last_flag, with_previous, with_rank, with_running_max
+from touchline.operators.ordered import KEY, entity, fold_groups, millis, plain_key, with_last_flag, with_previous, with_rank, with_running_max
 from touchline.session import cut_lineage
 
 
@@ -40,22 +39,22 @@ def merge_near_duplicates(df: DataFrame, keys: Sequence[str], row_id: str, start
     near = F.when(F.col("__before").isNotNull() & (200 * F.least(F.length("__x"), F.length("__before")) >= bound * (F.length("__x") + F.length("__before"))), indel_ratio(F.col("__before"), F.col("__x")))
     island = cut_lineage(with_last_flag(heads.withColumn("__near", near), F.coalesce(F.col("__near") < bound, F.lit(True)), "__island").drop("__near", "__before"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rank")
+    def fold(stretch: list[tuple]) -> list[tuple]:
         anchor, rows = None, []
-        for r in pdf.itertuples(index=False):
-            same = indel_ratio_of(anchor[1], r[3]) if anchor is not None and anchor[1] and r[3] else 0.0
+        for kid, rank, own, x, _ in stretch:
+            same = indel_ratio_of(anchor[1], x) if anchor is not None and anchor[1] and x else 0.0
             if anchor is not None and same >= threshold:
-                rows.append((r[0], r[1], False, anchor[0], same, anchor[2]))
+                rows.append((kid, rank, False, anchor[0], same, anchor[2]))
             else:
-                anchor = (r[2], r[3], r[1])
-                rows.append((r[0], r[1], True, None, None, r[1]))
-        return pd.DataFrame(rows, columns=["__kid", "__rank", "kept", "duplicate_of", "similarity", "__anchor"])
+                anchor = (own, x, rank)
+                rows.append((kid, rank, True, None, None, rank))
+        return rows
 
     sizes = island.groupBy(KEY, "__island").agg(F.count("*").alias("__n")).where("__n > 1").select(KEY, "__island")
     several = island.join(sizes, [KEY, "__island"], "left_semi").withColumn("__kid", F.to_json(KEY))
-    done = several.select("__kid", "__rank", F.col("__id").cast("string").alias("__id"), "__x", "__island").groupBy("__kid", "__island").applyInPandas(
-        lambda pdf: fold(pdf), "__kid string, __rank long, kept boolean, duplicate_of string, similarity double, __anchor long"
+    done = fold_groups(
+        several.select("__kid", "__rank", F.col("__id").cast("string").alias("__id"), "__x", "__island"), ["__kid", "__island"], ["__rank"], fold,
+        [("__kid", "string"), ("__rank", "long"), ("kept", "boolean"), ("duplicate_of", "string"), ("similarity", "double"), ("__anchor", "long")],
     )
     told = island.withColumn("__kid", F.to_json(KEY)).join(done, ["__kid", "__rank"], "left").select(
         KEY, "__rank", F.struct("__rank", F.col("__id").cast("string").alias("id"), F.coalesce("kept", F.lit(True)).alias("kept"), "duplicate_of", "similarity", F.coalesce("__anchor", "__rank").alias("anchor")).alias("__head")

@@ -12,8 +12,9 @@ each other in the joins below (a struct with null fields is itself not null).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +118,42 @@ def with_last_flag(df: DataFrame, flag: Column, out: str, rank: str = "__rank",
 def plain_key(df: DataFrame, keys: Sequence[str], extra: Sequence[Column | str]) -> DataFrame:
     """Unpacks the entity struct into its columns again."""
     return df.select(*[F.col(f"{KEY}.{k}").alias(k) for k in keys], *extra)
+
+
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def fold_groups(df: DataFrame, group: Sequence[str], order: Sequence[str], fold: Callable[[list[tuple]], Iterable[tuple]], schema: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows of ``fold`` for each group's rows (tuples of df's columns) in order.
+
+    Many small groups share a task and its Arrow batches, so a group costs no
+    more than its rows; groups may span batches.  schema: (name, type) pairs,
+    types being those of ARROW.
+    """
+    at = [df.columns.index(g) for g in group]
+    placed = df.repartition(*group).sortWithinPartitions(*group, *order)
+    types = [ARROW[t] for _, t in schema]
+    names = [n for n, _ in schema]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, done = None, [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                k = tuple(row[i] for i in at)
+                if k != key:
+                    if held:
+                        done.extend(fold(held))
+                    key, held = k, []
+                    if len(done) >= 10_000:
+                        yield out(done)
+                        done = []
+                held.append(row)
+        if held:
+            done.extend(fold(held))
+        yield out(done)
+
+    return placed.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in schema))
