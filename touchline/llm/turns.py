@@ -131,7 +131,7 @@ def speaker_turns(
     count once; null ids are left out; other columns are ignored.  The speakers
     table is sent to every task and refused above ``most_speakers`` rows.
     """
-    numbered, starts, total = _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name, most_speakers, salts)
+    numbered, starts, total = _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name, most_speakers, salts, texts=False)
     none = F.lit(None).cast("long")
     borders = starts.select(
         KEY,
@@ -184,7 +184,8 @@ def turn_texts(
     return parts.select(*[F.col(f"{KEY}.{k}").alias(k) for k in keys], "turn_no", "speaker_id", "part_no", "start_ms", "n_pieces", words.alias("text"))
 
 
-def _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name, most_speakers, salts):
+def _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name, most_speakers, salts, texts=True):
+    """The pieces in order, the beginnings of turns, the number of pieces; texts only where they are asked for."""
     known = speakers.select(F.col(speaker_id).cast("int").alias("sid"), F.trim(F.regexp_replace(folded(F.col(speaker_name)), r"(?U)[^\p{L}]+", " ")).alias("name")).where("sid is not null").groupBy("sid").agg(F.max("name").alias("name"))
     # sent to every task below
     if known.limit(most_speakers + 1).count() > most_speakers:
@@ -204,19 +205,21 @@ def _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name,
             F.split("__x", LABEL, -1).alias("said"),
         )).alias("__pos", "__p"),
     ).select(KEY, "__id", "__t", "__pos", F.col("__p.label").alias("__label"), F.col("__p.said").alias("__said"))
-    pieces = pieces.withColumn("__key", label_key(F.col("__label"))).withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int"))
-    pieces = cut_lineage(pieces)  # read twice below; parsing the texts is the dear part
-    distinct = pieces.where("__key is not null and __key <> ''").groupBy(KEY, F.col("__key").alias("label")).agg(F.count("*").alias("n"))
-    resolved = resolve_labels(distinct, known).select(KEY, F.col("label").alias("__key"), F.col("sid").alias("__sid"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
     said = F.regexp_replace("__said", ANNOTATION, " ")
     # a label that names nobody is text again, unless it is an annotation
-    unnamed = F.when(F.col("__sid").isNull() & ~F.coalesce(F.col("__label"), F.lit("<")).rlike(r"^[\s>]*[\[<]"), F.col("__label")).otherwise(F.lit(""))
-    clean = without_hesitations(F.concat_ws(" ", unnamed, said))
-    rows_ = (
-        pieces.join(resolved, [KEY, "__key", "__salt"], "left")
-        .select(KEY, "__id", "__t", "__pos", "__sid", clean.alias("__clean"))
-        .where(F.col("__sid").isNotNull() | (spoken(F.col("__clean")) != ""))
+    plain = F.when(~F.coalesce(F.col("__label"), F.lit("<")).rlike(r"^[\s>]*[\[<]"), F.col("__label"))
+    pieces = pieces.select(
+        KEY, "__id", "__t", "__pos", label_key(F.col("__label")).alias("__key"), F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int").alias("__salt"),
+        (spoken(said) != "").alias("__words"), F.coalesce(spoken(plain) != "", F.lit(False)).alias("__loud"), *([said.alias("__said"), plain.alias("__plain")] if texts else []),
     )
+    pieces = cut_lineage(pieces)  # read several times below; parsing the texts is the dear part
+    labelled = (F.col("__key") != "") & F.col("__key").isNotNull()
+    distinct = pieces.where(labelled).groupBy(KEY, F.col("__key").alias("label")).agg(F.count("*").alias("n"))
+    resolved = resolve_labels(distinct, known).select(KEY, F.col("label").alias("__key"), F.col("sid").alias("__sid"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    others = pieces.where(F.coalesce(F.col("__key") == "", F.lit(True))).withColumn("__sid", F.lit(None).cast("int"))
+    every = pieces.where(labelled).join(resolved, [KEY, "__key", "__salt"], "left").unionByName(others)
+    clean = [without_hesitations(F.concat_ws(" ", F.when(F.col("__sid").isNull(), F.col("__plain")), "__said")).alias("__clean")] if texts else []
+    rows_ = every.where("__sid is not null or __words or __loud").select(KEY, "__id", "__t", "__pos", "__sid", *clean)
     numbered = cut_lineage(with_rank(rows_, "__t", ["__id", "__pos"]))
     named = with_rank(numbered.where("__sid is not null").select(KEY, "__rank", "__t", "__sid"), "__t", ["__rank"], out="__n")
     changed = with_previous(named, F.col("__sid"), "__before", rank="__n").where("__before is null or __before <> __sid")
