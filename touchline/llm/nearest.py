@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline.operators.ordered import KEY, entity, millis
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, start: str, end: str, tolerance_s: float = 1.5) -> DataFrame:
+def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, start: str, end: str, tolerance_s: float = 1.5, salts: int = 8) -> DataFrame:
     """For each left row the right row of the same entity with the nearest midpoint.
 
     Midpoints are taken in half milliseconds and cut into buckets as wide as
@@ -18,14 +18,16 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left
     whatever lies within the tolerance meets in one (entity, bucket) group.
     There the two sides are joined in order: the nearest right midpoint not
     after and not before the left one, of which the nearer within tolerance is
-    kept.  A group is thus read once, not paired with itself, so a hot entity
-    or bucket costs no more than its rows.
+    kept.  Only distinct midpoints of an entity meet, so a group has at most as
+    many rows as the bucket has half milliseconds, however many records share
+    them; left rows then look up what their midpoint found, by salted keys.
 
     Defined results: rows with a null id, start or end, or a time that is not
     finite, take no part; null keys match null keys; of equally near right rows
-    the smallest id wins; repeated rows count once; a left row with nothing
-    within ``tolerance_s`` (inclusive) gives no row; other columns are ignored.
-    Returns left_id, right_id, diff_s.
+    the smallest id wins; repeated rows count once; an id that stands in two
+    entities, or at two times, is a record of its own in each; a left row with
+    nothing within ``tolerance_s`` (inclusive) gives no row; other columns are
+    ignored.  Returns keys, left_id, right_id, diff_s.
     """
     width = int(round(tolerance_s * 2000))
     mid = millis(start) + millis(end)
@@ -38,9 +40,10 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left
         side(right, right_id)
         .groupBy(KEY, "__m")
         .agg(F.min("__id").alias("__id"))
-        .select(KEY, F.explode(F.array(b - 1, b, b + 1)).alias("__b"), "__m", F.lit(0).alias("__side"), F.lit(None).alias("__l"), F.col("__id").alias("__r"))
+        .select(KEY, F.explode(F.array(b - 1, b, b + 1)).alias("__b"), "__m", F.lit(0).alias("__side"), F.col("__id").alias("__r"))
     )
-    lf = side(left, left_id).select(KEY, b.alias("__b"), "__m", F.lit(1).alias("__side"), F.col("__id").alias("__l"), F.lit(None).alias("__r"))
+    rows = side(left, left_id).distinct()
+    lf = rows.select(KEY, "__m").distinct().select(KEY, b.alias("__b"), "__m", F.lit(1).alias("__side"), F.lit(None).alias("__r"))
     both = lf.unionByName(r).repartition(KEY, "__b")
     hit = F.when(F.col("__side") == 0, F.struct("__m", "__r"))
     up = Window.partitionBy(KEY, "__b").orderBy("__m", "__side").rowsBetween(Window.unboundedPreceding, 0)
@@ -55,10 +58,6 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left
         d = F.abs(F.col("__m") - F.col(f"{c}.__m"))
         return F.when(d <= width, F.struct(d.alias("d"), F.col(f"{c}.__r").alias("r")))
 
-    return (
-        near.withColumn("__best", F.least(cand("__p"), cand("__q")))
-        .where("__best is not null")
-        .groupBy(F.col("__l").alias(left_id))
-        .agg(F.min("__best").alias("__best"))
-        .select(left_id, F.col("__best.r").alias(right_id), (F.col("__best.d") / 2000).alias("diff_s"))
-    )
+    best = near.withColumn("__best", F.least(cand("__p"), cand("__q"))).where("__best is not null").select(KEY, "__m", "__best", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    found = rows.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int")).join(best, [KEY, "__m", "__salt"])
+    return found.select(*[F.col(f"{KEY}.{k}").alias(k) for k in keys], F.col("__id").alias(left_id), F.col("__best.r").alias(right_id), (F.col("__best.d") / 2000).alias("diff_s"))
