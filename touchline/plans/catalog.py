@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.operators.intervals import periods_and_gaps
-from touchline.plans import q_entity, q_eval, q_report, q_sources, q_text, q_window  # noqa: F401
+from touchline.plans import q_entity, q_eval, q_report, q_sources, q_stream, q_text, q_window  # noqa: F401
 from touchline.plans.registry import ORACLES, QUERIES, query
 from touchline.sources.tables import HALF, table
 
