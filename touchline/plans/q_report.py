@@ -10,8 +10,8 @@ from touchline.functions import text as T
 from touchline.operators import guards, names, report, search
 from touchline.operators.ordered import millis, whole_order
 from touchline.plans import clean as C
-from touchline.plans.q_text import S_NONLATIN, S_RATIO
-from touchline.plans.q_window import FOLD, S_KEY, SEG, STUCK, segments, with_language
+from touchline.plans.q_text import S_NONLATIN, S_RATIO, S_W3, s_normal, s_restored
+from touchline.plans.q_window import FOLD, HEARD, MASKED, S_KEY, SEG, STUCK, segments, with_language
 from touchline.plans.registry import query, s_strip, s_words
 from touchline.sources import json_files, sinks
 from touchline.sources.tables import HALF, table
@@ -169,9 +169,14 @@ def cleaned(spark, sf_dir):
     return s, *C.clean(s)
 
 
-@query("ref_clean_segments")
+CLEANED = f"""{CLASSED}, o as (select *, {S_KEY} k, row_number() over (partition by match_id, feed, half order by round(start_time * 1000), ord, segment_id) rn from cls where reason is null), {FOLD},
+fe as (select f.match_id, f.feed, f.half, anchor_id, max(o.end_time) e from f join o using (match_id, feed, half, segment_id) group by all),
+k1 as (select o.* exclude (text, end_time), {S_W3} as text, coalesce(fe.e, o.end_time) end_time, coalesce(lang, 'en') as lg from o join f using (match_id, feed, half, segment_id) left join fe on fe.match_id = o.match_id and fe.feed = o.feed and fe.half = o.half and fe.anchor_id = o.segment_id left join leagues on leagues.league = o.league where kept)"""
+
+
+@query("ref_clean_segments", f"with recursive {CLEANED} select match_id, feed, half, segment_id, start_time, end_time, {s_normal('text', 'lg')} as text from k1")
 def clean_segments(spark, sf_dir):
-    """No SQL for the whole: its stages have theirs (P5, W1, W3, F3-F6)."""
+    """The cleaned segments: filtered, merged, collapsed, normalised."""
     return cleaned(spark, sf_dir)[1].select(*HALF, "segment_id", "start_time", "end_time", "text")
 
 
@@ -285,9 +290,16 @@ def m17(spark, sf_dir):
     return names.relevant_hits(shown, judge).select("qid", "match_id", "seg_key", "n")
 
 
-@query("ref_m9_guarded_edits")
+@query(
+    "ref_m9_guarded_edits",
+    f"""with recursive {SEG}, {HEARD}, {MASKED},
+g as (select m.seg_key, text as original, len(list_filter(mask, lambda x: x))::int n_wrapped, {s_strip("array_to_string(list_transform(range(1, len(ws) + 1), lambda i: case when mask[i] then lower(ws[i]) else ws[i] end), ' ')")} p from m join seg using (seg_key)),
+h as (select *, case when regexp_matches(p, '^[\"''].*[\"'']$') then {s_strip('substring(p, 2, greatest(length(p) - 2, 0))')} else p end q from g),
+c as (select *, case when n_wrapped < 2 then 'skipped_below_min' when q = '' or q = original then 'no_op' when {' or '.join(f"contains(q, '{m}')" for m in T.ECHO_MARKERS)} then 'rejected_prompt_echo' else 'accepted' end outcome from h)
+select seg_key, original, case when outcome = 'accepted' then q else original end as text, n_wrapped, outcome from c""",
+)
 def m9(spark, sf_dir):
-    """No SQL: the model is injected; here one that lower-cases the words it may edit."""
+    """[M9, F19-F22] A model's edits behind the guards; the model is injected, here one that lower-cases the words it may edit."""
     import re
 
     lower = lambda df: df["wrapped"].map(lambda t: re.sub(r"<([^<>]+)>", lambda m: m[1].lower(), t))
@@ -295,8 +307,8 @@ def m9(spark, sf_dir):
     return guards.guarded_edits(s, ["seg_key"], "whole", ["at", "ord", "segment_id"], "text", "words", "frozen_word_indices", lower)
 
 
-@query("ref_m10_restored")
+@query("ref_m10_restored", f"with {SEG}, n as (select seg_key, text as original, {s_restored('@@')} as text from seg where text is not null) select *, text <> original as changed from n".replace("@@", "''"))
 def m10(spark, sf_dir):
-    """No SQL: the labeller is injected; here one that ends every text with a full stop."""
-    end = lambda s: s.map(lambda t: [""] * (len(t.split()) - 1) + ["."] if t and t.split() else [])
-    return guards.restored(segments(spark, sf_dir).where("text is not null"), ["seg_key"], "text", end)
+    """[M10, F24] Punctuation by an injected labeller; here one that finds no stop missing, so sentence starts get capitals."""
+    none = lambda s: s.map(lambda t: [""] * len(t.split()))
+    return guards.restored(segments(spark, sf_dir).where("text is not null"), ["seg_key"], "text", none)

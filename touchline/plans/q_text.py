@@ -167,18 +167,49 @@ seg(
     loop=(lambda: T.has_loop(t()), f"len({s_words('text')}) >= 3 and len(list_filter(range(1, greatest(len({s_words('text')}) - 1, 1)), lambda i: lower({s_words('text')}[i]) = lower({s_words('text')}[i + 1]) and lower({s_words('text')}[i]) = lower({s_words('text')}[i + 2]))) > 0"),
     verb=(lambda: T.has_verb_like(t()), f"len(list_filter({s_words('lower(text)')}, lambda v: length(trim(v, '.,;:!?')) > 4 and regexp_matches(trim(v, '.,;:!?'), '(ing|ed|es|s)$'))) > 0"),
 )
+S_LB = "case when length(v) % 5 = 0 then '.' when length(v) % 7 = 0 then ',' else '' end"
+# words are told by marks around them, as these expressions have no word bounds
+S_BOUND = "regexp_replace({}, '([\\p{{L}}\\p{{M}}\\p{{N}}_]+)', chr(2) || '\\1' || chr(2), 'g')"
+
+
+def s_normal(x: str, language: str) -> str:
+    """The whole normalisation: hesitations out, compounds merged, stops and spaces squeezed."""
+    bare = f"regexp_replace(regexp_replace({S_BOUND.format(x)}, '(?i)\\x02({'|'.join(T.DISFLUENCIES)})\\x02', '', 'g'), '\\x02', '', 'g')"
+
+    def merged(code: str) -> str:
+        out = bare
+        for wrong, right in T.COMPOUNDS[code].items():
+            marked = "\\x02 \\x02".join(wrong.split(" "))
+            out = f"regexp_replace(regexp_replace({S_BOUND.format(out)}, '(?i)\\x02{marked}\\x02', '{right}', 'g'), '\\x02', '', 'g')"
+        return out
+
+    cases = " ".join(f"when '{c}' then {merged(c)}" for c in T.COMPOUNDS)
+    return s_strip(f"regexp_replace({s_squeeze(f'(case {language} {cases} else {bare} end)')}, '{W}{{2,}}', ' ', 'g')")
+
+
 LB = lambda: F.transform(T.words(t()), lambda w: F.when(F.length(w) % 5 == 0, ".").when(F.length(w) % 7 == 0, ",").otherwise(""))
 
 
-@query("ref_f24_restore_punctuation")
+def s_restored(label: str) -> str:
+    """The text with a label (of word v) behind each word without a stop, and capitals at sentence starts."""
+    stop = "regexp_matches({0}, '[.,?!:;-]$')"
+    mark = f"case when {label} <> '' and not {stop.format('v')} then {label} else '' end"
+    ends = f"list_transform({s_words('text')}, lambda v: case when {mark} <> '' then {mark} in ('.', '?') else regexp_matches(v, '[.?!]$') end)"
+    said = f"list_transform({s_words('text')}, lambda v: v || {mark})"
+    joined = f"array_to_string(list_transform(range(1, len({s_words('text')}) + 1), lambda i: case when i = 1 or ({ends})[i - 1] then upper(({said})[i][1]) || ({said})[i][2:] else ({said})[i] end), ' ')"
+    return f"case when len({s_words('text')}) = 0 then {s_strip('text')} else regexp_replace({joined}, '{W}+([.,?!:;])', '\\1', 'g') end"
+
+
+@query("ref_f24_restore_punctuation", f"select seg_key, {s_restored(S_LB)} as out from segments where text is not null")
 def restore(spark, sf_dir):
-    """No SQL: a fold with state; the labels come from a fixed rule here in place of a model."""
+    """The labels come from a fixed rule here in place of a model."""
     return table(spark, sf_dir, "segments").where(TX).select("seg_key", T.restore_punctuation(t(), LB()).alias("out"))
 
 
+S_W3 = f"""case when len({s_words('text')}) < 3 then text else array_to_string(list_transform(list_filter(range(1, len({s_words('text')}) + 1), lambda i:
+      not coalesce(lower({s_words('text')}[i]) = lower({s_words('text')}[i - 1]) and i > 1, false)
+      or (i > 1 and not coalesce(i > 2 and lower({s_words('text')}[i]) = lower({s_words('text')}[i - 2]) and lower({s_words('text')}[i - 1]) = lower({s_words('text')}[i - 2]), false) and not coalesce(lower({s_words('text')}[i]) = lower({s_words('text')}[i + 1]), false))), lambda i: {s_words('text')}[i]), ' ') end"""
 seg(
     "ref_w3_collapse_repeats",
-    out=(lambda: T.collapse_repeats(t()), f"""case when len({s_words('text')}) < 3 then text else array_to_string(list_transform(list_filter(range(1, len({s_words('text')}) + 1), lambda i:
-      not coalesce(lower({s_words('text')}[i]) = lower({s_words('text')}[i - 1]) and i > 1, false)
-      or (i > 1 and not coalesce(i > 2 and lower({s_words('text')}[i]) = lower({s_words('text')}[i - 2]) and lower({s_words('text')}[i - 1]) = lower({s_words('text')}[i - 2]), false) and not coalesce(lower({s_words('text')}[i]) = lower({s_words('text')}[i + 1]), false))), lambda i: {s_words('text')}[i]), ' ') end"""),
+    out=(lambda: T.collapse_repeats(t()), S_W3),
 )

@@ -182,12 +182,14 @@ def w10(spark, sf_dir):
     return s.select("seg_key", F.array_join(F.transform("p", lambda x: x.cast("string")), " ").alias("places"))
 
 
+MASKED = """m as (select seg_key, ws, list_transform(range(1, len(ws) + 1), lambda i: not list_contains(fz, (i - 1)::int) and case
+  when len(hs) > 0 then case when places[i] > 0 and words[places[i]].prob > 0 then ln(words[places[i]].prob) else -10.0 end < -0.3
+  else regexp_matches(ws[i], '^[A-ZÅÄÖÆØ][a-zà-ÿ]+([''-][A-Za-zÅÄÖÆØà-ÿ]+)*[.,!?;:]?$') end) mask from wt left join wp using (seg_key))"""
+
+
 @query(
     "ref_f23_wrapped",
-    f"""with recursive {SEG}, {HEARD},
-m as (select seg_key, ws, list_transform(range(1, len(ws) + 1), lambda i: not list_contains(fz, (i - 1)::int) and case
-  when len(hs) > 0 then case when places[i] > 0 and words[places[i]].prob > 0 then ln(words[places[i]].prob) else -10.0 end < -0.3
-  else regexp_matches(ws[i], '^[A-ZÅÄÖÆØ][a-zà-ÿ]+([''-][A-Za-zÅÄÖÆØà-ÿ]+)*[.,!?;:]?$') end) mask from wt left join wp using (seg_key))
+    f"""with recursive {SEG}, {HEARD}, {MASKED}
 select seg_key, array_to_string(list_transform(range(1, len(ws) + 1), lambda i: case when mask[i] then '<' || ws[i] || '>' else ws[i] end), ' ') as wrapped, len(list_filter(mask, lambda x: x))::int as n_wrapped from m""",
 )
 def f23(spark, sf_dir):
