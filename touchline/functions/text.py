@@ -37,8 +37,11 @@ REJECTED_POS = {
     "en": ("ADJ", "VERB", "DET", "ADP", "ADV", "NOUN", "CCONJ", "SCONJ", "AUX", "INTJ", "PART", "PRON"),
     "default": ("DET", "ADP", "CCONJ", "SCONJ", "AUX", "PART", "PRON", "INTJ"),
 }
+# The recogniser's model by language.
 ASR_MODELS = {"en": "Systran/faster-whisper-large-v3", "sv": "KBLab/kb-whisper-large", "no": "KBLab/kb-whisper-large", "da": "KBLab/kb-whisper-large", "default": "Systran/faster-whisper-large-v3"}
+# Marks of a prompt that comes back.
 ECHO_MARKERS = ("Match:", "Half:", "Teams:", "Players:", "Coaches:", "Referee:", "Venue:", "Prev:", "Next:", "Input:", "Output:", "Corrected:", "LINEUP", "<|", "|>")
+# Fixed value: punctuation deleted before error rates are counted.
 WER_PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~—–…“”‘’„‟"
 
 
@@ -241,6 +244,7 @@ def garbage_class(c: Column, detected: Column | None = None) -> Column:
     return out.when((n >= 5) & has_verb_like(c), "real").when(n >= 7, "real").otherwise("ambiguous")
 
 
+# Fixed value: what a capitalised word looks like.
 CAPITALISED = r"(?U)\b([A-ZÅÄÖÆØ][a-zà-ÿ]+(?:['-][A-Za-zÅÄÖÆØà-ÿ]+)*)\b"
 
 
@@ -304,18 +308,11 @@ def rebuild_entity(original: Column, name: Column, language: Column) -> Column:
 
 
 def unaccented(c: Column) -> Column:
-    """for Latin letters: precomposed ones are mapped, combining marks dropped."""
+    """for Latin letters, as an expression: precomposed ones are mapped, combining marks dropped (any script: ``similarity.nfkd``)."""
     plain = F.translate(c, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčćďěľňřťůńśźżąęőűāēīōūÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŠŽČĆ", "aaaaaaceeeeiiiinooooouuuuyyszccdelnrtunszzaeouaeiouAAAAAACEEEEIIIINOOOOOUUUUYSZCC")
     return F.regexp_replace(plain, r"\p{M}+", "")
 
 
-def phonetic_score(a: Column, b: Column, language: Column) -> Column:
-    """0 to 100 from soundex codes of the unaccented names (the metaphone half is in ``similarity``)."""
-    x, y = F.soundex(unaccented(a)), F.soundex(unaccented(b))
-    longest = F.greatest(F.length(x), F.length(y))
-    return F.when((x == "") | (y == ""), 0.0).otherwise(100.0 * (1 - F.levenshtein(x, y) / longest))
-
-
 def word_count_changed_or_drift(original: Column, corrected: Column, editable: Column) -> Column:
     """Whether a word outside ``editable`` (array<boolean>) changed, stops and case aside."""
     bare = lambda x: F.lower(strip_chars(x, " .,!?;:'\"-—–…"))

@@ -359,21 +359,50 @@ def cascade(spark, sf_dir):
     return N.correct_entities(seg, spans, gazetteer(spark, sf_dir), judge=first_choice)
 
 
-@query("ref_m7_decisions")
+S_GATE = f"length(entity) > 0 and length(word) > 0 and (lower({s_strip('entity')}) = lower({s_strip('word')}) or (word_ratio >= 60 and abs(length(word) - length(entity)) <= greatest(2, floor(length(entity) * 0.6 + 1e-9))))"
+# the cascade without a cache, the judge taking the first candidate
+CASCADE = f"""{SEG}, sg as (select match_id, half, concat_ws(':', feed, segment_id) sid, row_number() over (partition by match_id, half order by feed, start_time, ord, segment_id) ord, text from seg where text is not null),
+sp as (select match_id, half, concat_ws(':', feed, segment_id) sid, {CORE} entity, start_char from (select distinct on (entity_id) * from entities where text is not null and start_char is not null and end_char > start_char)),
+pl as (select sp.*, lower(entity) as key, ord from sp join sg using (match_id, half, sid) where length({s_strip('entity')}) > 2),
+fi as (select match_id, key, arg_min(entity, {{'h': half, 'o': ord, 's': -start_char}}) entity, min({{'h': half, 'o': ord, 's': -start_char}}) earliest from pl group by all),
+{RET.replace('select distinct match_id, @@ query from entities where text is not null and length(@@) > 2', 'select distinct match_id, entity query from fi')},
+fq as (select match_id, lower(trim(w, ' .,!?;:''"()-')) as key, count(*) freq from (select match_id, unnest({s_words('text')}) w from sg) group by all),
+b1 as (select fi.*, t1.canonical best, t1.score, t1.score - coalesce(t2.score, 0) gap, coalesce(freq, 0) freq from fi left join top t1 on t1.match_id = fi.match_id and t1.query = fi.entity and t1.n = 1 left join top t2 on t2.match_id = fi.match_id and t2.query = fi.entity and t2.n = 2 left join fq on fq.match_id = fi.match_id and fq.key = fi.key),
+wr as (select distinct entity, best, unnest({s_words('best')}) w, generate_subscripts({s_words('best')}, 1) i from b1 where not contains(entity, ' ') and contains(best, ' ')),
+ww as (select entity, best, arg_max(w, {s_indel('lower(entity)', 'lower(w)')} * 1000 - i) w from wr group by all),
+b2 as (select b1.*, coalesce(w, best) word from b1 left join ww using (entity, best)), b3 as (select *, {s_indel('lower(entity)', 'lower(word)')} word_ratio from b2),
+b4 as (select *, case when best is null then 'auto_reject_low' when lower(best) = key then 'self_match' when freq >= 5 then 'auto_reject_freq_heuristic' when score < 0.40 then 'auto_reject_low'
+  when score >= 0.90 and gap >= 0.10 then case when {S_GATE} then 'auto_accept_shortcut' else 'auto_reject_dict_veto' end
+  when length({s_strip('entity')}) < 5 and word_ratio < 85 then 'auto_reject_low' when word_ratio < 65 then 'auto_reject_low' when {S_GATE} then 'mcq_chose_candidate' else 'auto_reject_dict_veto' end code,
+  best is not null and lower(best) <> key and freq < 5 and score >= 0.40 and not (score >= 0.90 and gap >= 0.10) and not (length({s_strip('entity')}) < 5 and word_ratio < 85) and word_ratio >= 65 asked from b3),
+dec as (select match_id, key, code, case when code in ('auto_accept_shortcut', 'mcq_chose_candidate') then word end applied, case code when 'auto_accept_shortcut' then 'tfidf_shortcut' when 'mcq_chose_candidate' then 'mcq_judge' end as method, score * 100 score, case when asked then 'A' end choice, case when asked or code = 'auto_accept_shortcut' then word_ratio end ratio, earliest from b4)"""
+
+
+@query("ref_m7_decisions", f"with {CASCADE} select match_id, key, code, applied, method, round(score, 5) as score, choice, round(ratio, 5) as ratio from dec")
 def m7(spark, sf_dir):
-    """No SQL: the judge is injected (fixtures in the tests)."""
-    return cascade(spark, sf_dir)[0]
+    """How the cascade ends for each distinct name of a match; the judge is injected, here one that takes the first candidate."""
+    return cascade(spark, sf_dir)[0].withColumns({"score": F.round("score", 5), "ratio": F.round("ratio", 5)})
 
 
-@query("ref_m7_corrections")
+@query(
+    "ref_m7_corrections",
+    f"""with {CASCADE}, h as (select pl.*, applied, method, score, choice, ratio, {{'h': half, 'o': ord, 's': -start_char}} <> earliest again from pl join dec using (match_id, key) where applied is not null)
+select match_id, half, sid as segment_id, entity as original, applied as corrected, case when again then 100.0 else round(score, 1) end as score, case when again and ratio >= 75 then 'validated_cache' when again then 'per_match_cache' else method end as method,
+case when not again then choice end as judge_choice, entity <> applied as changed from h""",
+)
 def m7_corrections(spark, sf_dir):
+    """The corrections it makes, one for each span."""
     return cascade(spark, sf_dir)[1]
 
 
-@query("ref_a24_telemetry")
+@query(
+    "ref_a24_telemetry",
+    f"""with {CASCADE}, r as (select *, row_number() over (partition by code order by match_id, key) k from dec), e as (select code, count(*) n, list(key order by match_id, key) filter (k <= 5) x from r group by 1)
+select code, n, array_to_string(x, '|') as examples, code || '=' || n || ' [' || array_to_string(x, ', ') || ']' as line from e""",
+)
 def a24(spark, sf_dir):
-    """No SQL, as of M7.  Distinct names by how the cascade ended for them."""
-    return M.telemetry(cascade(spark, sf_dir)[0], "code", "key", ["match_id", "key"])
+    """Distinct names by how the cascade ended for them."""
+    return M.telemetry(cascade(spark, sf_dir)[0], "code", "key", ["match_id", "key"]).withColumn("examples", F.array_join("examples", "|"))
 
 
 @query(
