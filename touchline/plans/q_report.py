@@ -215,9 +215,21 @@ def k1(spark, sf_dir):
     return sinks.cleaned_documents(kept, once(spark, sf_dir), removed, originals)
 
 
-@query("ref_k4_export")
+def s_places(c: str) -> str:
+    """A time in whole milliseconds to two places, half to even, as text."""
+    ms = f"round({c} * 1000)::bigint"
+    return f"coalesce(((({ms} // 10 + case when {ms} % 10 > 5 or ({ms} % 10 = 5 and ({ms} // 10) % 2 = 1) then 1 else 0 end) / 100.0)::double)::varchar, 'null')"
+
+
+@query(
+    "ref_k4_export",
+    f"""with {SEG}, e as (select match_id, feed, half, ord, '"' || segment_id || '": [' || {s_places('start_time')} || ', ' || {s_places('end_time')} || ', ' || coalesce(to_json(text)::varchar, 'null') || ']' it from seg),
+b as (select match_id, feed, half, string_agg(it, ', ' order by ord, it) its from e group by match_id, feed, half),
+p as (select match_id, feed, half, 'Part ' || half || chr(10) || chr(10) || '{{"segments": {{' || its || '}}}}' blk from b)
+select match_id, feed, string_agg(blk, chr(10) || chr(10) order by half) as value from p group by match_id, feed""",
+)
 def k4(spark, sf_dir):
-    """No SQL: JSON text.  Every segment of every feed."""
+    """Every segment of every feed, as the search takes it."""
     return sinks.export_blocks(segments(spark, sf_dir))
 
 
