@@ -14,7 +14,9 @@ from touchline.llm.runs import repeated_runs
 from touchline.llm.textquality import text_types
 from touchline.llm.tokenize import token_ids
 from touchline.llm.turns import speaker_turns, turn_texts
+from touchline.llm.utterance import FILLERS, FOLD_FROM, FOLD_TO
 from touchline.llm.vocabulary import learn_vocabulary
+from touchline.plans.registry import s_strip
 from touchline.sources.tables import HALF, table
 
 QUERIES: dict = {}
@@ -82,7 +84,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("ref_id", "hyp_id")
 
 
-@query("p4_found")
+def s_folded(x: str) -> str:
+    return f"regexp_replace(replace(replace(replace(translate(lower({x}), '{FOLD_FROM}', '{FOLD_TO}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '\\p{{M}}+', '', 'g')"
+
+
+def s_utterance(x: str) -> str:
+    """The key of an utterance, of CTE columns: letters stretched and words stammered count once, no fillers and spaces."""
+    spoken = f"trim(regexp_replace(' ' || regexp_replace({s_folded(x)}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', ' ((?:{'|'.join(FILLERS)}) )+', ' ', 'g'))"
+    for letter in "abcdefghijklmnopqrstuvwxyz":
+        spoken = f"regexp_replace({spoken}, '{letter}{{2,}}', '{letter}', 'g')"
+    return spoken
+
+
+@query(
+    "p4_found",
+    f"""with s as (select distinct on (match_id, feed, half, segment_id) * from segments where {s_strip('text')} <> ''),
+u as (select match_id, feed, half, segment_id, start_time, ord, string_split({s_utterance('text')}, ' ') w, array_to_string(regexp_extract_all(text, '(\\p{{Nd}}+)', 1), ' ') digits from s),
+k as (select * exclude (w), array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: i = 1 or w[i] <> w[i - 1] or not regexp_full_match(w[i], '\\p{{L}}+')), lambda i: w[i]), '') as key from u),
+o as (select *, row_number() over (partition by match_id, feed, half order by round(start_time * 1000) nulls first, ord nulls first, segment_id) rn from k),
+p as (select *, lag(key) over q pk, lag(digits) over q pd from o window q as (partition by match_id, feed, half order by rn)),
+g as (select *, case when pk is not null and digits = pd and (key = pk or (levenshtein(key, pk) <= 4 and levenshtein(key, pk) <= ceil(least(length(key), length(pk)) / 5.0))) then 0 else 1 end new from p),
+i as (select *, sum(new) over (partition by match_id, feed, half order by rn) i from g)
+select match_id, feed, half, arg_min(segment_id, rn) as first_segment_id, arg_max(segment_id, rn) as last_segment_id from i group by match_id, feed, half, i having count(*) >= 2""",
+)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 4: runs of successive segments that give one utterance."""
     return repeated_runs(table(spark, sf_dir, "segments"), HALF, "segment_id", "start_time", "end_time", "ord", "text").select(
