@@ -178,3 +178,20 @@ def top_hits(hits: DataFrame, docs: DataFrame, doc_id: str, text: str, targets:
     first = hits.where("n = 1").join(docs.select(doc_id, F.col(text).alias("__text")), doc_id).join(targets, "qid")
     hit = T.first_target(F.col("__text"), F.col("targets")).isNotNull()
     return first.groupBy(F.substring("qid", 1, 1).alias("category")).agg(F.count("*").alias("queries"), F.avg(hit.cast("double")).alias("hit_rate"), F.avg("score").alias("mean_score"))
+
+
+def compared_runs(first: DataFrame, second: DataFrame, docs: DataFrame, doc_id: str, text: str, targets: DataFrame, names: tuple[str, str] = ("raw", "cleaned")) -> DataFrame:
+    """[A18, K10] run, queries, hit_rate, mean_score of two searches, and the row 'delta' with their differences and relative (percent of the first's mean score)."""
+
+    def sums(hits: DataFrame, name: str) -> DataFrame:
+        t = top_hits(hits, docs, doc_id, text, targets)
+        whole = t.agg(F.sum("queries").alias("queries"), (F.sum(F.col("hit_rate") * F.col("queries")) / F.sum("queries")).alias("hit_rate"), (F.sum(F.col("mean_score") * F.col("queries")) / F.sum("queries")).alias("mean_score"))
+        return whole.select(F.lit(name).alias("run"), "queries", "hit_rate", "mean_score", F.lit(None).cast("double").alias("relative"))
+
+    a, b = sums(first, names[0]), sums(second, names[1])
+    x, y = a.select(F.struct("*").alias("x")), b.select(F.struct("*").alias("y"))
+    change = x.join(y).select(
+        F.lit("delta").alias("run"), (F.col("y.queries") - F.col("x.queries")).alias("queries"), (F.col("y.hit_rate") - F.col("x.hit_rate")).alias("hit_rate"), (F.col("y.mean_score") - F.col("x.mean_score")).alias("mean_score"),
+        F.when(F.col("x.mean_score") != 0, (F.col("y.mean_score") - F.col("x.mean_score")) / F.col("x.mean_score") * 100).otherwise(0.0).alias("relative"),
+    )
+    return a.unionByName(b).unionByName(change)

@@ -238,19 +238,28 @@ S_Q = "q as (select * from (values " + ", ".join(f"('{i}', '{q}', '{t[0]}')" for
 S_AN = {"x": "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))", "y": "trim(regexp_replace(strip_accents(replace(lower({}), 'ø', 'o')), '[^a-z0-9]+', ' ', 'g'))"}
 
 
-def s_field(f: str, weight: str) -> str:
-    a = S_AN[f]
+def s_field(f: str, weight: str, fuzzy: bool, p: str) -> str:
+    """CTEs of one field's scores, named p + f + letter."""
+    a, f = S_AN[f], p + f
+    most = "case when length(asked) >= 6 then 2 when length(asked) >= 3 then 1 else 0 end"
+    near = f"abs(length(asked) - length(term)) <= {most} and levenshtein(asked, term) <= {most}" if fuzzy else "asked = term"
     return f"""{f}d as (select seg_key, unnest(list_filter(string_split({a.format('text')}, ' '), lambda v: v <> '')) term, len(list_filter(string_split({a.format('text')}, ' '), lambda v: v <> '')) dl from seg where text is not null),
 {f}p as (select term, seg_key, count(*) tf, any_value(dl) dl from {f}d group by all), {f}v as (select term, count(*) df from {f}p group by 1), {f}n as (select count(*) n, avg(dl) avgdl from (select distinct seg_key, dl from {f}p)),
 {f}t as (select distinct qid, unnest(list_filter(string_split({a.format('query')}, ' '), lambda v: v <> '')) asked from q),
-{f}e as (select qid, asked, term, max(df) over (partition by qid, asked) df, 1 - levenshtein(asked, term)::double / least(length(asked), length(term)) boost from {f}t, {f}v where abs(length(asked) - length(term)) <= case when length(asked) >= 6 then 2 when length(asked) >= 3 then 1 else 0 end and levenshtein(asked, term) <= case when length(asked) >= 6 then 2 when length(asked) >= 3 then 1 else 0 end),
+{f}e as (select qid, asked, term, max(df) over (partition by qid, asked) df, 1 - levenshtein(asked, term)::double / least(length(asked), length(term)) boost from {f}t, {f}v where {near}),
 {f}b as (select qid, asked, seg_key, max(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) part from {f}p join {f}e using (term), {f}n group by all), {f}s as (select qid, seg_key, {weight} * sum(part) s from {f}b group by all)"""
 
 
-S_SEARCH = f"""with {SEG}, {S_Q}, {s_field('x', '2.0')}, {s_field('y', '1.0')},
-z as (select qid, seg_key, greatest(coalesce(xs.s, 0), coalesce(ys.s, 0)) s from xs full join ys using (qid, seg_key)),
-r as (select z.qid, seg.match_id, z.seg_key, s + case when contains(' ' || {S_AN['x'].format('text')} || ' ', ' ' || {S_AN['x'].format('query')} || ' ') then 5 else 0 end + case when contains(' ' || {S_AN['y'].format('text')} || ' ', ' ' || {S_AN['y'].format('query')} || ' ') then 5 else 0 end score from z join seg using (seg_key) join q using (qid)),
-top as (select *, row_number() over (partition by qid, match_id order by round(score, 9) desc, seg_key) n from r where score >= 5)"""
+def s_search(fuzzy: bool = True, p: str = "") -> str:
+    """CTEs of the search up to p + 'top'."""
+    x, y = f"{p}xs", f"{p}ys"
+    return f"""{s_field('x', '2.0', fuzzy, p)}, {s_field('y', '1.0', fuzzy, p)},
+{p}z as (select qid, seg_key, greatest(coalesce({x}.s, 0), coalesce({y}.s, 0)) s from {x} full join {y} using (qid, seg_key)),
+{p}r as (select z.qid, seg.match_id, z.seg_key, s + case when contains(' ' || {S_AN['x'].format('text')} || ' ', ' ' || {S_AN['x'].format('query')} || ' ') then 5 else 0 end + case when contains(' ' || {S_AN['y'].format('text')} || ' ', ' ' || {S_AN['y'].format('query')} || ' ') then 5 else 0 end score from {p}z z join seg using (seg_key) join q using (qid)),
+{p}top as (select *, row_number() over (partition by qid, match_id order by round(score, 9) desc, seg_key) n from {p}r where score >= 5)"""
+
+
+S_SEARCH = f"with {SEG}, {S_Q}, {s_search()}"
 
 
 def hits(spark, sf_dir):
@@ -273,6 +282,23 @@ def a17(spark, sf_dir):
     return search.top_hits(found, docs, "seg_key", "text", targets).withColumn("mean_score", F.round("mean_score", 5))
 
 
+@query(
+    "ref_a18_compared_runs",
+    f"""{S_SEARCH}, {s_search(False, 's')}, t1 as (select top.qid, score, contains(lower(text), lower(target)) hit from top join seg using (seg_key) join q using (qid) where n = 1), t2 as (select stop.qid, score, contains(lower(text), lower(target)) hit from stop join seg using (seg_key) join q using (qid) where n = 1),
+a as (select count(*) queries, avg(hit::int) hit_rate, avg(score) mean_score from t1), b as (select count(*) queries, avg(hit::int) hit_rate, avg(score) mean_score from t2)
+select 'fuzzy' as run, queries, round(hit_rate, 5) as hit_rate, round(mean_score, 4) as mean_score, null::double as relative from a union all select 'strict', queries, round(hit_rate, 5), round(mean_score, 4), null from b
+union all select 'delta', b.queries - a.queries, round(b.hit_rate - a.hit_rate, 5), round(b.mean_score - a.mean_score, 4), round((b.mean_score - a.mean_score) / a.mean_score * 100, 4) from a, b""",
+)
+def a18(spark, sf_dir):
+    """[A18, K10] The search with and without fuzzy terms: first hits with the target, mean first score, and what changes."""
+    docs, found = hits(spark, sf_dir)
+    queries = spark.createDataFrame([(i, q) for i, q, _ in QUESTIONS], "qid string, query string")
+    strict = search.lexical_search(docs, queries, "seg_key", "text", "match_id", fuzzy=False, min_score=5.0)
+    targets = spark.createDataFrame([(i, t) for i, _, t in QUESTIONS], "qid string, targets array<string>")
+    out = search.compared_runs(found, strict, docs, "seg_key", "text", targets, ("fuzzy", "strict"))
+    return out.select("run", "queries", F.round("hit_rate", 5).alias("hit_rate"), F.round("mean_score", 4).alias("mean_score"), F.round("relative", 4).alias("relative"))
+
+
 @query("ref_m15_vector_search", "with p as (select a.vec_id q, b.vec_id v, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) s from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id), r as (select *, row_number() over (partition by q order by round(s, 9) desc, v) n from p) select q as query_id, v as vec_id, round(s, 6) as score, n from r where n <= 5")
 def m15(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
