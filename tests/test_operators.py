@@ -338,6 +338,32 @@ def test_vector_search_in_parts(spark):
     assert both.count() == 5 and [r.n for r in both.orderBy("n").collect()] == [1, 2, 3, 4, 5]
 
 
+def test_compared_runs(spark):
+    docs = spark.createDataFrame([(1, "a goal"), (2, "nothing"), (3, "goal again")], "id long, t string")
+    targets = spark.createDataFrame([("a1", ["goal"]), ("a2", ["goal"])], "qid string, targets array<string>")
+    first = spark.createDataFrame([("a1", 1, 10.0, 1), ("a2", 2, 6.0, 1)], "qid string, id long, score double, n int")
+    second = spark.createDataFrame([("a1", 1, 12.0, 1), ("a2", 3, 8.0, 1)], "qid string, id long, score double, n int")
+    got = {r.run: r for r in search.compared_runs(first, second, docs, "id", "t", targets).collect()}
+    assert (got["raw"].hit_rate, got["cleaned"].hit_rate, got["delta"].hit_rate) == (0.5, 1.0, 0.5)
+    assert (got["delta"].mean_score, got["delta"].relative) == (2.0, 25.0)
+
+
+def test_groups_folded_across_batches(spark):
+    from touchline.operators.ordered import fold_groups
+
+    random.seed(37)
+    rows = [(f"g{random.randrange(40)}", i, random.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, i long, v double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = fold_groups(df, ["g"], ["i"], lambda held: [(held[0][0], len(held), [h[1] for h in held] == sorted(h[1] for h in held))], [("g", "string"), ("n", "long"), ("ordered", "boolean")]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.g: r.n for r in got} == Counter(r[0] for r in rows) and len(got) == len({r[0] for r in rows}) and all(r.ordered for r in got)
+    assert fold_groups(df.limit(0), ["g"], ["i"], lambda held: [], [("g", "string")]).count() == 0
+
+
 def test_neighbours_across_chunks(spark):
     from touchline.operators.ordered import KEY, with_neighbours
 
