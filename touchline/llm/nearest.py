@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline.operators.ordered import KEY, entity, millis
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, start: str, end: str, tolerance_s: float = 1.5, salts: int = 8) -> DataFrame:
+def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, start: str, end: str, tolerance_s: float = 1.5) -> DataFrame:
     """For each left row the right row of the same entity with the nearest midpoint.
 
     Midpoints are taken in half milliseconds and cut into buckets as wide as
@@ -20,7 +20,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left
     after and not before the left one, of which the nearer within tolerance is
     kept.  Only distinct midpoints of an entity meet, so a group has at most as
     many rows as the bucket has half milliseconds, however many records share
-    them; left rows then look up what their midpoint found, by salted keys.
+    them; left rows then look up what their midpoint found (a key of its own
+    each; many rows at one are split by the skew join).
 
     Defined results: rows with a null id, start or end, or a time that is not
     finite, take no part; null keys match null keys; of equally near right rows
@@ -58,6 +59,6 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left
         d = F.abs(F.col("__m") - F.col(f"{c}.__m"))
         return F.when(d <= width, F.struct(d.alias("d"), F.col(f"{c}.__r").alias("r")))
 
-    best = near.withColumn("__best", F.least(cand("__p"), cand("__q"))).where("__best is not null").select(KEY, "__m", "__best", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-    found = rows.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int")).join(best, [KEY, "__m", "__salt"])
+    best = near.withColumn("__best", F.least(cand("__p"), cand("__q"))).where("__best is not null").select(KEY, "__m", "__best")
+    found = rows.join(best, [KEY, "__m"])
     return found.select(*[F.col(f"{KEY}.{k}").alias(k) for k in keys], F.col("__id").alias(left_id), F.col("__best.r").alias(right_id), (F.col("__best.d") / 2000).alias("diff_s"))
