@@ -12,7 +12,7 @@ from touchline.operators import gazetteer as G
 from touchline.operators import names as M
 from touchline.operators import search
 from touchline.plans import clean as C
-from touchline.plans.q_text import S_BOUND
+from touchline.plans.q_text import S_BOUND, S_CAPITALISED
 from touchline.plans.q_window import HEARD, SEG, segments, with_language
 from touchline.plans.registry import W, query, s_indel, s_strip, s_words
 from touchline.sources.tables import HALF, table
@@ -216,9 +216,6 @@ def p11(spark, sf_dir):
     return M.real_words(table(spark, sf_dir, "entities").where("text is not null").select("entity_id", "text"), "text", dictionary(spark, sf_dir)).select("entity_id", "real_word")
 
 
-S_CAPITALISED = "list_transform(regexp_extract_all({}, '\\x02([A-ZÅÄÖÆØ][a-zà-ÿ]+(?:\\x02[''-]\\x02[A-Za-zÅÄÖÆØà-ÿ]+)*)\\x02', 1), lambda v: replace(v, chr(2), ''))"
-
-
 @query("ref_m2_short_segment_names", f"with {SEG} select seg_key, w as text from (select seg_key, unnest({S_CAPITALISED.format(S_BOUND.format('text'))}) w from seg where text is not null and len({s_words('text')}) <= 3) where length(w) >= 3")
 def m2_names(spark, sf_dir):
     """Every word the operator finds (brute force in the tests as well)."""

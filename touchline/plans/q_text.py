@@ -28,6 +28,12 @@ seg = lambda name, **cols: on(name, "segments", "seg_key", cols, TX)  # noqa: E7
 ent = lambda name, **cols: on(name, "entities", "entity_id", cols, TX)
 cor = lambda name, **cols: on(name, "corrections", "correction_id", cols, "original is not null and corrected is not null")
 
+# words are told by marks around them, as these expressions have no word bounds
+S_BOUND = "regexp_replace({}, '([\\p{{L}}\\p{{M}}\\p{{N}}_]+)', chr(2) || '\\1' || chr(2), 'g')"
+
+
+S_CAPITALISED = "list_transform(regexp_extract_all({}, '\\x02([A-ZÅÄÖÆØ][a-zà-ÿ]+(?:\\x02[''-]\\x02[A-Za-zÅÄÖÆØà-ÿ]+)*)\\x02', 1), lambda v: replace(v, chr(2), ''))"
+
 ALPHA = r"[A-Za-zªµºÀ-ÖØ-öø-ɏ]"
 S_RATIO = f"(case when length(regexp_replace(text, '{W}', '', 'g')) > 0 then length(regexp_replace(text, '[^A-Za-zªµºÀ-ÖØ-öø-ɏ]', '', 'g'))::double / length(regexp_replace(text, '{W}', '', 'g')) else 0.0 end)"
 S_NONLATIN = r"regexp_matches(text, '[\x{400}-\x{4ff}\x{600}-\x{6ff}\x{3000}-\x{9fff}\x{ac00}-\x{d7af}\x{3040}-\x{309f}\x{30a0}-\x{30ff}]')"
@@ -56,9 +62,9 @@ seg(
 )
 
 
-@query("ref_p7_all_capitalised_words")
+@query("ref_p7_all_capitalised_words", f"select seg_key, len({S_CAPITALISED.format(S_BOUND.format('text'))})::int as found from segments where text is not null")
 def p7_all(spark, sf_dir):
-    """No SQL: word bounds it has not (brute force in the tests).  The whole operator; ref_p7_capitalised_words counts only words without joins, which SQL can check."""
+    """The whole operator (brute force in the tests as well)."""
     return table(spark, sf_dir, "segments").where(TX).select("seg_key", F.size(T.capitalised_words(t())).alias("found"))
 
 
@@ -168,10 +174,6 @@ seg(
     verb=(lambda: T.has_verb_like(t()), f"len(list_filter({s_words('lower(text)')}, lambda v: length(trim(v, '.,;:!?')) > 4 and regexp_matches(trim(v, '.,;:!?'), '(ing|ed|es|s)$'))) > 0"),
 )
 S_LB = "case when length(v) % 5 = 0 then '.' when length(v) % 7 = 0 then ',' else '' end"
-# words are told by marks around them, as these expressions have no word bounds
-S_BOUND = "regexp_replace({}, '([\\p{{L}}\\p{{M}}\\p{{N}}_]+)', chr(2) || '\\1' || chr(2), 'g')"
-
-
 def s_normal(x: str, language: str) -> str:
     """The whole normalisation: hesitations out, compounds merged, stops and spaces squeezed."""
     bare = f"regexp_replace(regexp_replace({S_BOUND.format(x)}, '(?i)\\x02({'|'.join(T.DISFLUENCIES)})\\x02', '', 'g'), '\\x02', '', 'g')"
