@@ -105,7 +105,8 @@ def test_restore_punctuation_only_inserts(spark):
 def test_metaphone_and_phonetic(spark):
     assert S.metaphone_of("Thompson") == S.metaphone_of("Thomson") or S.metaphone_of("Thompson")[:1] == "0"
     assert S.metaphone_of("Knight") == S.metaphone_of("Night")
-    assert one(spark, lambda a, b: T.phonetic_score(a, b, F.lit("en")), "Müller", "Muller") == 100.0
+    df = spark.createDataFrame([("Müller", "Muller")], "a string, b string")
+    assert S.with_phonetic_score(df, "a", "b", F.lit("en")).first().score == 100.0
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
