@@ -8,19 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _stretches(length: Column, edits: int) -> Column:
-    """array<struct<i, at, n>>: the ``edits`` + 1 stretches a word of that length is cut into (at from 1)."""
-    parts = edits + 1
-    base, longer = F.floor(length / parts), length % parts
-    short = parts - longer  # the first ones are shorter by a letter than the rest
-    return F.array(*[
-        F.struct(F.lit(i).alias("i"), (1 + base * i + F.greatest(F.lit(i) - short, F.lit(0))).cast("int").alias("at"), (base + (F.lit(i) >= short).cast("int")).cast("int").alias("n"))
-        for i in range(parts)
-    ])
+def _stretch(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
+    """Where stretch i begins (from 1) and how long it is, if a word of that length is cut into k + 1."""
+    base, longer = F.floor(length / (k + 1)), length % (k + 1)
+    short = k + 1 - longer  # the first ones are shorter by a letter than the rest
+    return (base * i + F.greatest(i - short, F.lit(0)) + 1).cast("int"), (base + (i >= short).cast("int")).cast("int")
 
 
-def _key(edits: int, length: Column, i: Column, stretch: Column) -> Column:
-    return F.struct(F.lit(edits).alias("k"), length.alias("n"), i.alias("i"), stretch.alias("s"))
+def _key(k: Column, length: Column, i: Column, stretch: Column) -> Column:
+    return F.struct(k.cast("int").alias("k"), length.cast("int").alias("n"), i.cast("int").alias("i"), stretch.alias("s"))
 
 
 def close_pairs(left: DataFrame, right: DataFrame, allowed: Callable[[Column, Column], Column], most: int) -> DataFrame:
@@ -34,25 +30,28 @@ def close_pairs(left: DataFrame, right: DataFrame, allowed: Callable[[Column, Co
     right.b should be distinct.  Null words pair with nothing; empty ones only
     with what ``allowed`` lets them, as any others.
     """
-    def cut(k: int) -> Column:
-        return F.transform(_stretches(F.length("b"), k), lambda s: _key(k, F.length("b"), s["i"], F.substring(F.col("b"), s["at"], s["n"])))
+    def cut(k: Column) -> Column:
+        def one(i: Column) -> Column:
+            at, n = _stretch(F.length("b"), k, i)
+            return _key(k, F.length("b"), i, F.substring(F.col("b"), at, n))
 
-    def places(k: int, n: Column) -> Column:
-        """The stretches of a that could be those of a word of length n."""
+        return F.transform(F.sequence(F.lit(0), k), one)
 
-        def around(s: Column) -> Column:
-            first = F.greatest(s["at"] - k, F.lit(1))
-            last = F.greatest(F.least(s["at"] + k, F.length("a") - s["n"] + 1), first)
-            return F.transform(F.sequence(first, last), lambda p: _key(k, n, s["i"], F.substring(F.col("a"), p.cast("int"), s["n"])))
+    def places(gap: Column) -> Column:
+        """The stretches of a that could be those of a word longer by gap."""
+        length = F.length("a") + gap
+        k = allowed(F.length("a"), length)
 
-        return F.flatten(F.transform(_stretches(n, k), around))
+        def around(i: Column) -> Column:
+            at, n = _stretch(length, k, i)
+            first = F.greatest(at - k, F.lit(1))
+            last = F.greatest(F.least(at + k, F.length("a") - n + 1), first)
+            return F.transform(F.sequence(first, last), lambda p: _key(k, length, i, F.substring(F.col("a"), p.cast("int"), n)))
 
-    cuts = F.flatten(F.array(*[cut(k) for k in range(most + 1)]))
+        return F.when((length >= 0) & (k >= F.abs(gap)), F.flatten(F.transform(F.sequence(F.lit(0), k), around)))
+
+    cuts = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), cut))
     index = right.where("b is not null").select("b", F.explode(cuts).alias("__x"))
-    tries = [
-        F.when((F.length("a") + gap >= 0) & (allowed(F.length("a"), F.length("a") + gap) == k), places(k, F.length("a") + gap))
-        for gap in range(-most, most + 1) for k in range(abs(gap), most + 1)
-    ]
-    probe = left.where("a is not null").select("a", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*tries))))).alias("__x"))
+    probe = left.where("a is not null").select("a", F.explode(F.array_distinct(F.flatten(F.array_compact(F.transform(F.sequence(F.lit(-most), F.lit(most)), places))))).alias("__x"))
     pairs = probe.join(index, "__x").select("a", "b").distinct()
     return pairs.withColumn("d", F.levenshtein("a", "b", most)).where((F.col("d") >= 0) & (F.col("d") <= allowed(F.length("a"), F.length("b"))))
