@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import similarity as S
-from touchline.operators import guards, names, report
+from touchline.operators import entity, guards, names, report
 from touchline.plans import clean
 from touchline.session import cut_lineage
 from touchline.sources import json_files
@@ -161,3 +161,21 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         cut_lineage(Frame())
+
+
+def test_retrieve_broadcasts_no_list_of_names(spark, tmp_path):
+    """Rows exploded from a small file count as small; only the few matches with many queries may be broadcast."""
+    path = str(tmp_path / "names")
+    spark.createDataFrame([("a", ["Anna Berg", "Bo Lind", "Åsa"]), ("b", ["Anna Borg", "Cy Lund"]), ("c", ["Dag"])], "match_id string, names array<string>").write.parquet(path)
+    listed = spark.read.parquet(path).select("match_id", F.explode("names").alias("canonical"))
+    q = spark.createDataFrame([(m, x) for m in ("a", "b", None) for x in ("Anna", "berg", "Lund", "Åsa", "Zz", None)] + [("a", "Anna")], "match_id string, query string")
+    whole, parts = entity.retrieve(q, listed), entity.retrieve(q, listed, together=1)
+    for df in (whole, parts):
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x]
+        assert all("LeftOuter" in x for x in joins), joins
+    got = sorted(map(tuple, whole.collect()))
+    assert got == sorted(map(tuple, parts.collect()))
+    assert {(m, x): c for m, x, c, _, n in got if n == 1} == {
+        ("a", "Anna"): "Anna Berg", ("a", "berg"): "Anna Berg", ("a", "Lund"): "Bo Lind", ("a", "Åsa"): "Åsa",
+        ("b", "Anna"): "Anna Borg", ("b", "berg"): "Anna Borg", ("b", "Lund"): "Cy Lund", ("b", "Åsa"): "Anna Borg",
+    }
