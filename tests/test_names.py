@@ -179,3 +179,11 @@ def test_retrieve_broadcasts_no_list_of_names(spark, tmp_path):
         ("a", "Anna"): "Anna Berg", ("a", "berg"): "Anna Berg", ("a", "Lund"): "Bo Lind", ("a", "Åsa"): "Åsa",
         ("b", "Anna"): "Anna Borg", ("b", "berg"): "Anna Borg", ("b", "Lund"): "Cy Lund", ("b", "Åsa"): "Anna Borg",
     }
+
+
+def test_reduce_to_word_has_the_rows_once(spark):
+    """A step that joins the rows with what is made of them doubles the plan, and so does each step after it."""
+    df = spark.createDataFrame([("LUND", "Cy Lund"), ("a b", "X Y"), ("x", None), (None, "A B"), ("ab", "zz Ab ab"), ("q", " "), ("ab", "zz Ab ab")], "e string, c string")
+    out = entity.reduce_to_word(df, "e", "c", "w")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.w for r in out.collect()] == ["Lund", "X Y", None, "A B", "Ab", " ", "Ab"]
