@@ -187,3 +187,15 @@ def test_reduce_to_word_has_the_rows_once(spark):
     out = entity.reduce_to_word(df, "e", "c", "w")
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert [r.w for r in out.collect()] == ["Lund", "X Y", None, "A B", "Ab", " ", "Ab"]
+
+
+def test_refused_candidates_broadcast_no_list_of_names(spark, tmp_path):
+    path = str(tmp_path / "names")
+    spark.createDataFrame([("a", ["Anna Berg", "Bo Lind"])], "match_id string, names array<string>").write.parquet(path)
+    listed = spark.read.parquet(path).select("match_id", F.explode("names").alias("canonical"))
+    found = spark.createDataFrame([("a", "Ana Berg"), ("a", "BO LIND"), ("a", "Zork"), ("a", "Bergo"), (None, "Bergo")], "match_id string, text string")
+    said = spark.createDataFrame([("a", "Bergo, Bergo! Bergo Bergo bergo")], "match_id string, text string")
+    out = names.refused_candidates(found, said, listed)
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x]
+    assert not [x for x in joins if "LeftAnti" in x], joins
+    assert [(r.token, r.best, r.freq, r.bucket) for r in out.collect()] == [("Bergo", "Anna Berg", 5, "frequency_heuristic")]

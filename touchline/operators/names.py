@@ -105,9 +105,10 @@ def refused_candidates(names: DataFrame, tokens: DataFrame, canonicals: DataFram
     bare = T.strip_chars(F.col("text"), TOKEN_EDGES)
     found = names.where(F.col("text").isNotNull()).select("match_id", bare.alias("token")).where("token <> ''").groupBy("match_id", F.lower("token").alias("key")).agg(F.min("token").alias("token"))
     known = canonicals.select("match_id", F.lower("canonical").alias("key")).distinct()
-    fresh = found.join(known, ["match_id", "key"], "left_anti")
+    # not to be broadcast: exploded from a small file it passes for small
+    fresh = found.join(known.hint("merge"), ["match_id", "key"], "left_anti")
     best = retrieve(fresh.select("match_id", F.col("token").alias("query")), canonicals, top=1, rescue=101.0).select("match_id", F.col("query").alias("token"), F.col("canonical").alias("best"), F.col("score").alias("cosine"))
-    rows = fresh.join(best, ["match_id", "token"])
+    rows = best.withColumn("key", F.lower("token"))
     if accepted is not None:
         done = accepted.select("match_id", F.lower("original").alias("key"), F.lower("corrected").alias("__b")).distinct()
         rows = rows.join(done, (rows["match_id"] == done["match_id"]) & (rows["key"] == done["key"]) & (F.lower("best") == done["__b"]), "left_anti")
