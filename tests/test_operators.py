@@ -329,6 +329,21 @@ def test_search_terms_within_edits_brute_force(spark):
     assert {(r.qid, r.id) for r in search.lexical_search(docs, q, "id", "t", "m", top=1000, most_broadcast=0).collect()} == want
 
 
+def test_search_of_shared_words_makes_no_row_a_query(spark):
+    random.seed(37)
+    words = ["shot", "by", "by", "São", "sao", "Kane", "Mané", "goal", "on"]
+    docs = [(i, random.choice(["a", "a", "a", "b", None]), " ".join(random.choices(words, k=random.randint(0, 6)))) for i in range(300)] + [(300, "a", None), (301, "c", "nothing of it"), (302, "b", "shot by Kane")]
+    docs = spark.createDataFrame(docs, "id long, m string, t string")
+    asked = spark.createDataFrame([(f"q{i}", " ".join(["shot", "by", *random.sample(words, i % 4)])) for i in range(60)] + [("none", "unheard"), ("empty", ""), ("mark", "東京 shot")], "qid string, query string")
+    for fuzzy, top in ((False, 1), (True, 3)):
+        rows = lambda **how: [(*r[:3], round(r[3], 9), r[4]) for r in search.lexical_search(docs, asked, "id", "t", "m", top=top, fuzzy=fuzzy, **how).orderBy("qid", "m", "n").collect()]
+        joined = rows(most_broadcast=0)
+        assert len(joined) > 150 and rows() == joined and rows(together=20) == joined and rows(most_broadcast=200) == joined
+    # what leaves a task is the best of a part for a query
+    plan = search.lexical_search(docs, asked, "id", "t", "m", top=1, fuzzy=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Join") == 1
+
+
 def test_vector_search_in_parts(spark):
     random.seed(31)
     e = spark.createDataFrame([(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(300)], "id long, v array<double>")

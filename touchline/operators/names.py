@@ -64,11 +64,12 @@ def surface_variants(texts: DataFrame, canonicals: DataFrame, by: Sequence[str],
     have no variants.  canonicals: by[0], canonical.  Each distinct pair of
     forms is compared once.
     """
-    w = T.words(F.col(text))
-    ones = F.transform(w, lambda x: F.struct(F.lit(1).alias("n"), x.alias("form")))
+    # the words are found once a text, not once for each of its pairs
+    ones = lambda w: F.transform(w, lambda x: F.struct(F.lit(1).alias("n"), x.alias("form")))
     # the last word begins no pair
-    twos = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.struct(F.lit(2).alias("n"), F.concat(x, F.lit(" "), F.get(w, i + 1)).alias("form")))
-    forms = texts.where(F.col(text).isNotNull()).select(*by, F.explode(F.concat(ones, twos)).alias("x")).where(T.is_upper_first(F.col("x.form")))
+    twos = lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.struct(F.lit(2).alias("n"), F.concat(x, F.lit(" "), F.get(w, i + 1)).alias("form")))
+    listed = T.let(T.words(F.col(text)), lambda w: F.concat(ones(w), twos(w)))
+    forms = texts.where(F.col(text).isNotNull()).select(*by, F.explode(listed).alias("x")).where(T.is_upper_first(F.col("x.form")))
     used = forms.groupBy(*by, F.col("x.n").alias("__n"), T.letters_key(F.col("x.form")).alias("variant")).agg(F.count("*").alias("uses")).where("variant <> ''")
     names = canonicals.select(by[0], "canonical", F.size(T.words(F.col("canonical"))).alias("__n"), T.letters_key(F.col("canonical")).alias("__k")).distinct().where("__n <= 2 and __k <> ''")
     lv, lk = F.length("variant"), F.length("__k")

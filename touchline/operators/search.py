@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def expanded(asked: DataFrame, vocabulary: DataFrame, fuzzy: bool = True) -> Dat
 
 
 def lexical_search(
-    docs: DataFrame, queries: DataFrame, doc_id: str, text: str, group: str, top: int = 5, fuzzy: bool = True, phrase_boost: float = 5.0, min_score: float | None = None, most_broadcast: int = 1_000_000,
+    docs: DataFrame, queries: DataFrame, doc_id: str, text: str, group: str, top: int = 5, fuzzy: bool = True, phrase_boost: float = 5.0, min_score: float | None = None, most_broadcast: int = 1_000_000, together: int = 1000,
 ) -> DataFrame:
     """[M14, P8] The best ``top`` documents of each group for each query (qid, query): qid, group, doc_id, score, n.
 
@@ -71,27 +72,45 @@ def lexical_search(
     plus ``phrase_boost`` for each field that has the whole query as a phrase.
 
     The documents are read twice: once for the vocabulary with its counts, once
-    for the tokens that an asked term stands for, which meet the terms where
-    they are read (up to ``most_broadcast`` terms, else by a shuffle).  Texts
-    are looked at again only where all terms of a query stand.
+    for the scores.  A group's documents meet all queries in parts of about
+    ``together``, each by a matrix product, and only the best of a part leave
+    it: words that many queries ask make no rows.  Terms, asked words and the
+    members of distinct sets of queries that ask the same words travel to the
+    tasks up to ``most_broadcast`` each; above it all meet by shuffles.
     """
+    queries = cut_lineage(queries.select("qid", "query"))
     asked = queries.select("qid", F.explode(F.concat(*[_fielded(F.array_distinct(_tokens(F.col("query"), f)), i) for i, (_, f, _) in enumerate(FIELDS)])).alias("x")).select("qid", F.col("x.field").alias("field"), F.col("x.term").alias("asked"))
     said = docs.select(F.col(doc_id).alias("__d"), F.col(group).alias("__g"), *[_tokens(F.col(text), f).alias(f"__{name}") for name, f, _ in FIELDS])
-    # one more entry a document and field, of no term, counts documents and tokens
+    # one more entry a document and field, of no term, counts documents and tokens, and one a document those of its group
+    own = F.array(F.struct(F.lit(len(FIELDS)).alias("field"), F.col("__g").cast("string").alias("term"), F.lit(0).alias("dl")))
     words = said.select(F.explode(F.concat(*[
         F.when(F.size(f"__{name}") > 0, F.concat(_fielded(F.array_distinct(f"__{name}"), i, F.lit(0)), F.array(F.struct(F.lit(i).alias("field"), F.lit("").alias("term"), F.size(f"__{name}").alias("dl"))))).otherwise(F.slice(_fielded(F.col(f"__{name}"), i, F.lit(0)), 1, 0))
         for i, (name, _, _) in enumerate(FIELDS)
-    ])).alias("x"))
-    vocabulary = cut_lineage(words.groupBy(F.col("x.field").alias("field"), F.col("x.term").alias("term")).agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl")))
+    ], own)).alias("x"))
+    counts = cut_lineage(words.groupBy(F.col("x.field").alias("field"), F.col("x.term").alias("term")).agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl")))
+    vocabulary = counts.where(F.col("field") < len(FIELDS))
     size = vocabulary.where("term = ''").select("field", F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
     terms = cut_lineage(expanded(asked.select("field", "asked").distinct(), vocabulary.where("term <> ''"), fuzzy).join(F.broadcast(size), "field"))
-    near_by = F.broadcast if terms.limit(most_broadcast + 1).count() <= most_broadcast else (lambda df: df)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = terms.select("field", "asked", "term", "boost", (F.col("boost") * idf).alias("idf"), "avgdl")
+    if all(x.limit(most_broadcast + 1).count() <= most_broadcast for x in (terms, queries)) and (sets := _asking_sets(queries, asked, most_broadcast)):
+        # at most one row for ``together`` documents
+        large = counts.where((F.col("field") == len(FIELDS)) & (F.col("df") > together)).select(F.col("term").alias("__s"), F.ceil(F.col("df") / together).alias("__k"))
+        out = _scored_in_parts(docs.select(F.col(doc_id).alias("__d"), F.col(group).alias("__g"), F.col(text).alias("__x")), *sets, weights, large, top, phrase_boost)
+    else:
+        out = _scored_by_joins(docs.select(F.col(doc_id).alias("__d"), F.col(text).alias("__x")), said, queries, asked, weights, phrase_boost)
+    if min_score is not None:
+        out = out.where(F.col("score") >= min_score)
+    w = Window.partitionBy("qid", "__g").orderBy(F.desc(F.round("score", 9)), "__d")
+    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).select("qid", F.col("__g").alias(group), F.col("__d").alias(doc_id), "score", "n")
+
+
+def _scored_by_joins(docs: DataFrame, said: DataFrame, queries: DataFrame, asked: DataFrame, weights: DataFrame, phrase_boost: float) -> DataFrame:
+    """qid, __d, __g, score of each query and document with one of its terms.  Texts are looked at again only where all terms of a query stand."""
     tokens = said.select("__d", "__g", F.explode(F.concat(*[_fielded(F.col(f"__{name}"), i, F.size(f"__{name}")) for i, (name, _, _) in enumerate(FIELDS)])).alias("x")).select("__d", "__g", "x.*")
-    hit = tokens.join(near_by(weights.select("field", "term").distinct()), ["field", "term"], "left_semi").groupBy("__d", "__g", "field", "term", "dl").agg(F.count("*").alias("tf"))
+    hit = tokens.join(weights.select("field", "term").distinct(), ["field", "term"], "left_semi").groupBy("__d", "__g", "field", "term", "dl").agg(F.count("*").alias("tf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    best = hit.join(near_by(weights), ["field", "term"]).groupBy("__d", "__g", "field", "asked").agg(F.max(part).alias("part"), F.max(F.col("boost") == 1).alias("exactly"))
+    best = hit.join(weights, ["field", "term"]).groupBy("__d", "__g", "field", "asked").agg(F.max(part).alias("part"), F.max(F.col("boost") == 1).alias("exactly"))
     wanted = asked.groupBy("qid", "field").agg(F.count("*").alias("terms"))
     sums = best.join(asked, ["field", "asked"]).groupBy("qid", "__d", "__g", "field").agg(F.sum("part").alias("s"), F.count_if("exactly").alias("found"))
     scored = sums.join(wanted, ["qid", "field"]).groupBy("qid", "__d", "__g").agg(
@@ -101,12 +120,158 @@ def lexical_search(
     # a phrase can only stand where all its terms do
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     bonus = sum(F.when((f(F.col("query")) != "") & F.contains(pad(f(F.col("__x"))), pad(f(F.col("query")))), phrase_boost).otherwise(0.0) for _, f, _ in FIELDS)
-    phrases = scored.where("whole").select("qid", "__d").join(docs.select(F.col(doc_id).alias("__d"), F.col(text).alias("__x")), "__d").join(queries.select("qid", "query"), "qid").select("qid", "__d", bonus.alias("__bonus"))
-    out = scored.join(phrases, ["qid", "__d"], "left").withColumn("score", F.col("score") + F.coalesce("__bonus", F.lit(0.0)))
-    if min_score is not None:
-        out = out.where(F.col("score") >= min_score)
-    w = Window.partitionBy("qid", "__g").orderBy(F.desc(F.round("score", 9)), "__d")
-    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).select("qid", F.col("__g").alias(group), F.col("__d").alias(doc_id), "score", "n")
+    phrases = scored.where("whole").select("qid", "__d").join(docs, "__d").join(queries, "qid").select("qid", "__d", bonus.alias("__bonus"))
+    return scored.join(phrases, ["qid", "__d"], "left").select("qid", "__d", "__g", (F.col("score") + F.coalesce("__bonus", F.lit(0.0))).alias("score"))
+
+
+def _asking_sets(queries: DataFrame, asked: DataFrame, most: int) -> tuple[DataFrame, DataFrame] | None:
+    """The queries numbered (i, qid, query), and the distinct sets of them (``who``, numbers) with the words (field, asked) each asks; None if words or members are more than ``most``."""
+    numbered = cut_lineage(queries.where("qid is not null").withColumn("i", F.dense_rank().over(Window.orderBy("qid")) - 1))
+    by = asked.join(numbered.select("i", "qid").distinct(), "qid").groupBy("field", "asked").agg(F.sort_array(F.collect_set("i")).alias("who"))
+    sets = cut_lineage(by.groupBy("who").agg(F.collect_list(F.struct("field", "asked")).alias("words")))
+    held = sets.agg(F.coalesce(F.sum(F.size("who")), F.lit(0)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    return (numbered, sets) if max(held) <= most else None
+
+
+def _scored_in_parts(docs: DataFrame, queries: DataFrame, sets: DataFrame, weights: DataFrame, large: DataFrame, top: int, phrase_boost: float) -> DataFrame:
+    """qid, __d, __g, score of the ``top`` documents of each part of a group for each query, the parts of large groups numbered by ``large`` (__s, __k)."""
+    sides = [f(F.col("query")).alias(name) for name, f, _ in FIELDS]
+    rows = [x.toArrow() for x in (queries.select("i", "qid", *sides), sets, weights.select("field", "asked", "term", "idf", F.col("boost") == 1, "avgdl"))]
+    held = docs.sparkSession.sparkContext.broadcast(_asked_index(*rows))
+    part = F.pmod(F.xxhash64("__d"), F.coalesce("__k", F.lit(1))).alias("__p")
+    placed = docs.where("__x is not null").join(F.broadcast(large), F.col("__g").cast("string").eqNullSafe(F.col("__s")), "left")
+    placed = placed.select("__g", part, "__d", *[f(F.col("__x")).alias(f"__{name}") for name, f, _ in FIELDS]).repartition("__g", "__p").sortWithinPartitions("__g", "__p")
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *docs.schema]}
+    return placed.mapInArrow(_best_documents(held, top, phrase_boost), f"qid {kinds['qid']}, __d {kinds['__d']}, __g {kinds['__g']}, score double")
+
+
+def _starts(at: np.ndarray, n: int) -> np.ndarray:
+    """Where each of 0 to n - 1 begins in ``at``, which is in order, and the end."""
+    return np.searchsorted(at, np.arange(n + 1))
+
+
+def _asked_index(queries: pa.Table, sets: pa.Table, weights: pa.Table) -> tuple[pa.Array, list[dict]]:
+    """The queries' ids, and by field: ``phrase`` of each query, its number of words (``wanted``), the terms with the asked words they stand for, each asked word's set of queries, the sets' queries."""
+    ids = queries.sort_by("i")["qid"].combine_chunks().unique()
+    who = sets["who"].combine_chunks()
+    members, n = who.flatten().to_numpy().astype(np.int64), pa.compute.list_value_length(who).to_numpy(zero_copy_only=False).astype(np.int64)
+    in_set, words = np.repeat(np.arange(len(n)), n), sets["words"].to_pylist()
+    fields = []
+    for i, (name, _, _) in enumerate(FIELDS):
+        phrase = [""] * len(ids)
+        for at, text in zip(queries["i"].to_pylist(), queries[name].to_pylist()):
+            phrase[at] = text or ""
+        own = [(x["asked"], k) for k, listed in enumerate(words) for x in listed if x["field"] == i]
+        number = {w: j for j, (w, _) in enumerate(own)}
+        set_of = np.array([k for _, k in own], np.int64)
+        asking = np.bincount(set_of, minlength=len(n))
+        by = weights.filter(pa.compute.equal(weights["field"], i))
+        position = {t: k for k, t in enumerate(by["term"].combine_chunks().unique().to_pylist())}
+        term = np.array([position[t] for t in by["term"].to_pylist()], np.int64)
+        stands = np.argsort(term, kind="stable")
+        known = [number.get(w, -1) for w in by["asked"].to_pylist()]
+        fields.append({
+            "phrase": phrase, "wanted": np.bincount(members, weights=asking[in_set], minlength=len(ids)), "queries": members, "set_starts": _starts(in_set, len(n)), "set_of": set_of,
+            "position": position, "starts": _starts(term[stands], len(position)), "asked": np.array(known, np.int64)[stands],
+            "idf": by["idf"].to_numpy()[stands], "exactly": by.column(4).to_numpy().astype(bool)[stands], "avgdl": by["avgdl"][0].as_py() if by.num_rows else 1.0,
+        })
+    return ids, fields
+
+
+def _spread(starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``at`` the places from its start to the next: the index in ``at``, and the place."""
+    n = starts[at + 1] - starts[at]
+    of = np.repeat(np.arange(len(at)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + starts[at][of]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each group and part, which follow each other."""
+    last, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g, p = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(), batch.column(1).to_numpy()
+        edges = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (p[1:] != p[:-1])) + 1).tolist(), len(p)]
+        for lo, hi in zip(edges, edges[1:]):
+            at = (batch.column(0)[lo].as_py(), p[lo])
+            if held and at != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = at
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _part_scores(field: dict, texts: pa.Array, doc: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Of one field and part: sums by set of queries and document, how many of its words stand there exactly, and (queries, rows of these) in order of the queries."""
+    tokens = pa.compute.split_pattern(texts, " ")
+    row = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64))
+    coded = tokens.flatten().dictionary_encode()
+    known, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    full = np.array([t != "" for t in known], bool)[code]
+    dl = np.bincount(row[full], minlength=len(texts))
+    term = np.array([field["position"].get(t, -1) for t in known], np.int64)[code]
+    row, term = row[term >= 0], term[term >= 0]
+    # rows of one document and length count as one text
+    units, unit = np.unique(np.stack([doc, dl], axis=1), axis=0, return_inverse=True)
+    key, tf = np.unique(unit.reshape(-1)[row] * max(len(field["position"]), 1) + term, return_counts=True)
+    of, term = np.divmod(key, max(len(field["position"]), 1))
+    share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * units[of, 1] / field["avgdl"]))
+    hit, place = _spread(field["starts"], term)
+    hit, place = hit[field["asked"][place] >= 0], place[field["asked"][place] >= 0]
+    asked, at = np.unique(field["asked"][place], return_inverse=True)
+    score, exactly = np.zeros((len(asked), n)), np.zeros((len(asked), n))
+    where = (at, units[of[hit], 0])
+    np.maximum.at(score, where, field["idf"][place] * share[hit])
+    np.maximum.at(exactly, where, field["exactly"][place].astype(float))
+    sets, at = np.unique(field["set_of"][asked], return_inverse=True)
+    order, starts = np.argsort(at, kind="stable"), _starts(np.sort(at), len(sets))[:-1]
+    if len(sets):
+        score, exactly = (np.add.reduceat(x[order], starts, axis=0) for x in (score, exactly))
+    of, place = _spread(field["set_starts"], sets)
+    who = field["queries"][place]
+    order = np.argsort(who, kind="stable")
+    return score, exactly, who[order], of[order]
+
+
+def _best_documents(held, top: int, phrase_boost: float, block: int = 512):
+    """The ``top`` documents of each part for each query of ``_asked_index``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, fields = held.value
+        for part in _parts(batches):
+            found = part["__d"].combine_chunks()
+            docs = found.unique()
+            docs = docs.take(pa.compute.sort_indices(docs, null_placement="at_start"))
+            doc = pa.compute.index_in(found, docs).to_numpy().astype(np.int64)
+            texts = [part[f"__{name}"].combine_chunks() for name, _, _ in FIELDS]
+            scores = [_part_scores(f, x, doc, len(docs)) for f, x in zip(fields, texts)]
+            for lo in range(0, len(ids), block):
+                total = np.zeros((min(block, len(ids) - lo), len(docs)))
+                whole = np.zeros(total.shape, bool)
+                for (_, _, weight), f, (score, exactly, who, rows) in zip(FIELDS, fields, scores):
+                    a, b = np.searchsorted(who, [lo, lo + block])
+                    asks = np.zeros((len(total), len(score)))
+                    asks[who[a:b] - lo, rows[a:b]] = 1
+                    np.maximum(total, asks @ score * weight, out=total)
+                    wanted = f["wanted"][lo : lo + block]
+                    able = np.flatnonzero((wanted > 0) & (wanted <= exactly.sum(axis=0).max(initial=0)))
+                    whole[able] |= asks[able] @ exactly == wanted[able][:, None]
+                # a phrase can only stand where all its terms do
+                for q, d in zip(*np.nonzero(whole)):
+                    for f, x in zip(fields, texts):
+                        phrase = f["phrase"][lo + q]
+                        if phrase and any(f" {phrase} " in f" {x[int(r)].as_py()} " for r in np.flatnonzero(doc == d)):
+                            total[q, d] += phrase_boost
+                order = np.argsort(-np.round(total, 9), axis=1, kind="stable")[:, :top] if top > 1 else np.argmax(np.round(total, 9), axis=1)[:, None]
+                best = np.take_along_axis(total, order, 1)
+                q, k = np.nonzero(best > 0)
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + lo)), docs.take(pa.array(order[q, k])), part["__g"].combine_chunks().take(pa.array(np.zeros(len(q), np.int64))), pa.array(best[q, k])], names=["qid", "__d", "__g", "score"])
+
+    return run
 
 
 def nearest_vectors(df: DataFrame, queries: DataFrame, vec_id: str, vector: str, top: int = 5, most_queries: int = 50_000, block: int = 2048) -> DataFrame:

@@ -15,6 +15,7 @@ from touchline.plans import clean as C
 from touchline.plans.q_text import S_BOUND, S_CAPITALISED
 from touchline.plans.q_window import HEARD, SEG, segments, with_language
 from touchline.plans.registry import W, query, s_indel, s_strip, s_words
+from touchline.session import cut_lineage
 from touchline.sources.tables import HALF, table
 
 
@@ -537,7 +538,7 @@ wide as (select qid, query, case when more is null then query else query || ' '
 
 def widened(spark, sf_dir):
     writings = M.surface_variants(segments(spark, sf_dir).select("match_id", "text"), canonicals(spark, sf_dir), ["match_id"], "text")
-    return M.expanded_queries(asked_names(spark, sf_dir), writings.select("canonical", "variant").distinct())
+    return M.expanded_queries(asked_names(spark, sf_dir), cut_lineage(writings.select("canonical", "variant").distinct()))
 
 
 @query("ref_m16_query_expansion", f"with {S_WIDE} select qid, query, wider from wide")
