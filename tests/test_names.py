@@ -199,3 +199,34 @@ def test_refused_candidates_broadcast_no_list_of_names(spark, tmp_path):
     joins = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x]
     assert not [x for x in joins if "LeftAnti" in x], joins
     assert [(r.token, r.best, r.freq, r.bucket) for r in out.collect()] == [("Bergo", "Anna Berg", 5, "frequency_heuristic")]
+
+
+def test_words_are_counted_for_names_only(spark):
+    """Words whose hash no name has stay in their task; names are counted a match."""
+    said = [("a", "Bergo, (Bergo) bergo! the the the"), ("a", None), ("b", "BERGO  «x»\tthe"), (None, "Bergo"), ("a", "..."), ("a", "")]
+    named = spark.createDataFrame([("a", "bergo"), ("a", "ana berg"), ("b", "bergo"), ("b", "lund"), (None, "bergo"), ("a", None)], "match_id string, key string")
+    out = entity.uses_of(named, spark.createDataFrame(said, "match_id string, text string"), names.TOKEN_EDGES)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
+    assert {(r.match_id, r.key, r.freq) for r in out.collect()} == {("a", "bergo", 3), ("b", "bergo", 1), (None, "bergo", 1)}
+
+
+def test_contexts_rank_without_texts(spark):
+    """Neighbours as in the whole order, over halves and the chunks of ranks; only texts that are needed are moved."""
+    rows = [("a", 1 + i // 1030, str(i), i, f"t{i}") for i in range(2060)] + [("b", 1, "0", 0, "alone"), (None, 1, "0", 0, "x")]
+    seg = spark.createDataFrame(rows, "match_id string, half int, segment_id string, ord long, text string")
+    want = [0, 5, 6, 1022, 1023, 1024, 1029, 1030, 2047, 2048, 2059]
+    asked = spark.createDataFrame([("a", 1 + i // 1030, str(i)) for i in [*want, 5]] + [("b", 1, "0"), ("b", 1, "none")], "match_id string, half int, segment_id string")
+    out = entity.contexts(seg, asked)
+    at = lambda i: f"t{i}" if 0 <= i < 2060 else None
+    assert sorted((r.match_id, r.previous or "", r.text, r.next or "") for r in out.collect()) == sorted([("a", at(i - 1) or "", at(i), at(i + 1) or "") for i in want] + [("b", "", "alone", "")])
+
+
+def test_shuffles_of_cut_plans_are_released(spark):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    one = spark.sparkContext._jsc.sc().newShuffleId() + 1
+    df = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    cut = cut_lineage(df)
+    assert spark.sparkContext._jsc.sc().newShuffleId() > one
+    assert not [i for i in range(one, one + 10) if held.contains(i)]
+    assert cut.count() == df.count() == cut.count() == 7

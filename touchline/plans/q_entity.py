@@ -356,7 +356,9 @@ def first_choice(rows):
 
 
 def cascade(spark, sf_dir):
-    seg = segments(spark, sf_dir).where("text is not null").select("match_id", "half", F.concat_ws(":", "feed", "segment_id").alias("segment_id"), F.row_number().over(Window.partitionBy("match_id", "half").orderBy("feed", "start_time", "ord", "segment_id")).alias("ord"), "text")
+    # a flag, as with the text itself all steps that need none would carry it
+    said = table(spark, sf_dir, "segments").withColumn("__said", F.col("text").isNotNull()).dropDuplicates([*HALF, "segment_id"]).where("__said")
+    seg = said.select("match_id", "half", F.concat_ws(":", "feed", "segment_id").alias("segment_id"), F.row_number().over(Window.partitionBy("match_id", "half").orderBy("feed", "start_time", "ord", "segment_id")).alias("ord"), "text")
     spans = table(spark, sf_dir, "entities").where("text is not null and start_char is not null and end_char > start_char").dropDuplicates(["entity_id"]).select("match_id", "half", F.concat_ws(":", "feed", "segment_id").alias("segment_id"), "text", "start_char", "end_char")
     return N.correct_entities(seg, spans, gazetteer(spark, sf_dir), judge=first_choice)
 

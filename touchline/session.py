@@ -11,6 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(app: str = "touchline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew joins and Arrow switched on.
 
@@ -52,9 +55,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     and everything runs in this one process (tests, a laptop) a temporary
     folder is made; on a cluster a machine's own folder would lose data with
     the machine, so there an unset folder is an error.
+
+    What was shuffled for it is deleted when it is written; else those files
+    hold disk until the driver happens to collect its garbage.
     """
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    _checkpoint_folder(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # a plan of its own: no other action finds its files gone
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
