@@ -230,3 +230,11 @@ def test_shuffles_of_cut_plans_are_released(spark):
     assert spark.sparkContext._jsc.sc().newShuffleId() > one
     assert not [i for i in range(one, one + 10) if held.contains(i)]
     assert cut.count() == df.count() == cut.count() == 7
+
+
+def test_refused_candidates_move_no_other_words(spark):
+    found = spark.createDataFrame([("a", "Bergo")], "match_id string, text string")
+    said = spark.createDataFrame([("a", "Bergo, the the Bergo")], "match_id string, text string")
+    out = names.refused_candidates(found, said, spark.createDataFrame([("a", "Anna Berg")], "match_id string, canonical string"))
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.token, r.freq) for r in out.collect()] == [("Bergo", 2)]

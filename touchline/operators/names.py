@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import text as T
 from touchline.functions.similarity import indel_ratio, metaphone
-from touchline.operators.entity import gate, retrieve
+from touchline.operators.entity import gate, retrieve, uses_of
 from touchline.operators.guards import heard_places
 
 # Fixed value: stops taken off a token before it is looked up.
@@ -113,7 +113,7 @@ def refused_candidates(names: DataFrame, tokens: DataFrame, canonicals: DataFram
     if accepted is not None:
         done = accepted.select("match_id", F.lower("original").alias("key"), F.lower("corrected").alias("__b")).distinct()
         rows = rows.join(done, (rows["match_id"] == done["match_id"]) & (rows["key"] == done["key"]) & (F.lower("best") == done["__b"]), "left_anti")
-    freq = tokens.where(F.col("text").isNotNull()).select("match_id", F.explode(T.words(F.col("text"))).alias("w")).groupBy("match_id", F.lower(T.strip_chars(F.col("w"), TOKEN_EDGES)).alias("key")).agg(F.count("*").alias("freq"))
+    freq = uses_of(found.select("match_id", "key"), tokens, TOKEN_EDGES)
     rows = real_words(rows.join(freq, ["match_id", "key"], "left").withColumn("freq", F.coalesce("freq", F.lit(0))), "token", dictionary)
     rows = rows.withColumn("fuzz", indel_ratio(F.col("token"), F.col("best")))
     lt, lb = F.length("token"), F.length("best")
