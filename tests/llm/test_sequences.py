@@ -5,10 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.llm import turns as turns_module
 from touchline.llm.nearest import nearest_in_time
 from touchline.llm.runs import repeated_runs
 from touchline.llm.turns import resolve_labels, speaker_turns, turn_pieces, turn_texts
 from touchline.operators.ordered import KEY
+from touchline.session import cut_lineage
 
 KEYS = ("m", "h")
 
@@ -141,6 +143,19 @@ def test_too_many_speakers_are_refused(spark):
         speaker_turns(segs(spark, []), sp, KEYS, "id", "s", "t", most_speakers=2)
 
 
+def test_no_plan_of_the_turns_is_large(spark, monkeypatch):
+    # the driver holds a plan many times while its stages run; one of 109 lines was refused for its memory
+    lines = []
+
+    def cut(df):
+        lines.append(len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return cut_lineage(df)
+
+    monkeypatch.setattr(turns_module, "cut_lineage", cut)
+    assert len(turns(spark, ["Norijulvares: hi", "Nolijulvares: and", "Vindaeqvist: me"])) == 2
+    assert max(lines) <= 50
+
+
 def resolved(spark, labels, known):
     """Speaker ids of (label, times used) in one transcript, None where none is meant."""
     rows = spark.createDataFrame([(1, k, n) for k, n in labels], "m int, label string, n long").select(F.struct("m").alias(KEY), "label", "n")

@@ -56,15 +56,16 @@ def components(nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
     paths shrink by halves.  Only linked nodes take part in the rounds.
     """
     links = cut_lineage(links)
-    state = links.select(KEY, F.col("src").alias("v")).distinct().withColumn("root", F.col("v"))
+    lower = links.groupBy(KEY, F.col("src").alias("v")).agg(F.min("dst").alias("root")).select(KEY, "v", F.col("v").alias("old"), F.least("root", "v").alias("root"))
     while True:
-        near = links.join(state.select(KEY, F.col("v").alias("dst"), F.col("root").alias("near")), [KEY, "dst"]).groupBy(KEY, F.col("src").alias("v")).agg(F.min("near").alias("near"))
-        lower = state.join(near, [KEY, "v"]).select(KEY, "v", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = lower.select(KEY, F.col("v").alias("root"), F.col("root").alias("next"))
         moved = cut_lineage(lower.join(jump, [KEY, "root"], "left").select(KEY, "v", "old", F.coalesce("next", "root").alias("root")))
         state = moved.drop("old")
         if moved.where("old <> root").isEmpty():
             break
+        # each node's own root counts as a neighbour's, so that one aggregate does for both; the plan is there twice in the next round
+        near = links.join(state.select(KEY, F.col("v").alias("dst"), "root"), [KEY, "dst"]).select(KEY, F.col("src").alias("v"), F.lit(None).cast("string").alias("old"), "root")
+        lower = near.unionByName(state.select(KEY, "v", F.col("root").alias("old"), "root")).groupBy(KEY, "v").agg(F.max("old").alias("old"), F.min("root").alias("root"))
     return nodes.join(state.select(KEY, F.col("v").alias(node), "root"), [KEY, node], "left").withColumn("root", F.coalesce("root", node))
 
 
@@ -186,9 +187,11 @@ def turn_texts(
 
 def _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name, most_speakers, salts, texts=True):
     """The pieces in order, the beginnings of turns, the number of pieces; texts only where they are asked for."""
-    known = speakers.select(F.col(speaker_id).cast("int").alias("sid"), F.trim(F.regexp_replace(folded(F.col(speaker_name)), r"(?U)[^\p{L}]+", " ")).alias("name")).where("sid is not null").groupBy("sid").agg(F.max("name").alias("name"))
-    # sent to every task below
-    if known.limit(most_speakers + 1).count() > most_speakers:
+    names = F.trim(F.regexp_replace(folded(F.col(speaker_name)), r"(?U)[^\p{L}]+", " "))
+    known = speakers.select(F.col(speaker_id).cast("int").alias("sid"), names.alias("name")).where("sid is not null").groupBy("sid").agg(F.max("name").alias("name"))
+    # sent to every task below, and cut, as it is part of five plans
+    known = cut_lineage(known.limit(most_speakers + 1))
+    if known.count() > most_speakers:
         raise ValueError(f"more than {most_speakers} speakers")
 
     src = (
@@ -215,7 +218,8 @@ def _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name,
     pieces = cut_lineage(pieces)  # read several times below; parsing the texts is the dear part
     labelled = (F.col("__key") != "") & F.col("__key").isNotNull()
     distinct = pieces.where(labelled).groupBy(KEY, F.col("__key").alias("label")).agg(F.count("*").alias("n"))
-    resolved = resolve_labels(distinct, known).select(KEY, F.col("label").alias("__key"), F.col("sid").alias("__sid"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    # plans below hold what they rank twice, so what is ranked is kept small: all the driver's memory goes into large plans
+    resolved = cut_lineage(resolve_labels(distinct, known)).select(KEY, F.col("label").alias("__key"), F.col("sid").alias("__sid"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
     others = pieces.where(F.coalesce(F.col("__key") == "", F.lit(True))).withColumn("__sid", F.lit(None).cast("int"))
     every = pieces.where(labelled).join(resolved, [KEY, "__key", "__salt"], "left").unionByName(others)
     clean = [without_hesitations(F.concat_ws(" ", F.when(F.col("__sid").isNull(), F.col("__plain")), "__said")).alias("__clean")] if texts else []
@@ -223,6 +227,6 @@ def _numbered(df, speakers, keys, row_id, start, text, speaker_id, speaker_name,
     numbered = cut_lineage(with_rank(rows_, "__t", ["__id", "__pos"]))
     named = with_rank(numbered.where("__sid is not null").select(KEY, "__rank", "__t", "__sid"), "__t", ["__rank"], out="__n")
     changed = with_previous(named, F.col("__sid"), "__before", rank="__n").where("__before is null or __before <> __sid")
-    starts = cut_lineage(with_rank(changed.select(KEY, "__rank", "__t", "__sid"), "__t", ["__rank"], out="__j"))
+    starts = cut_lineage(with_rank(cut_lineage(changed.select(KEY, "__rank", "__t", "__sid")), "__t", ["__rank"], out="__j"))
     total = numbered.groupBy(KEY).agg(F.max("__rank").alias("__last"))
     return numbered, starts, total
