@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from touchline.operators import align, entity, evaluate, folds, gazetteer, guards, search
 from touchline.operators.intervals import periods_and_gaps
 from touchline.plans import q_entity
+from touchline.session import cut_lineage
 
 KEYS = ("m", "h")
 
@@ -226,6 +227,20 @@ def test_cascade_with_a_judge(spark):
     assert out["0"] == ("Sturridge passes to Hazard", [0]) and out["1"][0] == "Sakho clears" and out["2"] == (texts[2], None)
 
 
+def test_no_plan_of_the_cascade_is_large(spark, monkeypatch):
+    # the driver holds a plan many times while its stages run; counts, lists and decisions were one of many
+    lines = []
+
+    def cut(df):
+        lines.append(len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return cut_lineage(df)
+
+    monkeypatch.setattr(entity, "cut_lineage", cut)
+    codes, _, _ = cascade(spark, ["Starridge shoots", "Sako clears"], [(0, "Starridge"), (1, "Sako")])
+    assert len(codes) == 2
+    assert max(lines) <= 33, lines
+
+
 def test_cascade_with_a_cache_and_without_a_judge(spark):
     known = spark.createDataFrame([("starridge", "Sturridge", ["m0"], 90.0)], "mishearing string, correct string, matches_seen array<string>, fuzzy_avg double")
     codes, corrections, _ = cascade(spark, ["Starridge shoots", "Sako clears"], [(0, "Starridge"), (1, "Sako")], cache=known)

@@ -98,14 +98,16 @@ def uses_of(names: DataFrame, texts: DataFrame, edges: str) -> DataFrame:
 
     names: match_id, key (lower-cased, not empty).  texts: match_id, text.
     Most words are no names: only those whose hash some name has leave their
-    task.  The hashes broadcast are at most HASHES, however many names there
-    are; words that share one with a name are counted and match no name.
+    task.  The hashes broadcast are one of HASHES each, however many names
+    there are, 64 in a number's bits; words that share one with a name are
+    counted and match no name.
     """
     place = F.pmod(F.xxhash64("key"), F.lit(HASHES)).cast("int")
-    asked = names.where(~F.col("key").contains(" ")).select(place.alias("__h")).distinct()
+    asked = names.where(~F.col("key").contains(" ")).withColumn("__h", place).groupBy(F.expr("__h div 64").alias("__g")).agg(F.expr("bit_or(shiftleft(1L, __h % 64))").alias("__bits"))
     # words have no line ends, so trimming is what ``strip_chars`` does
     w = texts.select("match_id", F.explode(F.split("text", f"{T.WS}+")).alias("w")).select("match_id", F.lower(F.btrim("w", F.lit(edges))).alias("key"))
-    return w.withColumn("__h", place).join(F.broadcast(asked), "__h", "left_semi").groupBy("match_id", "key").agg(F.count("*").alias("freq"))
+    w = w.withColumn("__h", place).withColumn("__g", F.expr("__h div 64"))
+    return w.join(F.broadcast(asked), "__g").where("getbit(__bits, __h % 64) = 1").groupBy("match_id", "key").agg(F.count("*").alias("freq"))
 
 
 def _grams(low: str, least: int = 2, most: int = 4) -> list[str]:
@@ -311,12 +313,14 @@ def correct_entities(
     d = ratios(d, "entity", "cached", "cached_ratio") if known is not None else d.withColumn("cached_ratio", F.lit(None).cast("double"))
     d = d.withColumn("from_cache", F.coalesce((F.lower("cached") != F.col("key")) & gate(F.col("entity"), F.col("cached"), F.col("cached_ratio"), real), F.lit(False)))
     d = cut_lineage(d)
-    # 2. how often the name is a word of the match: before the lists of candidates, which needn't travel for it
-    d = d.join(uses_of(d.select("match_id", "key"), segments, T.EDGE_PUNCT), ["match_id", "key"], "left")
+    # 2. how often the name is a word of the match, if often enough to count; this, the gazetteer and the lists are plans of their own, as
+    # the driver holds a plan again each time one of its stages ends
+    uses = cut_lineage(uses_of(d.select("match_id", "key"), segments, T.EDGE_PUNCT).where(F.col("freq") >= frequent))
     # 3. retrieval
-    hits = retrieve(d.where("not from_cache").select("match_id", F.col("entity").alias("query")), gazetteer.select("match_id", "canonical"), top=3)
-    listed = hits.groupBy("match_id", "query").agg(F.sort_array(F.collect_list(F.struct("n", "canonical", "score"))).alias("c"))
-    d = d.join(listed.withColumnRenamed("query", "entity"), ["match_id", "entity"], "left")
+    canonicals = cut_lineage(gazetteer.select("match_id", "canonical"))
+    hits = retrieve(d.where("not from_cache").select("match_id", F.col("entity").alias("query")), canonicals, top=3)
+    listed = cut_lineage(hits.groupBy("match_id", "query").agg(F.sort_array(F.collect_list(F.struct("n", "canonical", "score"))).alias("c")))
+    d = d.join(uses, ["match_id", "key"], "left").join(listed.withColumnRenamed("query", "entity"), ["match_id", "entity"], "left")
     best, second = F.try_element_at("c", F.lit(1)), F.try_element_at("c", F.lit(2))
     d = d.withColumns({"best": best["canonical"], "score": best["score"], "gap": best["score"] - F.coalesce(second["score"], F.lit(0.0))})
     d = ratios(reduce_to_word(d, "entity", "best", "word"), "entity", "word", "word_ratio")
